@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -74,13 +74,13 @@ def byte_table(word: bytes, lower: bool = True) -> bytes:
     return bytes(out)
 
 
-def per_text(docs: DataFrame, make: Callable[[], Callable[[bytes | None], tuple]], columns: str) -> DataFrame:
+def per_text(docs: DataFrame, make: Callable[[], Callable[..., tuple]], columns: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """doc_id and ``columns`` (DDL), a row for each row of ``docs``.
 
     ``make`` runs once a task and gives the function from a whole UTF-8 text,
-    None if null, to the values of the columns.  doc_id passes through as it
-    is, null or repeated.  Batches are short, so memory is bounded by
-    ARROW_ROWS texts.
+    None if null, and the values of ``extra`` to the values of the columns.
+    doc_id passes through as it is, null or repeated.  Batches are short, so
+    memory is bounded by ARROW_ROWS texts.
     """
     small_batches(docs.sparkSession)
     schema = T.StructType.fromDDL("doc_id long, " + columns)
@@ -89,9 +89,15 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[bytes | None], tuple]
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for part in parts:
-            rows = [one(t) for t in part.column("text").to_pylist()]
+            rows = [one(*x) for x in zip(*(part.column(i).to_pylist() for i in range(1, part.num_columns)), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * (len(arrow) - 1), list(arrow)[1:], strict=True))], schema=arrow
+                [part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * (len(arrow) - 1), list(arrow)[1:], strict=True))], schema=arrow
             )
 
-    return id_and_text(docs).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(batches, schema)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *(c.alias(f"x{i}") for i, c in enumerate((extra or {}).values())))
+    return own.mapInArrow(batches, schema)
+
+
+def bucket(column: Column, modulus: int) -> Column:
+    """crc32 of the column as text, modulo ``modulus``: the folds of the labelled rows."""
+    return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import licenses, pii
+from chronospan.llm import chat, langid, licenses, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": licenses.op3_license_scan,
+    "op5_language_id": langid.op5_language_id,
+    "op8_chat_format": chat.op8_chat_format,
     "op10_pii": pii.op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": chat.OP8_SQL,
+}
