@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import chat, langid, licenses, pii
+from chronospan.llm import chat, langid, licenses, pii, quality_llr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": licenses.op3_license_scan,
     "op5_language_id": langid.op5_language_id,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_quality_rules": quality_llr.op9_quality_rules,
     "op10_pii": pii.op10_pii,
 }
 
