@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import chat, langid, licenses, pii, quality_llr
+from chronospan.llm import chat, langid, licenses, pii, quality_fm, quality_llr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_quality_classifier": quality_fm.op4_quality_classifier,
     "op5_language_id": langid.op5_language_id,
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_rules": quality_llr.op9_quality_rules,
