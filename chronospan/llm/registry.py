@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import chat, langid, licenses, pii, quality_fm, quality_llr
+from chronospan.llm import chat, langid, licenses, packing, pii, quality_fm, quality_llr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_quality_classifier": quality_fm.op4_quality_classifier,
     "op5_language_id": langid.op5_language_id,
