@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import chat, langid, licenses, packing, pii, quality_fm, quality_llr
+from chronospan.llm import chat, decontam, langid, licenses, packing, pii, quality_fm, quality_llr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_quality_classifier": quality_fm.op4_quality_classifier,
     "op5_language_id": langid.op5_language_id,
@@ -18,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": pii.op10_pii,
 }
 
+#: Where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontam.OP2_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }
