@@ -74,27 +74,28 @@ def byte_table(word: bytes, lower: bool = True) -> bytes:
     return bytes(out)
 
 
-def per_text(docs: DataFrame, make: Callable[[], Callable[..., tuple]], columns: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id and ``columns`` (DDL), a row for each row of ``docs``.
+def per_text(docs: DataFrame, make: Callable[[], Callable[..., tuple]], columns: str, extra: dict[str, Column] | None = None, keys: dict[str, Column] | None = None) -> DataFrame:
+    """``keys``, by default doc_id, and ``columns`` (DDL), a row for each row of ``docs``.
 
     ``make`` runs once a task and gives the function from a whole UTF-8 text,
     None if null, and the values of ``extra`` to the values of the columns.
-    doc_id passes through as it is, null or repeated.  Batches are short, so
+    The keys pass through as they are, null or repeated.  Batches are short, so
     memory is bounded by ARROW_ROWS texts.
     """
     small_batches(docs.sparkSession)
-    schema = T.StructType.fromDDL("doc_id long, " + columns)
+    keys = keys or {"doc_id": F.col("doc_id").cast("long")}
+    own = docs.select(*(c.alias(k) for k, c in keys.items()), F.col("text").cast("binary").alias("text"), *(c.alias(f"x{i}") for i, c in enumerate((extra or {}).values())))
+    n = len(keys)
+    schema = T.StructType([*own.schema.fields[:n], *T.StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for part in parts:
-            rows = [one(*x) for x in zip(*(part.column(i).to_pylist() for i in range(1, part.num_columns)), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * (len(arrow) - 1), list(arrow)[1:], strict=True))], schema=arrow
-            )
+            rows = [one(*x) for x in zip(*(part.column(i).to_pylist() for i in range(n, part.num_columns)), strict=True)]
+            made = (pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * (len(arrow) - n), list(arrow)[n:], strict=True))
+            yield pa.RecordBatch.from_arrays([*(part.column(i).cast(arrow[i].type) for i in range(n)), *made], schema=arrow)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *(c.alias(f"x{i}") for i, c in enumerate((extra or {}).values())))
     return own.mapInArrow(batches, schema)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import chat, decontam, langid, licenses, linededup, packing, pii, quality_fm, quality_llr
+from chronospan.llm import chat, decontam, langid, licenses, linededup, ngramjoin, packing, pii, quality_fm, quality_llr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality_fm.op4_quality_classifier,
     "op5_language_id": langid.op5_language_id,
     "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_ngram_jaccard": ngramjoin.op7_ngram_jaccard,
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_rules": quality_llr.op9_quality_rules,
     "op10_pii": pii.op10_pii,
