@@ -84,9 +84,9 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[..., tuple]], columns:
     """
     small_batches(docs.sparkSession)
     keys = keys or {"doc_id": F.col("doc_id").cast("long")}
-    own = docs.select(*(c.alias(k) for k, c in keys.items()), F.col("text").cast("binary").alias("text"), *(c.alias(f"x{i}") for i, c in enumerate((extra or {}).values())))
+    own = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keys.values())), F.col("text").cast("binary").alias("t"), *(c.alias(f"x{i}") for i, c in enumerate((extra or {}).values())))
     n = len(keys)
-    schema = T.StructType([*own.schema.fields[:n], *T.StructType.fromDDL(columns).fields])
+    schema = T.StructType([*(T.StructField(k, f.dataType) for k, f in zip(keys, own.schema.fields[:n], strict=True)), *T.StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(schema)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronospan.llm.common import byte_table, per_text, table
@@ -143,34 +143,51 @@ def contained(words: list[bytes], hashes: np.ndarray, items: list[Item], parts:
             yield i, n
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item and containment for each item in each document that contains it."""
+def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items, a stated query set, in blocks whose size ``block_windows`` bounds."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     letters = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(letters / 2 / block_windows))  # a window takes two characters at least
-    spark, out = docs.sparkSession, None
     for b in range(blocks):
-        # one block of the stated query set; its size is bounded by block_windows
-        rows = [(r[0], r[1].encode()) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(indexed(rows))
+        yield [(r[0], r[1].encode()) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
+
+
+def _search(docs: DataFrame, items: list[tuple[int | None, bytes]], keys: dict[str, Column]) -> DataFrame:
+    """``keys`` and ``found``, the items of one block that each document contains."""
+    shared = docs.sparkSession.sparkContext.broadcast(indexed(items))
+
+    def make():
+        items, parts = shared.value
+        hasher = Hasher()
 
-        def make(shared=shared):
-            items, parts = shared.value
-            hasher = Hasher()
+        def one(text: bytes | None) -> tuple:
+            words = text.translate(WORDS).split() if text and parts else []
+            found = list(contained(words, hasher.words(words), items, parts)) if words else []
+            return ([(items[i].item_id, n, len(items[i].grams)) for i, n in found],)
 
-            def one(text: bytes | None) -> tuple:
-                words = text.translate(WORDS).split() if text and parts else []
-                found = list(contained(words, hasher.words(words), items, parts)) if words else []
-                return ([(items[i].item_id, n, len(items[i].grams)) for i, n in found],)
+        return one
 
-            return one
+    return per_text(docs, make, "found array<struct<item_id: long, n_shared: long, n_item: long>>", keys=keys)
 
-        hits = per_text(docs, make, "found array<struct<item_id: long, n_shared: long, n_item: long>>")
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item and containment for each item in each document that contains it."""
+    out = None
+    for items in _blocks(benchmark, block_windows):
+        hits = _search(docs, items, {"doc_id": F.col("doc_id").cast("long")})
         part = hits.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item; a column named found is dropped."""
+    own = docs.drop("found")
+    for items in _blocks(benchmark, block_windows):
+        own = _search(own, items, {c: F.col(c) for c in own.columns}).where(F.size("found") == 0).drop("found")
+    return own
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the benchmark items that each document contains; a document without any has no row."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -162,10 +162,23 @@ class Parser:
         return self.langs[order[0]], float(1 - best / next_) if len(order) > 1 else 1.0
 
 
-def identify(docs: DataFrame, model: dict[str, Automaton], kept: int = KEPT_WORDS) -> DataFrame:
-    """doc_id, lang_pred and score of each row of ``docs``."""
+def identify(docs: DataFrame, model: dict[str, Automaton], kept: int = KEPT_WORDS, keys: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, or ``keys``, with lang_pred and score of each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS a language
-    return per_text(docs, lambda: Parser(shared.value, kept).predict, "lang_pred string, score double")
+    return per_text(docs, lambda: Parser(shared.value, kept).predict, "lang_pred string, score double", keys=keys)
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is one of those that its own labelled rows teach.
+
+    Texts that are null or have no letter go; with no labelled row nothing is
+    known and all rows stay.  Columns named lang_pred or score are dropped.
+    """
+    own = docs.drop("lang_pred", "score")
+    model = fit(own.select("lang", "text"))
+    if not model:
+        return own
+    return identify(own, model, keys={c: F.col(c) for c in own.columns}).where("lang_pred <> 'und'").drop("lang_pred", "score")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

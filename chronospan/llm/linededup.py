@@ -183,6 +183,15 @@ def without_lines(docs: DataFrame, **bounds: int) -> DataFrame:
     return rows.select(*(text.alias(c) if c == "text" else F.col(c) for c in own.columns), n_lines.cast("long").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"))
 
 
+def with_own_lines(docs: DataFrame, **bounds: int) -> DataFrame:
+    """The rows of ``docs``, all columns, with the common blocks deleted from ``text``; rows of which nothing is left go.
+
+    A column n_chars is set to the length of what is left.
+    """
+    out = without_lines(docs, **bounds).where((F.col("n_removed") == 0) | (_bare(F.col("text")) != "")).drop("n_lines", "n_removed")
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: all documents without the blocks that earlier documents hold."""
     return without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -221,7 +221,11 @@ def tiled_pairs(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
 
 
 def join_ngrams(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs``, and its class."""
+    """doc_id, n_shingles and component_id of each row of ``docs``.
+
+    Two more columns: ``row`` is a hash of doc_id and text, ``component`` a
+    number of the component, null without shingles.
+    """
     # a row's number must not change between scans, so it comes from its content
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -263,12 +267,28 @@ def join_ngrams(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR)
     whole = components(links.unionByName(more)).withColumnRenamed("node", "c")
     classes = reps.select("c", "set_hash", "smallest").join(whole, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = classes.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = classes.join(least, "component").select("set_hash", "component_id", F.col("c").alias("class_id"))
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(named, "set_hash", "left")
+    named = classes.join(least, "component").select("set_hash", "component_id", "component")
+    out = base.select("doc_id", "row", F.col("n").alias("n_shingles"), "set_hash").join(named, "set_hash", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "class_id")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "row", "component")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each component.
+
+    The row of the smallest doc_id stays, nulls first, then of the smallest
+    hash; of rows equal in doc_id and text, one.  Rows without a shingle stay.  A
+    column named row is dropped.
+    """
+    own = docs.drop("row")
+    found = saved(join_ngrams(own, shingle, similar).where("component IS NOT NULL").select("doc_id", "row", "component"), "components")
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.row")
+    row = own.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    wordless = F.length(F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
+    first = row.where(~wordless).join(stays, "row", "left_semi").dropDuplicates(["row"])
+    return first.unionByName(row.where(wordless)).drop("row")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the components of all documents."""
-    return join_ngrams(table(spark, sf_dir, "documents"))
+    return join_ngrams(table(spark, sf_dir, "documents")).drop("row", "component")
