@@ -172,15 +172,16 @@ def deletions(docs: DataFrame, line_words: int = MIN_LINE_WORDS, shared_words: i
 
 def without_lines(docs: DataFrame, **bounds: int) -> DataFrame:
     """``docs`` with the common blocks deleted from ``text``; adds n_lines and n_removed."""
-    own = docs.drop("n_lines", "n_removed", "gone", "text_hash")
+    own = docs.drop("n_lines", "n_removed")
     gone = deletions(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **bounds)
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
-    rows = own.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
+    # the input's columns travel as one, so their names meet no other
+    rows = own.select(F.struct(*own.columns).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left")
     left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("gone", i)), "")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text"))))
-    n_removed = F.coalesce(F.size("gone"), F.lit(0))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return rows.select(*(text.alias(c) if c == "text" else F.col(c) for c in own.columns), n_lines.cast("long").alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"))
+    kept = [text.alias(c) if c == "text" else F.col("r").getField(c).alias(c) for c in own.columns]
+    return rows.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def with_own_lines(docs: DataFrame, **bounds: int) -> DataFrame:
