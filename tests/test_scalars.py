@@ -1,0 +1,103 @@
+"""Domain scalars against plain versions."""
+
+import base64
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronospan.functions import alleles as A
+from chronospan.functions.leftalign import aligned, left_aligned
+from chronospan.sources import releases
+
+
+def values(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+@pytest.mark.parametrize(("term", "want"), [
+    ("Pathogenic|risk_factor", "PATHOGENIC"), ("Likely_benign|drug_response", "LIKELY_BENIGN"), ("drug_response", "OTHER"), (None, "OTHER"), ("", "OTHER"), ("Benign|Pathogenic", "BENIGN"), ("Uncertain_significance,Likely_pathogenic", "LIKELY_PATHOGENIC"),
+    ("Conflicting_interpretations_of_pathogenicity", "CONFLICTING"), ("Conflicting_classifications_of_pathogenicity", "CONFLICTING"), ("Conflicting_classifications_of_pathogenicity|other", "CONFLICTING"),
+    ("Conflicting_classifications_of_pathogenicity|Uncertain_significance", "UNCERTAIN"), ("Pathogenic/Likely_pathogenic", "PATHOGENIC"),
+])
+def test_bucket(spark, term, want):
+    assert values(spark, [(term,)], "t string", A.bucket(F.col("t"))) == [(want,)]
+
+
+def test_stars(spark):
+    rows = [("practice_guideline",), (" Reviewed_by_expert_panel ",), ("criteria_provided,_conflicting_interpretations",), ("criteria_provided,_conflicting_classifications",), ("?",), (None,)]
+    assert [r[0] for r in values(spark, rows, "t string", A.stars(F.col("t")))] == [4, 3, 1, 1, 0, 0]
+
+
+def test_contig(spark):
+    assert [r[0] for r in values(spark, [("chr17",), (" x",), ("chrM",), ("mt",), ("CHR2 ",)], "t string", A.contig(F.col("t")))] == ["17", "X", "MT", "MT", "2"]
+
+
+def plain_trim(pos, ref, alt):
+    while min(len(ref), len(alt)) > 1 and ref[-1] == alt[-1]:
+        ref, alt = ref[:-1], alt[:-1]
+    while min(len(ref), len(alt)) > 1 and ref[0] == alt[0]:
+        pos, ref, alt = pos + 1, ref[1:], alt[1:]
+    return pos, ref, alt
+
+
+def test_trim_and_identity(spark):
+    rng = random.Random(1)
+    rows = [(100, "CTAG", "CG"), (100, "AGT", "ACT"), (100, "AT", "ATT"), (99, "GAT", "GATT")]
+    rows += [(rng.randrange(1, 99), "".join(rng.choice("AC") for _ in range(rng.randint(1, 7))), "".join(rng.choice("AC") for _ in range(rng.randint(1, 7)))) for _ in range(500)]
+    got = values(spark, rows, "p long, r string, a string", "p", "r", "a", A.trimmed(F.col("p"), F.col("r"), F.col("a")), A.allele_id("GRCh38", F.lit("chr17"), F.col("p"), F.col("r"), F.col("a")))
+    for p, r, a, t, identity in got:
+        want = plain_trim(p, r, a)
+        assert tuple(t) == want
+        digest = hashlib.sha512("\t".join(["GRCh38", "17", str(want[0]), *want[1:]]).encode()).digest()[:24]
+        assert identity == "chronospan:VA." + base64.urlsafe_b64encode(digest).decode()
+    assert got[2][4] == got[3][4] and tuple(got[0][3]) == (100, "CTA", "C")
+    bad = values(spark, [(1, "<DEL>", "A"), (1, "", "A"), (1, "A", None), (None, "A", "C"), (1, "a", "n")], "p long, r string, a string", A.allele_id("GRCh38", F.lit("1"), F.col("p"), F.col("r"), F.col("a")))
+    assert [x[0] is None for x in bad] == [True, True, True, True, False]
+
+
+def test_info_and_fields(spark):
+    got = values(spark, [("A=1;FLAG;B=2",), ("A=1=2;A=3;;",), ("",)], "t string", A.info_map(F.col("t")))
+    assert [r[0] for r in got] == [{"A": "1", "FLAG": "", "B": "2"}, {"A": "3"}, {}]
+    got = values(spark, [("BRCA1:672|X:1", "Lynch_syndrome|not_provided"), ("", None)], "g string, c string", A.first_gene(F.col("g")), A.condition(F.col("c")))
+    assert got == [("BRCA1", "Lynch syndrome; not provided"), (None, None)]
+
+
+def test_vcf_lines(spark):
+    end = "\t.\t.\tCLNDN=A_b|c;CLNREVSTAT=reviewed_by_expert_panel;CLNSIG=Pathogenic|risk_factor;GENEINFO=TP53:7157"
+    lines = ["#CHROM\tPOS", "", "17\t10", f"17\t7676154\t12347\tG\tC{end}\r", f"17\tx\t1\tG\tC{end}", f"17\t1\t1\tG\tC,T{end}", f"17\t1\t1\tG\t<DEL>{end}", f"17\t1\t1\tG\t.{end}", f"17\t1\t1\t.\tG{end}"]
+    got = A.vcf_records(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [tuple(r) for r in got] == [("12347", "17", 7676154, "G", "C", "TP53", "PATHOGENIC", 3, "Pathogenic|risk_factor", "reviewed_by_expert_panel", "A b; c")]
+
+
+def test_dates_and_escape(spark):
+    got = values(spark, [("2019-06-03",), ("2019-6-3",), ("20190603",), ("2019-02-30",), (None,)], "t string", A.strict_date(F.col("t")).cast("string"))
+    assert [r[0] for r in got] == ["2019-06-03", None, None, None, None]
+    assert values(spark, [("a%b_c\\",)], "t string", A.like_escaped(F.col("t"))) == [("a\\%b\\_c\\\\",)]
+    assert tuple(values(spark, [(3000, 9000)], "s int, e int", A.padded(F.col("s"), F.col("e")))[0][0]) == (1, 14000)
+
+
+REFERENCE = {"17": (100, "GTTTTTCA")}
+
+
+def test_left_align(spark):
+    forms = {aligned(REFERENCE, "17", p, "TT", "T") for p in range(101, 105)} | {aligned(REFERENCE, "17", 100, "GT", "G")}
+    assert forms == {(100, "GT", "G")}
+    assert {aligned(REFERENCE, "17", p, "T", "TT") for p in range(101, 106)} == {(100, "G", "GT")}
+    assert aligned(REFERENCE, "17", 100, "G", "C") == (100, "G", "C") and aligned(REFERENCE, "17", 1, "A", "a") is None
+    assert aligned(REFERENCE, "9", 50, "AT", "A") == (51, "T", "")
+    rows = spark.createDataFrame([("17", 104, "TT", "T"), ("17", 100, "g", "c"), ("9", 5, "AT", "A")], "contig string, pos long, ref string, alt string")
+    got = {(r["contig"], r["pos"]): tuple(r["aligned"]) for r in left_aligned(rows, REFERENCE).collect()}
+    assert got == {("17", 104): (100, "GT", "G", True), ("17", 100): (100, "G", "C", True), ("9", 5): (6, "T", "", False)}
+
+
+def test_listing_and_sample(spark):
+    html = '<a href="clinvar_20190603.vcf.gz">x</a> clinvar_20190603.vcf.gz.tbi clinvar_20180101.vcf.gz clinvar_20190603.vcf.gz clinvar_20181301.vcf.gz clinvar_20200101_papu.vcf.gz'
+    got = values(spark, [(html,)], "h string", releases.listed_dates(F.col("h")).cast("array<string>"))
+    assert got == [(["2018-01-01", "2019-06-03"],)]
+    days = spark.sql("SELECT explode(sequence(date'2020-01-01', date'2020-02-19')) AS release_date")
+    for k in (1, 3, 7, 49, 50, 80):
+        picked = [r[0].toordinal() for r in releases.systematic_sample(days, k).orderBy("release_date").collect()]
+        every = [r[0].toordinal() for r in days.collect()]
+        assert picked == (every if k >= 50 else [every[i * 50 // k] for i in range(k)])
