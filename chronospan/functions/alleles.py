@@ -133,7 +133,7 @@ def vcf_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """SRC-4: records of text lines; headers, short lines, several or symbolic alternatives go."""
     cols = F.split(F.rtrim(F.regexp_replace(F.col(column), r"[\r\n]+$", "")), "\t")
     rows = lines.where(F.col(column) != "").where(~F.startswith(F.col(column), F.lit("#"))).select(cols.alias("c")).where(F.size("c") >= 8)
-    c = F.col("c")
+    c = [F.get("c", F.lit(i)) for i in range(8)]  # filters may run in any order, so a missing column reads as null
     pos = F.when(F.trim(c[1]).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(c[1]).cast("long"))
     own = rows.select(c[2].alias("variation_id"), c[0].alias("contig"), pos.alias("pos"), c[3].alias("ref"), c[4].alias("alt"), info_map(c[7]).alias("info"))
     own = own.where("pos IS NOT NULL").where(~F.col("alt").contains(",") & ~F.startswith("alt", F.lit("<")) & ~F.col("alt").isin(".", "") & ~F.col("ref").isin(".", ""))
