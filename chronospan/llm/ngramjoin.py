@@ -9,13 +9,17 @@ SIMILAR per cent or more share k of their first n - ceil(SIMILAR * n) + k tokens
   its size step: stars.  Their links make provisional components, and only pairs
   of classes in different components are looked at afterwards, since only those
   can change a component.
-* A token of at most RARE classes gives its pairs.  Classes of more frequent
-  tokens extend their prefix: with g token classes, two similar sets share g + 1
-  tokens of the prefix extended by g, so two of them fall in one token class,
-  and the index holds the pairs of tokens of each token class.
-* A combination of at most RARE classes gives its pairs.  A still more frequent
-  one is worked off in tiles of bounded size, members that are outside its most
-  frequent component against all its members, and a tile emits survivors alone.
+* A token of at most RARE classes gives its pairs.  A class with a more frequent
+  token extends its prefix by g tokens, and the index holds its tokens that
+  aren't frequent, again as singles.  Two similar sets share g + 1 tokens of the
+  extended prefixes, so a class with at most g frequent ones shares another one
+  with each similar class: only pairs of classes that both have more are left.
+* For those dense classes the prefix is dealt into g token classes: of g + 1
+  shared tokens two fall in one, and the index holds the pairs of tokens of each
+  token class.  A combination of at most RARE classes gives its pairs.  Those of
+  a more frequent one are first linked to a few centres, then worked off in
+  tiles of bounded size: members outside its largest component against all its
+  members; a tile emits sketch survivors alone, each pair at one combination.
 * Candidates pass an odd sketch of SKETCH bits: bits that differ are tokens that
   differ, so no similar pair is lost.  Survivors are verified on whole sets.
 
@@ -37,6 +41,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronospan.llm.common import byte_table, per_text, saved, table
@@ -46,6 +51,8 @@ from chronospan.llm.decontam import Hasher
 SHINGLE, SIMILAR = 3, 90
 #: Classes of a token or combination whose pairs are listed; members and queries of a tile.
 RARE, TILE = 48, 512
+#: Centres with which a member of a frequent combination is compared before the tiles; a shortcut, not a bound on links.
+CENTRES = 4
 SKETCH = 2048
 #: Ids that are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
@@ -88,8 +95,23 @@ def sketch_of(tokens: np.ndarray, bits: int = SKETCH) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def identified(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, row, n and set hash of each document."""
+
+    def make():
+        hasher = Hasher()
+
+        def one(text: bytes | None) -> tuple:
+            tokens = tokens_of(text, hasher, shingle)
+            return len(tokens), set_hash(tokens) if len(tokens) else None
+
+        return one
+
+    return per_text(docs, make, "n long, set_hash binary", keys={"doc_id": F.col("doc_id"), "row": F.col("row")})
+
+
 def described(docs: DataFrame, shingle: int, similar: int) -> DataFrame:
-    """doc_id, row, n, set hash, the extended prefix and the sketch of each document."""
+    """doc_id, row, n, set hash, the extended prefix and the sketch of each document that has a shingle."""
 
     def make():
         hasher = Hasher()
@@ -105,7 +127,8 @@ def described(docs: DataFrame, shingle: int, similar: int) -> DataFrame:
 
         return one
 
-    return per_text(docs, make, "n long, set_hash binary, prefix array<long>, sketch binary", keys={"doc_id": F.col("doc_id"), "row": F.col("row")})
+    own = per_text(docs, make, "n long, set_hash binary, prefix array<long>, sketch binary", keys={"doc_id": F.col("doc_id"), "row": F.col("row")})
+    return own.where("n > 0")
 
 
 def combos_of(prefix: np.ndarray, n: int, similar: int) -> list[int]:
@@ -128,7 +151,7 @@ def similar_sizes(a: str, b: str, similar: int) -> Column:
 
 
 def candidates(pairs: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
-    """Distinct pairs (a, b) whose sizes and sketches allow similarity."""
+    """Distinct pairs (a, b) whose sizes and sketches allow similarity, and the bits that differ."""
     side = lambda x: reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(similar_sizes("na", "nb", similar))
 
@@ -140,7 +163,8 @@ def candidates(pairs: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
         return pd.Series(np.bitwise_count(u ^ v).sum(axis=1).astype(np.int64))
 
     # |x - y| + |y - x| <= (100 - similar) / (100 + similar) * (|x| + |y|)
-    return both.where((100 + similar) * differ("sa", "sb") <= (100 - similar) * (F.col("na") + F.col("nb"))).select("a", "b")
+    near = both.withColumn("differ", differ("sa", "sb"))
+    return near.where((100 + similar) * F.col("differ") <= (100 - similar) * (F.col("na") + F.col("nb"))).select("a", "b", "differ")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similar: int, name: str) -> DataFrame:
@@ -190,15 +214,30 @@ def keyed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return out.where(F.col("df") <= RARE), out.where(F.col("df") > RARE)
 
 
+def nearest(pairs: DataFrame, most: int = CENTRES) -> DataFrame:
+    """Of the pairs (a, b, differ) of each b the nearest few."""
+    w = W.partitionBy("b").orderBy("differ", "a")
+    return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("a", "b")
+
+
+def centred(rows: DataFrame) -> DataFrame:
+    """Pairs of a key's members with its centre, the member of smallest hash; each key has another."""
+    order = F.xxhash64("key", "c")
+    centre = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("c"))).alias("x")).select("key", F.col("x.c").alias("centre"))
+    both = rows.join(centre, "key").where("c <> centre")
+    return both.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b"))
+
+
 def tiled_pairs(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
     """Sketch survivors among rows of frequent keys: queries outside the key's largest component against all its rows, in tiles."""
     each = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = each.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("members"), (F.sum("k") - F.max("k")).alias("queries"))
-    own = rows.select("key", "c", "component").join(main, "key").join(reps.select("c", "n", "sketch"), "c")
+    keys = rows.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # as many as a class has combinations
+    own = rows.select("key", "c", "component").join(main, "key").join(reps.select("c", "n", "sketch"), "c").join(keys, "c")
     blocks = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     pick = lambda seed, n: F.pmod(F.xxhash64("c", F.lit(seed)), blocks(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(blocks(n), F.lit(1)) - 1))
-    kept = ["key", "c", "component", "n", "sketch"]
+    kept = ["key", "c", "component", "n", "sketch", "keys"]
     queries = own.where("component <> main").select(*kept, F.lit(True).alias("query"), pick(1, "queries").alias("i"), "members").select(*kept, "query", "i", upto("members").alias("j"))
     members = own.select(*kept, F.lit(False).alias("query"), pick(2, "members").alias("j"), "queries").select(*kept, "query", upto("queries").alias("i"), "j")
 
@@ -206,15 +245,20 @@ def tiled_pairs(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
         q, m = part[part["query"]], part[~part["query"]]
         if not len(q) or not len(m):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        key = int(part["key"].iat[0])
         bits = lambda s: np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1)
         mb, mn, mc, mk = bits(m["sketch"]), m["n"].to_numpy(), m["c"].to_numpy(), m["component"].to_numpy()
+        # keys below this one: a pair that shares one of them is emitted there
+        lower = [set(x[: np.searchsorted(x, key)].tolist()) for x in map(np.asarray, m["keys"])]
         out = []
-        for sketch, n, c, k in zip(bits(q["sketch"]), q["n"], q["c"], q["component"], strict=True):
+        for sketch, n, c, k, keys in zip(bits(q["sketch"]), q["n"], q["c"], q["component"], q["keys"], strict=True):
             near = np.flatnonzero((mk != k) & (100 * np.minimum(mn, n) >= similar * np.maximum(mn, n)))
             if len(near):
                 differ = np.bitwise_count(mb[near] ^ sketch).sum(axis=1)
                 near = near[(100 + similar) * differ <= (100 - similar) * (mn[near] + n)]
-                out += [(min(c, x), max(c, x)) for x in mc[near].tolist()]
+                own = np.asarray(keys)
+                own = own[: np.searchsorted(own, key)].tolist()
+                out += [(min(c, mc[x]), max(c, mc[x])) for x in near.tolist() if lower[x].isdisjoint(own)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return queries.unionByName(members).groupBy("key", "i", "j").applyInPandas(tile, "a long, b long").distinct()
@@ -229,29 +273,38 @@ def join_ngrams(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR)
     # a row's number must not change between scans, so it comes from its content
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    base = saved(described(docs, shingle, similar), "described")
-    full = base.where("n > 0")
-    first = full.groupBy("set_hash").agg(F.min("doc_id").alias("smallest"), F.first(F.struct("row", "n", "prefix", "sketch")).alias("x"))
+    # the texts are read once more for the rows, so that prefixes and sketches are stored for classes alone
+    base = saved(identified(docs, shingle), "identified")
+    first = described(docs, shingle, similar).groupBy("set_hash").agg(F.min("doc_id").alias("smallest"), F.first(F.struct("row", "n", "prefix", "sketch")).alias("x"))
     reps = saved(first.select(F.monotonically_increasing_id().alias("c"), "set_hash", "smallest", "x.*"), "classes")
 
     p = F.least(F.col("n"), F.col("n") - F.ceil(similar * F.col("n") / 100) + 1).cast("int")
-    singles = reps.select("c", "n", F.explode(F.slice("prefix", 1, p)).alias("key"))
-    shared = singles.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    postings = saved(singles.join(shared, "key"), "postings")
+    singles = reps.select("c", F.explode(F.slice("prefix", 1, p)).alias("key"))
+    shared = singles.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
+    postings = saved(singles.join(shared, "key").join(reps.select("c", "n"), "c"), "postings")
 
     # stars: the smallest class of each token and size step
     step = F.floor(F.log(F.col("n")) / -math.log(similar / 100) + 1e-9) if similar < 100 else F.col("n")
     stepped = postings.withColumn("step", step)
     centre = stepped.groupBy("key", "step").agg(F.min("c").alias("a"))
     stars = stepped.join(centre, ["key", "step"]).where("a < c").select("a", F.col("c").alias("b"))
-    links = verified(candidates(stars, reps, similar), docs, reps, shingle, similar, "stars")
-    provisional = components(links)
+    links = verified(nearest(candidates(stars, reps, similar)), docs, reps, shingle, similar, "stars")
+
+    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        known = components(links).withColumnRenamed("node", "c")
+        return rows.join(known, "c", "left").withColumn("component", F.coalesce("component", "c"))
 
-    def with_component(rows: DataFrame) -> DataFrame:
-        return rows.join(provisional.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    rare, frequent = keyed(placed(postings.select("key", "c", "n"), links), "tokens")
 
-    rare, frequent = keyed(with_component(postings.select("key", "c", "n")), "tokens")
-    suspects = frequent.select("c", "n", "component").distinct().join(reps.select("c", "prefix"), "c")
+    # classes with a frequent token: the other tokens of the extended prefix, and how many are frequent
+    hot = frequent.select("key").distinct().withColumn("hot", F.lit(True))
+    suspects = frequent.select("c", "n", "component").distinct()
+    longer = suspects.join(reps.select("c", "prefix"), "c").select("c", "n", "component", F.explode("prefix").alias("key")).join(hot, "key", "left")
+    longer = saved(longer, "extended")
+    rare2, frequent2 = keyed(longer.where("hot IS NULL").select("key", "c", "n", "component"), "extended-tokens")
+    counts = longer.where("hot").select("c", "key").unionByName(frequent2.select("c", "key")).groupBy("c").agg(F.count("*").alias("frequent"))
+    least_classes = F.floor((1 - similar / 100) / 2 * F.pow(F.lit(similar / 100), -step)).cast("long") if similar < 100 else F.lit(1)
+    dense = suspects.join(counts, "c").where(F.col("frequent") > F.greatest(least_classes, F.lit(1)) - 1)  # one less, should a logarithm be rounded
 
     def combine(parts):
         for part in parts:
@@ -259,10 +312,15 @@ def join_ngrams(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR)
             each = part[["c", "n", "component"]].loc[part.index.repeat([len(k) for k in keys])]
             yield each.assign(key=np.array([h for k in keys for h in k], np.int64))[["key", "c", "n", "component"]]
 
-    combined = suspects.mapInPandas(combine, "key long, c long, n long, component long")
-    rare2, frequent2 = keyed(combined, "combinations")
-    pairs = listed_pairs(rare.drop("df"), similar).unionByName(listed_pairs(rare2.drop("df"), similar)).unionByName(tiled_pairs(frequent2, reps, similar))
-    more = verified(candidates(pairs, reps, similar), docs, reps, shingle, similar, "pairs")
+    combined = saved(dense.drop("frequent").join(reps.select("c", "prefix"), "c").mapInPandas(combine, "key long, c long, n long, component long"), "combined")
+    rare3, frequent3 = keyed(combined, "combinations")
+    more = verified(nearest(candidates(centred(frequent3), reps, similar)), docs, reps, shingle, similar, "centres")
+    links = saved(links.unionByName(more), "links")
+    _, frequent3 = keyed(placed(frequent3.select("key", "c", "n"), links), "combinations")
+    pairs = tiled_pairs(frequent3, reps, similar)
+    for own in (rare, rare2, rare3):
+        pairs = pairs.unionByName(listed_pairs(own.drop("df"), similar))
+    more = verified(candidates(pairs, reps, similar).drop("differ"), docs, reps, shingle, similar, "pairs")
 
     whole = components(links.unionByName(more)).withColumnRenamed("node", "c")
     classes = reps.select("c", "set_hash", "smallest").join(whole, "c", "left").withColumn("component", F.coalesce("component", "c"))
