@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,10 +47,14 @@ _local: dict[str, str] = {}
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends here.
 
-    A lost executor costs a re-read of the files, not a recomputation.
+    A lost executor costs a re-read of the files, not a recomputation.  The
+    shuffle files behind the table are of no more use; Spark deletes them once the
+    driver collects the plans that own them, so that is asked for here.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
