@@ -4,9 +4,13 @@ A line ends at a line break or after the punctuation that ends a sentence, so a
 passage set into a longer line still has lines of its own.  A line of at least
 MIN_LINE_WORDS words is rare enough to link documents: each later document is
 linked to the first document, by doc_id, that holds the line, never to all that
-hold it, so a line of a third of all documents gives one link to each.  Linked
-documents that share MIN_SHARED_WORDS words of such lines are aligned by
-patience diff: lines that occur once in either are matched along a longest
+hold it, so a line of a third of all documents gives one link to each.  The first
+document with a whole block need not be the first with any of its lines, so
+runs of neighbouring lines link too: from each line forwards and to each line
+backwards, the shortest run of MIN_BLOCK_WORDS words links to the first document
+that holds the run.  Each line of a block of that many words is in such a run.
+Documents linked by a run, or that share MIN_SHARED_WORDS words of lines linked
+one by one, are aligned by patience diff: lines that occur once in either are matched along a longest
 increasing sequence, and matches grow over equal neighbours.  Aligned blocks of
 consecutive lines with at least MIN_BLOCK_WORDS words are deleted from the later
 document; what remains is aligned again until there is no such block, so moved
@@ -28,18 +32,23 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chronospan.llm.common import small_batches, table
+from chronospan.llm.common import saved, small_batches, table
 
 MIN_LINE_WORDS, MIN_SHARED_WORDS, MIN_BLOCK_WORDS = 4, 15, 30
 #: Where a line ends; the pieces joined give the text again.
 LINE_END = r"""(?<=\n)|(?<=[.!?*#$%&|"'] )"""
 _SPACE = " \t\n\x0b\x0c\r"
+#: Base of the hash of a run, odd, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def lines_of(text: Column) -> Column:
@@ -140,20 +149,63 @@ def hashed(docs: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, line_words: int = MIN_LINE_WORDS, shared_words: int = MIN_SHARED_WORDS) -> DataFrame:
-    """doc_id and first_id of documents that share so many words of lines which first_id holds first."""
-    each = F.filter(F.arrays_zip("keys", "words"), lambda x: x["words"] >= line_words)
-    held = hashed(docs).select("doc_id", F.explode(F.array_distinct(each)).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.words").alias("words"))
-    first = held.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
-    near = held.join(first, "key").where("doc_id > first_id")
+def runs(keys: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, hash and words of the shortest runs of ``least`` words from, and to, each line with words.
+
+    Lines offsets[k] to offsets[k + 1] are those of document k.  The hash of a
+    run of one line is the line's own.
+    """
+    n = len(keys)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    place = np.flatnonzero(words)
+    end = np.searchsorted(total, total[place] + least)
+    ahead = end <= offsets[doc[place] + 1]
+    start = np.searchsorted(total, total[place + 1] - least, side="right") - 1
+    behind = start >= offsets[doc[place]]
+    first = np.concatenate((place[ahead], start[behind]))
+    last = np.concatenate((end[ahead], place[behind] + 1))
+    power = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(keys.view(np.uint64) * power(_BASE)[:n])))
+    made = (sums[last] - sums[first]) * power(_INVERSE)[first]
+    return doc[first], made.view(np.int64), total[last] - total[first]
+
+
+def links(own: DataFrame, line_words: int = MIN_LINE_WORDS, shared_words: int = MIN_SHARED_WORDS, block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """doc_id and first_id of documents, as ``hashed`` gives them, that share so many words of lines, or a run, which first_id holds first."""
+    schema = T.StructType.fromDDL("doc_id long, key long, words long")
+    arrow = to_arrow_schema(schema)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            offsets = part.column(1).offsets.to_numpy().astype(np.int64)
+            keys = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            words = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = offsets - offsets[0]
+            long = np.flatnonzero(words >= line_words)
+            d, k, n = runs(keys, words, offsets, max(1, block_words))
+            doc = np.concatenate((np.repeat(np.arange(len(ids)), np.diff(offsets))[long], d))
+            key = np.concatenate((keys[long], k))
+            size = np.concatenate((words[long], np.maximum(n, shared_words)))  # a run is enough
+            order = np.lexsort((size, key, doc))
+            doc, key, size = doc[order], key[order], size[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]], pa.int64()), pa.array(key[new]), pa.array(size[new])], schema=arrow)
+
+    held = own.select("doc_id", "keys", "words").mapInArrow(batches, schema)
+    # one exchange; the running minimum keeps no rows of a frequent key
+    so_far = W.partitionBy("key").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = held.withColumn("first_id", F.min("doc_id").over(so_far)).where("first_id < doc_id")
     return near.groupBy("doc_id", "first_id").agg(F.sum("words").alias("shared")).where(F.col("shared") >= shared_words).drop("shared")
 
 
 def deletions(docs: DataFrame, line_words: int = MIN_LINE_WORDS, shared_words: int = MIN_SHARED_WORDS, block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """doc_id, text_hash and the numbers of the lines to delete, from 0."""
     small_batches(docs.sparkSession)
-    own = hashed(docs)
-    later = links(docs, line_words, shared_words).join(own.drop("keys"), "doc_id")
+    own = saved(hashed(docs), "lines")  # texts are split and hashed once
+    later = links(own, line_words, shared_words, block_words).join(own.drop("keys"), "doc_id")
     earlier = own.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("earlier"))
     pairs = later.join(earlier, "first_id").select("doc_id", "text_hash", "lines", "words", "earlier")
     schema = T.StructType.fromDDL("doc_id long, text_hash long, gone array<int>")

@@ -241,6 +241,39 @@ def test_line_dedup_passages(spark):
     assert "Satz" not in got[400] and own(400) in got[400]
 
 
+def test_line_dedup_links_by_runs(spark):
+    """A paragraph goes although each of its sentences, or each half, is first held by another document; lines of few words link as a run."""
+    stock = [f"Stock sentence {w} of exactly twelve words stands in many other texts." for w in "abcde"]
+    half = [" ".join(f"{w}{k} half sentence here." if k < 4 else f"{w}{k} the longer ninth end of this half." for k in range(5)) + f" And {w}z." for w in "pq"]
+    short = " ".join(f"Few {k} words." for k in range(11))
+    own = lambda i: f"Own words number {i} and more {i * 7} of them here. "
+    rows = [(i, own(i) + x) for i, x in enumerate(stock + half)]
+    rows += [(10, f"{own(10)}{' '.join(stock)} {own(90)}"), (11, f"{own(11)}{' '.join(stock)} {own(91)}"), (12, own(12) + " ".join(half)), (13, own(13) + " ".join(half)), (14, own(14) + short), (15, own(15) + short)]
+    got = {r["doc_id"]: r["text"] for r in linededup.without_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in rows if i not in (11, 13, 15))
+    assert "Stock" not in got[11] and "half" not in got[13] and "Few" not in got[15] and all(own(i) in got[i] for i in (11, 13, 15))
+
+
+def test_runs_brute_force():
+    """Every line with words of every block of so many words is in a run of that block."""
+    rng = random.Random(14)
+    for _ in range(100):
+        sizes = [rng.randint(0, 12) for _ in range(4)]
+        offsets = np.cumsum([0, *sizes])
+        words = np.array([rng.choice((0, 1, 3, 9, 14, 35)) for _ in range(offsets[-1])], np.int64)
+        keys = np.array([rng.randrange(-(1 << 63), 1 << 63) for _ in words], np.int64)
+        got = set(zip(*(x.tolist() for x in linededup.runs(keys, words, offsets, 30)), strict=True))
+        hashes = {(i, e): sum(int(keys[u]) * pow(linededup._BASE, u - i, 1 << 64) for u in range(i, e)) % (1 << 64) for d in range(4) for i in range(offsets[d], offsets[d + 1]) for e in range(i + 1, offsets[d + 1] + 1)}
+        signed = {k: h - (1 << 64) * (h >> 63) for k, h in hashes.items()}
+        spans = [(i, e) for d in range(4) for i in range(offsets[d], offsets[d + 1]) for e in range(i + 1, offsets[d + 1] + 1) if (d, signed[i, e], words[i:e].sum()) in got and words[i:e].sum() >= 30]
+        assert {h for _, h, _ in got} == {signed[x] for x in spans}
+        for d in range(4):
+            for i in range(offsets[d], offsets[d + 1]):
+                for e in range(i + 1, offsets[d + 1] + 1):
+                    if words[i:e].sum() >= 30:
+                        assert {u for a, b in spans if i <= a and b <= e for u in range(a, b)} >= {u for u in range(i, e) if words[u]}
+
+
 # 7 -----------------------------------------------------------------------------
 
 
