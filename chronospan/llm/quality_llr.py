@@ -4,8 +4,8 @@ Each text's words and pairs of neighbouring words are hashed into BUCKETS.  Two
 multinomials over the buckets, one of trusted target documents and one of the
 whole raw corpus, give each bucket a log ratio; a text's score is the sum over
 its n-grams divided by their number, and every text whose score is at least
-THRESHOLD passes.  Raw counts cover every document.  The trusted documents are
-a bounded sample: at most TRUSTED_DOCS of those labelled good, by hash of the id.
+THRESHOLD passes.  Raw counts cover every document, trusted counts every document
+labelled good.
 
 The rules count characters, symbols, repeated lines and repeated windows of
 five words within each row, without a shuffle.  Repeated windows: texts whose
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from chronospan.llm.common import id_and_text, table
 
-#: Buckets of the multinomials, pseudo-count of each, bound of the trusted sample, lowest score that passes.
-BUCKETS, PSEUDO, TRUSTED_DOCS, THRESHOLD = 1 << 14, 1.0, 20_000, -0.12
+#: Buckets of the multinomials, pseudo-count of each, lowest score that passes.
+BUCKETS, PSEUDO, THRESHOLD = 1 << 14, 1.0, -0.12
 #: Rules: fewest words, words of a window, most per cent of words in repeated windows.
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
 SPACE = " \t\n\x0b\x0c\r"
@@ -43,9 +43,9 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return id_and_text(docs).select("doc_id", text.alias("text"), words_of(text).alias("words")).withColumn("n", F.size("words"))
+def with_words(docs: DataFrame, *more: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, text.alias("text"), words_of(text).alias("words")).withColumn("n", F.size("words"))
 
 
 def buckets(words: Column, n: Column, modulus: int) -> Column:
@@ -55,16 +55,17 @@ def buckets(words: Column, n: Column, modulus: int) -> Column:
     return F.concat(one, two)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of at most ``most`` documents labelled good."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, modulus: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
     """One row, one column ``weights``: the log ratio of each bucket, in order of the buckets."""
-    flagged = with_words(docs).join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")  # at most TRUSTED_DOCS ids
-    grams = flagged.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(buckets(F.col("words"), F.col("n"), modulus)).alias("b"))
+    # ids grow with the corpus: Spark broadcasts them only while they are few, and else moves the texts, not their words
+    flagged = id_and_text(docs).join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
+    rows = with_words(flagged, "trusted_id")
+    grams = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(buckets(F.col("words"), F.col("n"), modulus)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(modulus).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0, ["raw", "good"])
     row = every.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.sort_array(F.collect_list(F.struct("b", "raw", "good"))).alias("each"))
@@ -103,7 +104,7 @@ def rule_counts(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, modulus: int = BUCKETS, pseudo: float = PSEUDO, threshold: float = THRESHOLD) -> DataFrame:
-    """Counts, score and verdict of every document; ``trusted`` holds a bounded number of ids as trusted_id."""
+    """Counts, score and verdict of every document; ``trusted`` holds each trusted id once, as trusted_id."""
     weights = log_ratios(docs, trusted, modulus, pseudo)
     rows = rule_counts(with_words(docs)).withColumn("grams", buckets(F.col("words"), F.col("n"), modulus)).withColumn("weights", weights.scalar())
     w, grams = F.col("weights"), F.col("grams")

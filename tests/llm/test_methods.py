@@ -405,6 +405,11 @@ def test_log_ratio_brute_force(spark):
     assert all(math.isclose(got[i], sum(w[b] for b in g) / max(1, len(g)), abs_tol=1e-12) for i, g in grams.items())
 
 
+def test_all_good_documents_are_trusted(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality_llr.trusted_ids(labels.union(labels)).count() == 25_000
+
+
 # 10 ----------------------------------------------------------------------------
 
 BASE = {
