@@ -43,7 +43,7 @@ isc | isc | isc licen[cs]e | isc
 zlib | zlib | zlib(?: libpng)? licen[cs]e | zlib
 libpng | libpng | libpng licen[cs]e | libpng
 bsl-1.0 | bsl 1 0 | boost software licen[cs]e(?: version)?(?: 1 0)? | boost
-gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 1|gpl ?v1)(?: 0)? | 1
+gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 1|gpl ?v1)(?: 0)? | -
 gpl-2.0 | gpl 2 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 2|gpl ?v2)(?: 0)? | -
 gpl-3.0 | gpl 3 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 3|gpl ?v3)(?: 0)? | -
 lgpl-2.0 | lgpl 2 0(?: only| or later)? | gnu library general public licen[cs]e(?: version)? 2(?: 0)? | library

@@ -156,6 +156,43 @@ def test_license_rules():
                 assert rule.words <= set(line.split()) and licenses.TRIGGERS & set(line.split())
 
 
+def spelled(parsed, rng):
+    """A random text of a parsed pattern."""
+    out = ""
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(x)
+            case "ANY":
+                out += "x "  # gaps are whole words
+            case "IN":
+                out += chr(rng.choice([y for kind, y in x if str(kind) == "LITERAL"]))
+            case "BRANCH":
+                out += spelled(rng.choice(x[1]), rng)
+            case "SUBPATTERN":
+                out += spelled(x[-1], rng)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(spelled(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_prefilter_hides_no_alternative():
+    """Random texts of each rule, all its alternatives among them, have its words and a trigger."""
+    from re import _parser
+
+    rng = random.Random(15)
+    for rule, pattern in licenses.compiled():
+        parsed = _parser.parse(rule.pattern)
+        for text in {spelled(parsed, rng) for _ in range(60)}:
+            assert pattern.fullmatch(f" {text} ".encode(), 1, len(text) + 2) or pattern.search(f" {text} ".encode())
+            words = set(text.encode().split())
+            assert rule.words <= words and licenses.TRIGGERS & words, (rule.label, text)
+    for text in (b"released under the GPL v1", b"GPLv1"):
+        assert "gpl-1.0" in licenses.scan(text).labels.split(",")
+
+
 # 4 -----------------------------------------------------------------------------
 
 
