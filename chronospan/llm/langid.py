@@ -1,14 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 From labelled texts, each language gets a suffix automaton over its most
-frequent words, all languages from equally many characters.  A word, between
+frequent words, at most TRAIN_CHARS characters of each language.  A word, between
 two borders, is parsed from left to right into the longest stretches that the
 automaton holds; the language that needs the fewest phrases for a text's
 characters wins.  Phrases end at word borders, so a word's counts depend on the
 word alone and each task keeps those of the words that it meets first.
 
 Fitting reads a bounded sample: at most SAMPLE_DOCS labelled documents of each
-language, those whose text has the smallest hashes.  Prediction reads whole
+language, the distinct texts with the smallest hashes.  Prediction reads whole
 texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
@@ -98,10 +98,10 @@ def fold(word: bytes) -> str:
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, Automaton]:
     """An automaton for each value of ``lang`` in ``labelled`` (lang, text)."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
-    # enough hashes for half as many again as wanted; only those reach the window
+    # enough hashes for half as many distinct texts again as wanted; only those reach the window
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample_docs / n + 50 / n)))])
     near = known.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30)).dropDuplicates(["lang", "h"])
     first = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs)

@@ -241,6 +241,14 @@ def test_language_on_held_out_rows(spark):
     assert few.predict(b"ab ba ab cd") == langid.Parser(model).predict(b"ab ba ab cd")
 
 
+def test_language_of_copies(spark):
+    """A language whose rows are mostly copies keeps its distinct texts."""
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    many = spark.range(20_000).selectExpr("'a' AS lang", f"element_at(split('{' '.join(words)}', ' '), CAST(id % 5 AS INT) + 1) AS text")
+    model = langid.fit(many.union(spark.createDataFrame([("b", "un texte")], "lang string, text string")))
+    assert [langid.phrases(f" {w} ", model["a"]) for w in words] == [1] * 5
+
+
 # 6 -----------------------------------------------------------------------------
 
 
