@@ -15,13 +15,15 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronospan.functions.alleles import allele_id
+from chronospan.functions.leftalign import STRETCH, left_aligned
 from chronospan.locks import lock
 from chronospan.operators import cases, ledger, movement, timeline
 from chronospan.schemas import LEDGER, TENANT, TOKEN_EVENT
 from chronospan.service import Timeline
 from chronospan.session import session
 from chronospan.sources import ingest as ingesting
-from chronospan.sources import snapshots
+from chronospan.sources import snapshots, store
 
 THRESHOLD = 0.03
 
@@ -42,27 +44,27 @@ def ingest(spark, a):
 
 def spans(spark, a):
     raw = _raw(spark, a)
-    own = timeline.sparse_spans(raw)
-    for name, table in (("snapshot_manifest", raw.select("snapshot_id", "panel", "release_date").distinct()), ("allele_dim", timeline.allele_dim(raw)), ("assertion_span", own)):
-        table.write.mode("overwrite").parquet(f"{a.root}/{name}")
-    return [r.asDict() for r in timeline.span_stats(spark.read.parquet(f"{a.root}/assertion_span")).collect()]
+    made = store.build(raw, a.root)
+    new = f"{a.root}/_next-manifest"
+    raw.select("snapshot_id", "panel", "release_date").distinct().write.mode("overwrite").parquet(new)
+    snapshots.replaced(spark, new, f"{a.root}/snapshot_manifest")
+    return [r.asDict() for r in timeline.span_stats(made.spans).collect()]
 
 
 def spike(spark, a):
-    raw = _raw(spark, a)
-    own = timeline.sparse_spans(raw)
-    keys = movement.suspect_keys(movement.detected(movement.step_series_from_spans(own, timeline.releases(raw)), a.threshold))
-    return [r.asDict() for r in movement.panel_movement(own, a.baseline, a.now, keys).collect()]
+    made = store.stored_in(spark, a.root)
+    keys = movement.suspect_keys(movement.detected(made.steps, a.threshold))
+    return [r.asDict() for r in movement.panel_movement(made.spans, a.baseline, a.now, keys).collect()]
 
 
 def timeline_(spark, a):
-    own = spark.read.parquet(f"{a.root}/assertion_span").where(F.col("panel") == a.panel)
+    own = store.stored_in(spark, a.root).spans.where(F.col("panel") == a.panel)
     return [r.asDict() for r in own.orderBy("pos", "allele_id", "valid_from").limit(a.limit).collect()]
 
 
 def provenance(spark, a):
-    raw = _raw(spark, a)
-    return [r.asDict() for r in raw.groupBy("panel", "release_date").agg(F.count("*").alias("rows")).orderBy("panel", "release_date").collect()]
+    manifests = snapshots.load_manifests(spark, f"{a.root}/snapshots/manifests/*")
+    return [r.asDict() for r in snapshots.provenance(spark, manifests, f"{a.root}/snapshots").collect()]
 
 
 def export_public(spark, a):
@@ -90,26 +92,32 @@ def tenant_revoke(spark, a):
 
 
 def case_load(spark, a):
+    """Cases are left-aligned where the folder holds reference stretches."""
     good, bad = cases.load_csv(spark, a.csv, a.tenant)
-    with lock(f"{a.lock}"):
-        snapshots.replace_tenant(good, f"{a.root}/case_variant")
+    if snapshots._exists(spark, f"{a.root}/reference"):
+        moved = left_aligned(good, spark.read.schema(STRETCH).parquet(f"{a.root}/reference")).where("aligned IS NOT NULL")
+        t = F.col("aligned")
+        good = moved.withColumns({"pos": t["pos"], "ref": t["ref"], "alt": t["alt"], "allele_id": F.coalesce(allele_id("GRCh38", F.col("contig"), t["pos"], t["ref"], t["alt"]), "allele_id")}).drop("aligned")
+    with lock(_lock(a)):
+        snapshots.replace_tenant(good, f"{a.root}/case_variant", a.tenant)
     return {"loaded": good.count(), "rejected": [r.asDict() for r in bad.collect()]}
 
 
 def case_demo(spark, a):
-    own = spark.read.parquet(f"{a.root}/assertion_span").where(F.col("panel") == a.panel)
-    picked = cases.sample_cases(own, a.on, a.limit, a.seed)
-    out = picked.select(F.concat(F.lit("demo-"), F.substring(F.md5(F.col("allele_id").cast("binary")), 1, 8)).alias("case_ref"), "gene", "contig", "pos", "ref", "alt", F.col("bucket").alias("reported_classification"), F.lit(a.on).alias("reported_on"))
+    made = store.stored_in(spark, a.root)
+    of_panel = F.col("panel") == a.panel
+    out = cases.demo_cases(made.spans.where(of_panel), made.releases.where(of_panel), a.limit, a.seed)
     out.coalesce(1).write.mode("overwrite").csv(a.csv, header=True)  # SNK-11
     return a.csv
 
 
 def case_report(spark, a):
-    own = Timeline(_raw(spark, a), a.panel, a.threshold)
-    try:
-        return own.case_report(spark.read.parquet(f"{a.root}/case_variant"), a.tenant, a.limit)
-    finally:
-        own.close()
+    own = Timeline(store.stored_in(spark, a.root), a.panel, a.threshold)
+    return own.case_report(spark.read.parquet(f"{a.root}/case_variant"), a.tenant, a.limit)
+
+
+def _lock(a) -> str:
+    return a.lock or f"{a.root.removeprefix('file://')}/.lock"
 
 
 def _ledger(spark, a):
@@ -117,7 +125,7 @@ def _ledger(spark, a):
 
 
 def case_review(spark, a):
-    with lock(f"{a.lock}"):
+    with lock(_lock(a)):
         entry = ledger.append(_ledger(spark, a), a.tenant, a.allele, a.case, a.verdict, a.rationale, a.reviewer, a.snapshot)
         entry.write.mode("append").parquet(f"{a.root}/decision_ledger")
     return entry.first().asDict()
@@ -146,7 +154,7 @@ OPTIONS = "lines regions release panel target tenant label name token csv allele
 def main(args: list[str] | None = None, spark: SparkSession | None = None):
     parser = argparse.ArgumentParser(prog="chronospan")
     parser.add_argument("--root", required=True)
-    parser.add_argument("--lock", default="/tmp/chronospan.lock")
+    parser.add_argument("--lock", default="")
     parser.add_argument("command", choices=COMMANDS)
     for option in OPTIONS:
         parser.add_argument(f"--{option}", default="")

@@ -1,70 +1,77 @@
-"""SCL-9, SCL-10: indels moved as far left as a reference sequence lets them."""
+"""SCL-9, SCL-10, SRC-19: indels moved as far left as a reference sequence lets them, in column expressions.
+
+A reference is a table of stretches (contig, start, bases), 1-based, that don't
+overlap within a contig; ``kept_stretches`` writes it once and reads it after.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronospan.operators.timeline import small
+
 MAX_SHIFT = 500
+STRETCH = "contig string, start long, bases string"
 
-#: Reference stretches: contig -> (position of the first base, bases).
-Reference = dict[str, tuple[int, str]]
 
+def kept_stretches(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], read: Callable[[str, int, int], str]) -> DataFrame:
+    """SRC-19: the stretches of ``path``; those of ``regions`` (contig, start, end) that it lacks are read and appended, as many as a panel has."""
+    from chronospan.sources.snapshots import _exists
 
-def base_at(reference: Reference, contig: str, pos: int) -> str | None:
-    """The base at a 1-based position; None outside the stretch or where it is none of ACGT."""
-    start, bases = reference.get(contig, (1, ""))
-    at = pos - start
-    return b if 0 <= at < len(bases) and (b := bases[at].upper()) in "ACGT" else None
+    there = {(r["contig"], r["start"]) for r in spark.read.parquet(path).select("contig", "start").collect()} if _exists(spark, path) else set()
+    new = [(c, s, read(c, s, e)) for c, s, e in regions if (c, s) not in there]
+    if new or not there:
+        spark.createDataFrame(new, STRETCH).write.mode("append").parquet(path)
+    return spark.read.schema(STRETCH).parquet(path)
 
 
-def aligned(reference: Reference, contig: str, pos: int, ref: str, alt: str, most: int = MAX_SHIFT) -> tuple[int, str, str] | None:
-    """(pos, ref, alt) of the leftmost form, None if both alleles are equal.
+def _alike(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings."""
+    n = F.least(F.length(a), F.length(b))
+    other = F.array_position(F.zip_with(F.split(F.left(a, n), ""), F.split(F.left(b, n), ""), lambda x, y: x != y), True)
+    return F.when(n <= 0, 0).when(other == 0, n).otherwise(other - 1).cast("int")
 
-    Outside the reference an indel stays without its padding base, so its
-    identity differs from the padded one; ``covered`` in ``left_aligned`` tells.
-    """
-    ref, alt = ref.upper(), alt.upper()
-    n = 0
-    while n < min(len(ref), len(alt)) and ref[len(ref) - 1 - n] == alt[len(alt) - 1 - n]:
-        n += 1
-    ref, alt = ref[: len(ref) - n], alt[: len(alt) - n]
-    n = 0
-    while n < min(len(ref), len(alt)) and ref[n] == alt[n]:
-        n += 1
-    ref, alt, pos = ref[n:], alt[n:], pos + n
-    if ref and alt:
-        return pos, ref, alt
-    unit = ref or alt
-    if not unit:
-        return None
-    shifts = 0
-    # the unit turns by one base for each equal base on its left
-    while pos > 1 and shifts < most and base_at(reference, contig, pos - 1) == unit[-1]:
-        unit = unit[-1] + unit[:-1]
-        pos, shifts = pos - 1, shifts + 1
-    pad = base_at(reference, contig, pos - 1)
-    first, second = (unit, "") if ref else ("", unit)
-    return (pos, first, second) if pad is None else (pos - 1, pad + first, pad + second)
-
-
-def left_aligned(rows: DataFrame, reference: Reference) -> DataFrame:
-    """Adds ``aligned`` (pos, ref, alt) and ``covered``; only indels leave the JVM.
-
-    ``reference`` holds the panel's regions: its size is bounded by the panel.
+
+def base_at(pos: Column) -> Column:
+    """SCL-10: the base of a stretch (start, bases) at a position; null outside it or where it is none of ACGT."""
+    start, bases = F.col("start"), F.col("bases")
+    at = F.upper(F.substring(bases, (pos - start + 1).cast("int"), F.lit(1)))
+    return F.when((pos >= start) & (pos < start + F.length(bases)) & at.isin(*"ACGT"), at)
+
+
+def left_aligned(rows: DataFrame, reference: DataFrame, most: int = MAX_SHIFT) -> DataFrame:
+    """Adds ``aligned`` (pos, ref, alt, covered): the leftmost form; null if both alleles are equal.
+
+    A substitution is only put in upper case.  Outside the reference an indel
+    stays without its padding base, so its identity differs from the padded
+    one's; ``covered`` tells whether the reference has its place.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(reference)
-
-    @F.pandas_udf("pos long, ref string, alt string, covered boolean")
-    def move(contig: pd.Series, pos: pd.Series, ref: pd.Series, alt: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, p, r, a in zip(contig, pos, ref, alt, strict=True):
-            got = aligned(shared.value, c, int(p), r, a)
-            out.append((*got, base_at(shared.value, c, int(p)) is not None) if got else (None, None, None, None))
-        return pd.DataFrame(out, columns=["pos", "ref", "alt", "covered"]).astype({"pos": "Int64", "covered": "boolean"})
-
-    indel: Column = F.length("ref") != F.length("alt")
-    same = F.struct(F.col("pos").cast("long").alias("pos"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), F.lit(True).alias("covered"))
-    moved = rows.where(indel).withColumn("aligned", move("contig", F.col("pos").cast("long"), "ref", "alt"))
-    return moved.unionByName(rows.where(~indel).withColumn("aligned", same))
+    names = rows.columns
+    own = rows.select(F.struct(*names).alias("row"), F.col("contig"), F.col("pos").cast("long").alias("pos"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"))
+    r = small(reference.select(F.col("contig").alias("on"), F.col("start").cast("long").alias("start"), "bases"))
+    own = own.join(r, (F.col("contig") == F.col("on")) & (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("start") + F.length("bases")), "left")
+    tail = _alike(F.reverse("ref"), F.reverse("alt"))
+    own = own.withColumn("tail", tail).withColumn("a", F.left("ref", F.length("ref") - F.col("tail"))).withColumn("b", F.left("alt", F.length("alt") - F.col("tail")))
+    own = own.withColumn("head", _alike(F.col("a"), F.col("b"))).withColumn("p", F.col("pos") + F.col("head"))
+    rest = lambda c: F.substring(F.col(c), F.col("head") + 1, F.length(c))
+    own = own.withColumn("a", rest("a")).withColumn("b", rest("b")).withColumn("unit", F.concat("a", "b")).withColumn("n", F.length("unit"))
+    # bases on the left, nearest first, against the unit repeated backwards: each equal one is a step
+    room = F.when((F.col("p") > F.col("start")) & (F.col("p") <= F.col("start") + F.length("bases")), F.least(F.lit(most), F.col("p") - F.col("start"), F.col("p") - 1)).otherwise(0).cast("int")
+    own = own.withColumn("room", F.coalesce(room, F.lit(0)))
+    before = F.regexp_replace(F.reverse(F.upper(F.substring("bases", (F.col("p") - F.col("start") + 1).cast("int") - F.col("room"), F.col("room")))), "[^ACGT]", ".")
+    backwards = F.left(F.repeat(F.reverse("unit"), F.ceil(F.col("room") / F.greatest(F.col("n"), F.lit(1))).cast("int")), F.col("room"))
+    own = own.withColumn("k", F.when(F.col("room") > 0, _alike(before, backwards)).otherwise(0)).withColumn("q", F.col("p") - F.col("k"))
+    turn = F.col("k") % F.greatest(F.col("n"), F.lit(1))
+    own = own.withColumn("unit", F.concat(F.right("unit", turn), F.left("unit", F.col("n") - turn))).withColumn("pad", base_at(F.col("q") - 1))
+    form = lambda pos, ref, alt, covered: F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"), covered.alias("covered"))
+    pad, put = F.coalesce("pad", F.lit("")), F.when(F.col("pad").isNull(), F.col("q")).otherwise(F.col("q") - 1)
+    unit = lambda side: F.concat(pad, F.when(F.length(side) > 0, F.col("unit")).otherwise(F.lit("")))
+    aligned = (
+        F.when(F.length("ref") == F.length("alt"), form(F.col("pos"), F.col("ref"), F.col("alt"), F.lit(True)))
+        .when((F.length("a") > 0) & (F.length("b") > 0), form(F.col("p"), F.col("a"), F.col("b"), base_at(F.col("p")).isNotNull()))
+        .when(F.col("n") > 0, form(put, unit("a"), unit("b"), base_at(put).isNotNull()))
+    )
+    return own.select("row.*", aligned.alias("aligned"))

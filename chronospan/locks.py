@@ -1,10 +1,14 @@
-"""An advisory lock for single writers: a file made exclusively, stale after some hours."""
+"""An advisory lock for single writers: a file made exclusively, stale after some hours.
+
+It guards the machines that see the file, so it lies beside the tables.
+"""
 
 from __future__ import annotations
 
 import contextlib
 import os
 import time
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,9 +30,12 @@ def lock(path: str, force: bool = False, stale: float = STALE_S) -> Iterator[Non
         handle = os.open(own, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
     except FileExistsError as e:
         raise Locked(f"{path} is held by {own.read_text().strip() or 'another writer'}") from e
+    mark = f"process {os.getpid()} {uuid.uuid4().hex}"
     try:
         with os.fdopen(handle, "w") as f:
-            f.write(f"process {os.getpid()}")
+            f.write(mark)
         yield
     finally:
-        own.unlink(missing_ok=True)
+        with contextlib.suppress(FileNotFoundError):
+            if own.read_text() == mark:  # another writer may have taken the lock over
+                own.unlink()

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronospan.functions.alleles import ABSENT, OPEN_END
+from chronospan.operators.timeline import small
 
 
-def as_of(spans: DataFrame, on: str) -> DataFrame:
-    """FLT-1: spans that hold on a date: from their start, before their end."""
-    day = F.lit(on).cast("date")
-    return spans.where((F.col("valid_from") <= day) & (F.col("valid_to") > day))
+def on(day: str) -> Column:
+    """FLT-1: whether a span holds on a date: from its start, before its end."""
+    return (F.col("valid_from") <= F.lit(day).cast("date")) & (F.col("valid_to") > F.lit(day).cast("date"))
+
+
+def as_of(spans: DataFrame, day: str) -> DataFrame:
+    """FLT-1: spans that hold on a date."""
+    return spans.where(on(day))
+
+
+def at_both(spans: DataFrame, then: Column, then_columns: tuple[str, ...], now: Column, now_columns: tuple[str, ...]) -> DataFrame:
+    """JOI-4, JOI-5: each allele that has a span in ``then``, its columns as struct ``then``, and those of its span in ``now``, null if it has none.
+
+    An allele has at most one span in either, so an aggregate over one scan of
+    the spans stands for the join: both conditions reach the scan, and there is one exchange.
+    """
+    pick = lambda held, columns: F.any_value(F.when(held, F.struct(*columns)), F.lit(True))
+    both = spans.where(then | now).groupBy("panel", "allele_id").agg(pick(then, then_columns).alias("then"), pick(now, now_columns).alias("now"))
+    return both.where("then IS NOT NULL")
 
 
 def current(spans: DataFrame) -> DataFrame:
@@ -33,14 +49,14 @@ def timeline_start(spans: DataFrame) -> DataFrame:
 def composition(spans: DataFrame, releases: DataFrame, gene: str) -> DataFrame:
     """QRY-12: classified alleles of a gene by panel, release and bucket; a release without any has one row, bucket null.
 
-    The range join runs between spans and the small release list, which is the
-    broadcast side; its counts are then joined to the list.
+    The range join runs between spans and the release list, a counted
+    broadcast; its counts are then joined to the list.
     """
     own = spans.where((F.col("gene") == gene.upper()) & (F.col("bucket") != ABSENT)).select("panel", "bucket", "valid_from", "valid_to")
-    r = releases.select("panel", "release_date")
+    r = small(releases.select("panel", "release_date"))
     counts = own.alias("s").join(r.alias("r"), (F.col("s.panel") == F.col("r.panel")) & (F.col("valid_from") <= F.col("release_date")) & (F.col("valid_to") > F.col("release_date")))
     counts = counts.groupBy(F.col("r.panel").alias("panel"), "release_date", "bucket").agg(F.count("*").alias("n"))
-    return r.join(counts, ["panel", "release_date"], "left").select("panel", "release_date", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    return releases.select("panel", "release_date").join(counts, ["panel", "release_date"], "left").select("panel", "release_date", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def composition_exploded(spans: DataFrame, releases: DataFrame, gene: str) -> DataFrame:
@@ -48,7 +64,7 @@ def composition_exploded(spans: DataFrame, releases: DataFrame, gene: str) -> Da
     own = spans.where((F.col("gene") == gene.upper()) & (F.col("bucket") != ABSENT)).select("panel", "bucket", "valid_from", "valid_to")
     dates = releases.groupBy("panel").agg(F.sort_array(F.collect_set("release_date")).alias("dates"))
     held = F.filter("dates", lambda d: (F.col("valid_from") <= d) & (F.col("valid_to") > d))
-    counts = own.join(dates, "panel").select("panel", "bucket", F.explode(held).alias("release_date")).groupBy("panel", "release_date", "bucket").agg(F.count("*").alias("n"))
+    counts = own.join(small(dates), "panel").select("panel", "bucket", F.explode(held).alias("release_date")).groupBy("panel", "release_date", "bucket").agg(F.count("*").alias("n"))
     return releases.select("panel", "release_date").join(counts, ["panel", "release_date"], "left").select("panel", "release_date", "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -5,12 +5,15 @@ Every read takes a tenant; ``reconciled`` is the only way to the case table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronospan.functions.alleles import ABSENT, ACTIONABLE, TOWARD_BENIGN, TOWARD_PATHOGENIC, allele_id, ratio, strict_date
 from chronospan.operators.asof import as_of, current
 
+# Buckets of the demonstration and how a report names them.
+DEMO_LABELS = {"UNCERTAIN": "VUS", "LIKELY_PATHOGENIC": "Likely pathogenic", "PATHOGENIC": "Pathogenic"}
 COLUMNS = ("case_ref", "contig", "pos", "ref", "alt", "reported_classification", "reported_on")
 
 
@@ -21,17 +24,22 @@ def of_tenant(cases: DataFrame, tenant: str) -> DataFrame:
     return cases.where(F.col("tenant_id") == tenant)
 
 
-def load_csv(spark: SparkSession, path: str, tenant: str, assembly: str = "GRCh38") -> tuple[DataFrame, DataFrame]:
-    """SRC-3: (good rows, rejected rows with a reason); the header must have all COLUMNS, gene is optional."""
-    raw = spark.read.csv(path, header=True, multiLine=True, inferSchema=False)
-    if missing := [c for c in COLUMNS if c not in raw.columns]:
-        raise ValueError(f"columns missing: {', '.join(missing)}")
+def judged(raw: DataFrame, tenant: str, assembly: str = "GRCh38") -> DataFrame:
+    """SRC-3: rows of text columns as cases, with pos_text, and the reason why a row is rejected, null if it isn't."""
     gene = F.col("gene") if "gene" in raw.columns else F.lit(None).cast("string")
     pos = F.when(F.trim("pos").rlike(r"^[+-]?[0-9]{1,18}$"), F.trim("pos").cast("long"))
     own = raw.select(F.lit(tenant).alias("tenant_id"), "case_ref", gene.alias("gene"), "contig", F.col("pos").alias("pos_text"), pos.alias("pos"), "ref", "alt", "reported_classification", strict_date(F.trim("reported_on")).alias("reported_on"))
     own = own.withColumn("allele_id", allele_id(assembly, F.col("contig"), F.col("pos"), F.trim("ref"), F.trim("alt")))
     reason = F.when(F.col("pos").isNull(), "position is no number").when(F.col("reported_on").isNull(), "date is not yyyy-mm-dd").when(F.col("allele_id").isNull(), "alleles are not sequences")
-    own = own.withColumn("reason", reason)
+    return own.withColumn("reason", reason)
+
+
+def load_csv(spark: SparkSession, path: str, tenant: str, assembly: str = "GRCh38") -> tuple[DataFrame, DataFrame]:
+    """SRC-3: (good rows, rejected rows with a reason); the header must have all COLUMNS, gene is optional."""
+    raw = spark.read.csv(path, header=True, multiLine=True, inferSchema=False)
+    if missing := [c for c in COLUMNS if c not in raw.columns]:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    own = judged(raw, tenant, assembly)
     kept = ["tenant_id", "case_ref", "allele_id", "gene", "contig", "pos", "ref", "alt", "reported_classification", "reported_on"]
     return own.where("reason IS NULL").select(*kept), own.where("reason IS NOT NULL").select("case_ref", "pos_text", "reason")
 
@@ -91,6 +99,29 @@ def findings(rows: DataFrame) -> DataFrame:
 
 
 def sample_cases(spans: DataFrame, on: str, n: int, seed: int) -> DataFrame:
-    """QRY-19, SRT-6: n classified alleles of a date, by hash of identity and seed, as demonstration cases."""
+    """SRT-6: n classified alleles of a date, by hash of identity and seed."""
     own = as_of(spans, on).where(F.col("bucket") != ABSENT)
-    return own.orderBy(F.xxhash64("allele_id", F.lit(seed)), "allele_id").limit(n).select("allele_id", "gene", "contig", "pos", "ref", "alt", "bucket")
+    return own.orderBy(_order(seed), "allele_id").limit(n).select("allele_id", "gene", "contig", "pos", "ref", "alt", "bucket")
+
+
+def _order(seed: int, salt: str = "") -> Column:
+    return F.md5(F.concat("allele_id", F.lit(f"|{seed}{salt}")).cast("binary"))
+
+
+def demo_cases(spans: DataFrame, releases: DataFrame, n: int, seed: int) -> DataFrame:
+    """QRY-19: n demonstration cases from the alleles of one panel that are of DEMO_LABELS at its first release.
+
+    Reports are dated at releases of the first half of coverage, spread by hash;
+    about one in twenty lies three years before coverage.  The same seed gives the same cases.
+    """
+    dates = releases.agg(F.sort_array(F.collect_list("release_date")).alias("dates"))  # one panel's list
+    own = spans.where(F.col("bucket").isin(*DEMO_LABELS)).join(F.broadcast(dates)).where((F.col("valid_from") <= F.col("dates")[0]) & (F.col("valid_to") > F.col("dates")[0]))
+    picked = own.orderBy(_order(seed), "allele_id").limit(n)  # n rows: numbered in one task
+    number = F.row_number().over(W.orderBy(_order(seed), "allele_id"))
+    at = lambda salt: F.conv(F.left(_order(seed, salt), F.lit(8)), 16, 10).cast("long")
+    usable = F.greatest(F.lit(1), F.floor(F.size("dates") / 2))
+    day = F.when(at("|early") % 20 == 0, F.add_months(F.col("dates")[0], -36)).otherwise(F.get("dates", (at("|day") % usable).cast("int")))
+    label = F.create_map(*[F.lit(x) for pair in DEMO_LABELS.items() for x in pair])
+    return picked.select(
+        F.concat(F.lit("CASE-"), F.lpad(number.cast("string"), 5, "0")).alias("case_ref"), "gene", "contig", "pos", "ref", "alt", F.try_element_at(label, "bucket").alias("reported_classification"), day.alias("reported_on"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronospan.functions.alleles import ABSENT, ACTIONABLE, TOWARD_BENIGN, TOWARD_PATHOGENIC, ratio
-from chronospan.operators.asof import as_of, current
+from chronospan.operators.asof import at_both, on
 from chronospan.operators.movement import EVENT_KEY
 from chronospan.operators.timeline import KEY
 
@@ -14,10 +14,11 @@ from chronospan.operators.timeline import KEY
 THIN = 200
 
 
-def then_now(spans: DataFrame, on: str) -> DataFrame:
+def then_now(spans: DataFrame, day: str) -> DataFrame:
     """JOI-5: the state on a date beside the current one."""
-    now = current(spans).select(*KEY, F.col("bucket").alias("now_bucket"), F.col("stars").alias("now_stars"), F.col("valid_from").alias("changed_on"))
-    return as_of(spans, on).join(now, list(KEY))
+    rest = tuple(c for c in spans.columns if c not in KEY)
+    both = at_both(spans, on(day), rest, F.col("is_current"), ("bucket", "stars", "valid_from")).where("now IS NOT NULL")
+    return both.select(*KEY, "then.*", F.col("now.bucket").alias("now_bucket"), F.col("now.stars").alias("now_stars"), F.col("now.valid_from").alias("changed_on"))
 
 
 def _flagged(rows: DataFrame, suspects: DataFrame | None) -> DataFrame:
@@ -28,9 +29,9 @@ def _flagged(rows: DataFrame, suspects: DataFrame | None) -> DataFrame:
     return rows.join(keys, ["panel", "bucket", "now_bucket", "changed_on"], "left").withColumn("policy_suspect", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def genes_ranked(spans: DataFrame, on: str, allowed: DataFrame | None = None) -> DataFrame:
+def genes_ranked(spans: DataFrame, day: str, allowed: DataFrame | None = None) -> DataFrame:
     """QRY-8: the actionable rate of each gene; ``allowed`` (gene) restricts to a panel's own genes."""
-    rows = then_now(spans, on)
+    rows = then_now(spans, day)
     if allowed is not None:
         rows = rows.join(allowed, "gene", "left_semi")
     vus = F.col("bucket") == "UNCERTAIN"
@@ -39,18 +40,18 @@ def genes_ranked(spans: DataFrame, on: str, allowed: DataFrame | None = None) ->
     return out.orderBy("thin", F.desc("actionable_rate"), F.desc("vus"), "panel", "gene")
 
 
-def panel_headline(spans: DataFrame, on: str) -> DataFrame:
+def panel_headline(spans: DataFrame, day: str) -> DataFrame:
     """QRY-9"""
     vus = F.col("bucket") == "UNCERTAIN"
-    out = then_now(spans, on).groupBy("panel").agg(
+    out = then_now(spans, day).groupBy("panel").agg(
         F.count_if(vus).alias("uncertain"), F.count_if(vus & F.col("now_bucket").isin(*TOWARD_PATHOGENIC)).alias("to_pathogenic"), F.count_if(vus & F.col("now_bucket").isin(*TOWARD_BENIGN)).alias("to_benign")
     )
     return out.withColumn("actionable_rate", ratio(F.col("to_pathogenic") + F.col("to_benign"), F.col("uncertain")))
 
 
-def gene_headline(spans: DataFrame, gene: str, on: str, suspects: DataFrame | None = None) -> DataFrame:
+def gene_headline(spans: DataFrame, gene: str, day: str, suspects: DataFrame | None = None) -> DataFrame:
     """QRY-11: seven conditional counts in one aggregate; one row for each panel that holds the gene."""
-    own = _flagged(then_now(spans.where(F.col("gene") == gene.upper()), on), suspects)
+    own = _flagged(then_now(spans.where(F.col("gene") == gene.upper()), day), suspects)
     classified, vus, now = F.col("bucket") != ABSENT, F.col("bucket") == "UNCERTAIN", F.col("now_bucket")
     return own.groupBy("panel", "gene").agg(
         F.count_if(classified).alias("classified"), F.count_if(vus).alias("uncertain"), F.count_if(vus & now.isin(*TOWARD_PATHOGENIC)).alias("now_pathogenic"), F.count_if(vus & now.isin(*TOWARD_BENIGN)).alias("now_benign"),
@@ -68,9 +69,9 @@ def search(q: str | None) -> Column:
     return F.lower("condition").contains(q.lower())
 
 
-def variants(spans: DataFrame, gene: str, on: str, suspects: DataFrame | None = None, only_moved: bool = False, q: str | None = None) -> DataFrame:
+def variants(spans: DataFrame, gene: str, day: str, suspects: DataFrame | None = None, only_moved: bool = False, q: str | None = None) -> DataFrame:
     """QRY-10 before paging: a gene's classified variants on a date, and where each is now."""
-    rows = _flagged(then_now(spans.where(F.col("gene") == gene.upper()), on), suspects).where(F.col("bucket") != ABSENT).where(search(q))
+    rows = _flagged(then_now(spans.where(F.col("gene") == gene.upper()), day), suspects).where(F.col("bucket") != ABSENT).where(search(q))
     rows = rows.withColumn("moved", ~F.col("bucket").eqNullSafe(F.col("now_bucket")))
     rows = rows.where("moved") if only_moved else rows
     return rows.select(*KEY, "variation_id", "gene", "contig", "pos", "ref", "alt", "bucket", "stars", "clnsig_raw", "condition", "now_bucket", "now_stars", "changed_on", "moved", "policy_suspect")

@@ -8,7 +8,6 @@ import json
 import secrets
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,17 +24,25 @@ def entry_hash(payload: dict, prev: str) -> str:
     return hashlib.sha256(f"{prev}\n{json.dumps(payload, sort_keys=True, separators=(',', ':'))}".encode()).hexdigest()
 
 
-def entry_hash_column() -> Column:
-    """SCL-14 for columns: in the JVM where the entry is plain ASCII, else through Python, whose JSON escapes."""
-    body = F.to_json(F.struct(*sorted(PAYLOAD)), {"ignoreNullFields": "false"})
-    native = F.sha2(F.concat(F.col("prev_hash"), F.lit("\n"), body).cast("binary"), 256)
+def _json_text(text: Column) -> Column:
+    """A JSON string of printable ASCII, escaped as Python's json does."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = F.create_map(*[F.lit(x) for pair in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")) for x in pair])
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        two = F.concat(unit(0xD800 + F.shiftright(n - 0x10000, 10)), unit(0xDC00 + (n - 0x10000).bitwiseAND(0x3FF)))
+        return F.coalesce(F.try_element_at(short, c), F.when((n >= 0x20) & (n <= 0x7E), c).when(n < 0x10000, unit(n)).otherwise(two))
 
-    @F.pandas_udf("string")
-    def through_python(body: pd.Series, prev: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None or p is None else entry_hash(json.loads(b), p) for b, p in zip(body, prev, strict=True)], dtype=object)
+    body = F.when(text.rlike(r"^[ !#-\[\]-~]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), escaped), ""))
+    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
-    plain = body.rlike(r"^[\x20-\x2E\x30-\x7E]*$")  # a slash and anything beyond ASCII may be written differently
-    return F.when(plain, native).otherwise(through_python(body, F.col("prev_hash")))
+
+def entry_hash_column() -> Column:
+    """SCL-14 for columns: the canonical JSON is put together and hashed in the JVM."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")) if c == "seq" else _json_text(F.col(c))
+    parts = [x for k, c in enumerate(sorted(PAYLOAD)) for x in (F.lit(f'{"," if k else "{"}"{c}":'), value(c))]
+    return F.sha2(F.concat(F.col("prev_hash"), F.lit("\n"), *parts, F.lit("}")).cast("binary"), 256)
 
 
 def append(ledger: DataFrame, tenant: str, allele: str, case_ref: str, verdict: str, rationale: str, reviewer: str, snapshot: str, now: datetime | None = None) -> DataFrame:

@@ -9,28 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronospan.functions.alleles import ABSENT, TOWARD_BENIGN, TOWARD_PATHOGENIC, ratio
-from chronospan.operators.asof import as_of
+from chronospan.operators.asof import at_both, on
 from chronospan.operators.timeline import KEY
 
 EVENT_KEY = ("panel", "from_bucket", "to_bucket", "changed_on")
 
 
 def moves(spans: DataFrame, baseline: str, now: str) -> DataFrame:
-    """JOI-4, FLT-4: alleles whose buckets differ between the dates; each side is filtered before the join."""
-    then = as_of(spans, baseline).select(*KEY, "gene", "variation_id", F.col("bucket").alias("from_bucket"), F.col("stars").alias("from_stars"))
-    later = as_of(spans, now).select(*KEY, F.col("bucket").alias("to_bucket"), F.col("stars").alias("to_stars"), F.col("clnsig_raw").alias("to_clnsig"), F.col("valid_from").alias("changed_on"))
-    return then.join(later, list(KEY)).where(~F.col("from_bucket").eqNullSafe(F.col("to_bucket")))
+    """JOI-4, FLT-4: alleles whose buckets differ between the dates."""
+    both = at_both(spans, on(baseline), ("gene", "variation_id", "bucket", "stars"), on(now), ("bucket", "stars", "clnsig_raw", "valid_from"))
+    rows = both.where("now IS NOT NULL").select(
+        *KEY, "then.gene", "then.variation_id", F.col("then.bucket").alias("from_bucket"), F.col("then.stars").alias("from_stars"), F.col("now.bucket").alias("to_bucket"), F.col("now.stars").alias("to_stars"),
+        F.col("now.clnsig_raw").alias("to_clnsig"), F.col("now.valid_from").alias("changed_on"),
+    )
+    return rows.where(~F.col("from_bucket").eqNullSafe(F.col("to_bucket")))
 
 
 def panel_movement(spans: DataFrame, baseline: str, now: str, suspects: DataFrame | None = None) -> DataFrame:
-    """QRY-4: the movement summary of each panel, in one pass over one join.
+    """QRY-4: the movement summary of each panel, in one pass over one aggregate.
 
     ``suspects`` has EVENT_KEY (see ``suspect_keys``); a bucket that no counter
     names still counts as moved.
     """
-    then = as_of(spans, baseline).select(*KEY, "bucket")
-    later = as_of(spans, now).select(*KEY, F.col("bucket").alias("to_bucket"), F.col("valid_from").alias("changed_on"))
-    both = then.join(later, list(KEY), "left").withColumn("from_bucket", F.col("bucket"))
+    both = at_both(spans, on(baseline), ("bucket",), on(now), ("bucket", "valid_from"))
+    both = both.select("panel", F.col("then.bucket").alias("from_bucket"), F.col("now.bucket").alias("to_bucket"), F.col("now.valid_from").alias("changed_on")).withColumn("bucket", F.col("from_bucket"))
     flag = F.lit(False)
     if suspects is not None:
         both = both.join(suspects.select(*EVENT_KEY, F.lit(True).alias("hit")), list(EVENT_KEY), "left")

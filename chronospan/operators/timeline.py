@@ -2,8 +2,9 @@
 
 A timeline belongs to a panel; every table carries ``panel`` and every grid is
 that panel's own releases.  The sparse builder never materialises the grid: its
-rows are observations and the ends of gaps, and one exchange by (panel,
-allele_id) serves both windows and the collapse.
+rows are observations and the ends of gaps.  The release list meets the rows as
+a counted broadcast, and one exchange by (panel, allele_id) serves all windows,
+the collapse and the dimension.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from chronospan.functions.alleles import ABSENT, OPEN_END
 
 KEY = ("panel", "allele_id")
 DIMENSION = ("variation_id", "gene", "contig", "pos", "ref", "alt", "condition")
+#: Rows up to which a counted table is broadcast.
+SMALL_ROWS = 100_000
 SPAN = (*KEY, *DIMENSION, "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "valid_from", "valid_to", "last_seen", "first_snapshot_id", "is_current")
 
 
@@ -29,16 +32,25 @@ def releases(raw: DataFrame) -> DataFrame:
     return raw.select("panel", "release_date").distinct()
 
 
+def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``rows`` as the broadcast side of a join if a count proves that they are at most ``most``; else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def dense_grid(raw: DataFrame) -> DataFrame:
     """JOI-1, JOI-2, PRJ-3: each allele at each release of its panel, absence made explicit."""
-    grid = raw.select(*KEY).distinct().join(releases(raw), "panel")
+    grid = raw.select(*KEY).distinct().join(small(releases(raw)), "panel")
     seen = raw.select(*KEY, "release_date", "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id")
     rows = grid.join(seen, [*KEY, "release_date"], "left")
     return rows.withColumn("bucket", F.coalesce("bucket", F.lit(ABSENT))).withColumn("stars", F.coalesce("stars", F.lit(-1)).cast("byte"))
 
 
-def _spans(points: DataFrame, dim: DataFrame) -> DataFrame:
-    """WIN-6, WIN-3, JOI-3: islands of equal (bucket, stars) among points (at, until), joined with the dimension."""
+def _spans(points: DataFrame) -> DataFrame:
+    """WIN-6, WIN-3, AGG-5, JOI-3: islands of equal (bucket, stars) among points (at, until, d); d is the dimension where one was observed.
+
+    The windows and the collapse all work within an allele, so one exchange
+    serves them; the dimension is the latest observed one.
+    """
     w = W.partitionBy(*KEY).orderBy("at")
     prev = F.lag(F.struct("bucket", "stars")).over(w)
     change = F.when(prev.eqNullSafe(F.struct("bucket", "stars")), 0).otherwise(1)
@@ -47,40 +59,52 @@ def _spans(points: DataFrame, dim: DataFrame) -> DataFrame:
     spans = islands.groupBy(*KEY, "island").agg(
         F.min_by("bucket", "at").alias("bucket"), F.min_by("stars", "at").alias("stars"), first("clnsig_raw"), first("clnrevstat_raw"),
         F.min("at").alias("valid_from"), F.max("until").alias("last_seen"), F.min("snapshot_id").alias("first_snapshot_id"),
+        F.max_by("d", F.when(F.col("d").isNotNull(), F.col("at"))).alias("d"), F.max(F.when(F.col("d").isNotNull(), F.col("at"))).alias("d_at"),
     )
     nxt = F.lead("valid_from").over(W.partitionBy(*KEY).orderBy("valid_from"))
     out = spans.withColumn("next", nxt).withColumn("valid_to", F.coalesce("next", F.lit(OPEN_END).cast("date"))).withColumn("is_current", F.col("next").isNull())
-    return out.join(dim, list(KEY)).select(*SPAN)
+    latest = F.max_by("d", "d_at").over(W.partitionBy(*KEY))
+    return out.withColumn("d", latest).select(*KEY, "d.*", *[c for c in SPAN if c not in (*KEY, *DIMENSION)]).select(*SPAN)
 
 
 def dense_spans(raw: DataFrame) -> DataFrame:
     """Spans over the full grid."""
-    return _spans(dense_grid(raw).withColumn("at", F.col("release_date")).withColumn("until", F.col("release_date")), allele_dim(raw))
-
-
-def sparse_points(raw: DataFrame) -> DataFrame:
-    """Observations, and one absent point for the lead and for each gap: at and until are its first and last release."""
-    grid = releases(raw).groupBy("panel").agg(F.sort_array(F.collect_list("release_date")).alias("dates"))
-    seen = raw.select(*KEY, "release_date", "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id").join(grid, "panel")
-    own = seen.withColumn("i", (F.array_position("dates", F.col("release_date")) - 1).cast("int"))
-    w = W.partitionBy(*KEY).orderBy("i")
-    own = own.withColumn("next", F.coalesce(F.lead("i").over(w), F.size("dates"))).withColumn("lead", F.lag("i").over(w).isNull() & (F.col("i") > 0))
-
-    def point(at: Column, until: Column, seen: bool) -> Column:
-        value = lambda c, kind: (F.col(c) if seen else F.lit(None)).cast(kind).alias(c)
-        bucket, stars = (F.col("bucket"), F.col("stars")) if seen else (F.lit(ABSENT), F.lit(-1).cast("byte"))
-        return F.struct(
-            F.get("dates", at).alias("at"), F.get("dates", until).alias("until"), bucket.alias("bucket"), stars.cast("byte").alias("stars"), value("clnsig_raw", "string"), value("clnrevstat_raw", "string"), value("snapshot_id", "string")
-        )
-
-    i, nxt = F.col("i"), F.col("next")
-    points = F.array(point(i, i, True), F.when(nxt > i + 1, point(i + 1, nxt - 1, False)), F.when(F.col("lead"), point(F.lit(0), i - 1, False)))
+    grid = dense_grid(raw).withColumn("at", F.col("release_date")).withColumn("until", F.col("release_date"))
+    seen = raw.select(*KEY, "release_date", F.struct(*DIMENSION).alias("d"))
+    return _spans(grid.join(seen, [*KEY, "release_date"], "left"))
+
+
+def ordinals(dates: DataFrame) -> DataFrame:
+    """The release list, as long as there are releases: each with its number, its neighbours, and its panel's first and last."""
+    w = W.partitionBy("panel").orderBy("release_date")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return dates.select(
+        "panel", "release_date", F.row_number().over(w).alias("i"), F.lag("release_date").over(w).alias("before"), F.lead("release_date").over(w).alias("after"),
+        F.first("release_date").over(whole).alias("first"), F.last("release_date").over(whole).alias("last"),
+    )
+
+
+def sparse_points(raw: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """Observations, and one absent point for the lead and for each gap: at and until are its first and last release, d an observation's dimension."""
+    own = raw.select(*KEY, "release_date", "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id", F.struct(*DIMENSION).alias("d")).join(small(ordinals(releases(raw) if dates is None else dates)), ["panel", "release_date"])
+    w = W.partitionBy(*KEY).orderBy("release_date")
+    own = own.withColumn("next", F.lead(F.struct("i", "before")).over(w)).withColumn("lead", F.lag("i").over(w).isNull() & (F.col("i") > 1))
+    kept = ("bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id", "d")
+    kinds = dict(own.select(*kept).dtypes)
+
+    def absent(at: str, until: Column) -> Column:
+        fixed = {"bucket": F.lit(ABSENT), "stars": F.lit(-1)}
+        return F.struct(F.col(at).alias("at"), until.alias("until"), *(fixed.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in kept))
+
+    seen = F.struct(F.col("release_date").alias("at"), F.col("release_date").alias("until"), *kept)
+    gap = F.when(F.col("next").isNull(), F.col("after").isNotNull()).otherwise(F.col("next.i") > F.col("i") + 1)
+    points = F.array(seen, F.when(gap, absent("after", F.coalesce("next.before", "last"))), F.when(F.col("lead"), absent("first", F.col("before"))))
     return own.select(*KEY, F.explode(F.filter(points, lambda p: p.isNotNull())).alias("p")).select(*KEY, "p.*")
 
 
-def sparse_spans(raw: DataFrame) -> DataFrame:
-    """The spans of ``dense_spans`` without the grid."""
-    return _spans(sparse_points(raw), allele_dim(raw))
+def sparse_spans(raw: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """The spans of ``dense_spans`` without the grid; ``dates``: the releases, if they are known."""
+    return _spans(sparse_points(raw, dates))
 
 
 def overlaps(spans: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ classification; nation is the gene, region the panel, market segment the tenant.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronospan.session import shared_dir
+from chronospan.sources import store
+
 # Order priorities and their buckets.
 PRIORITY = {"1-URGENT": "PATHOGENIC", "2-HIGH": "LIKELY_PATHOGENIC", "3-MEDIUM": "UNCERTAIN", "4-NOT SPECIFIED": "LIKELY_BENIGN", "5-LOW": "BENIGN"}
 
@@ -48,3 +52,27 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("tenant_id"), key.cast("string").alias("case_ref"), F.concat(F.lit("A"), allele.cast("string")).alias("allele_id"), F.lit(None).cast("string").alias("gene"), F.lit("1").alias("contig"), key.alias("pos"),
         F.lit("C").alias("ref"), F.lit("T").alias("alt"), F.col("o_orderpriority").alias("reported_classification"), day.alias("reported_on"),
     )
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files behind ``raw``: a build is of use only while they stay the same."""
+    jvm, out = spark._jvm, []
+    for name in ("orders", "customer", "nation", "region"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(out)).encode()).hexdigest()[:20]
+
+
+_built: dict[tuple[str, str, str], store.Built] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, grain: str = "year") -> store.Built:
+    """The timeline of ``raw``, built once in an application while the tables behind it stay the same; its folder goes with the driver's JVM."""
+    key = (spark.sparkContext.applicationId, grain, _state(spark, sf_dir))
+    if key not in _built:
+        root = f"{shared_dir(spark)}/timeline-{'-'.join(key)}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _built[key] = store.build(raw(spark, sf_dir, grain), root)
+    return _built[key]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronospan.functions import alleles as A
-from chronospan.functions.leftalign import left_aligned
+from chronospan.functions.leftalign import STRETCH, left_aligned
 from chronospan.operators import asof, cases, explore, ledger, movement, timeline
 from chronospan.plans import analogue
+from chronospan.session import shared_dir
 from chronospan.sources import releases, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,16 +96,15 @@ def raw_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_spans(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.sparse_spans(raw_year(spark, d))
+    return analogue.built(spark, d).spans
 
 
-def year_steps(spark: SparkSession, d: str) -> DataFrame:
-    raw = raw_year(spark, d)
-    return movement.step_series_from_spans(timeline.sparse_spans(raw), timeline.releases(raw))
+def year_releases(spark: SparkSession, d: str) -> DataFrame:
+    return analogue.built(spark, d).releases
 
 
 def year_suspects(spark: SparkSession, d: str) -> DataFrame:
-    return movement.suspect_keys(movement.detected(year_steps(spark, d), THRESHOLD))
+    return movement.suspect_keys(movement.detected(analogue.built(spark, d).steps, THRESHOLD))
 
 
 # ---------------------------------------------------------------- timeline
@@ -136,6 +137,12 @@ def spans_quarter(spark, d):
 
 @query(f"{YEAR} SELECT * FROM spans")
 def spans_sparse_equiv(spark, d):
+    return timeline.sparse_spans(raw_year(spark, d))
+
+
+@query(f"{YEAR} SELECT * FROM spans")
+def spans_stored(spark, d):
+    """SNK-4: the built table."""
     return year_spans(spark, d)
 
 
@@ -233,12 +240,12 @@ def policy_events(spark, d):
 
 @query(f"{_STEPS} SELECT * FROM steps WHERE share >= {THRESHOLD}")
 def policy_events_from_spans(spark, d):
-    return movement.detected(year_steps(spark, d), THRESHOLD)
+    return movement.detected(movement.step_series_from_spans(year_spans(spark, d), year_releases(spark, d)), THRESHOLD)
 
 
 @query(f"{_STEPS} SELECT * FROM steps")
 def step_series(spark, d):
-    return year_steps(spark, d)
+    return analogue.built(spark, d).steps
 
 
 # ---------------------------------------------------------------- exploration
@@ -313,14 +320,12 @@ _COMPOSITION = f"""{YEAR}, c AS (
 
 @query(f"{_COMPOSITION} SELECT * FROM c")
 def composition_long(spark, d):
-    raw = raw_year(spark, d)
-    return asof.composition(timeline.sparse_spans(raw), timeline.releases(raw), GENE)
+    return asof.composition(year_spans(spark, d), year_releases(spark, d), GENE)
 
 
 @query(f"{_COMPOSITION} SELECT * FROM c")
 def composition_exploded(spark, d):
-    raw = raw_year(spark, d)
-    return asof.composition_exploded(timeline.sparse_spans(raw), timeline.releases(raw), GENE)
+    return asof.composition_exploded(year_spans(spark, d), year_releases(spark, d), GENE)
 
 
 _CONTEXT = f"""{YEAR}{SUSPECTS}, {_THEN_NOW}
@@ -331,11 +336,9 @@ FROM spans GROUP BY panel"""
 @query(_CONTEXT)
 def context_bundle(spark, d):
     """QRY-21"""
-    raw = raw_year(spark, d)
-    spans = timeline.sparse_spans(raw)
-    own = spans.groupBy("panel").agg(F.countDistinct("gene").alias("genes"), F.min("valid_from").alias("floor"), F.count_if("is_current").alias("alleles"))
+    own = year_spans(spark, d).groupBy("panel").agg(F.countDistinct("gene").alias("genes"), F.min("valid_from").alias("floor"), F.count_if("is_current").alias("alleles"))
     events = year_suspects(spark, d).groupBy("panel").agg(F.count("*").alias("events"))
-    dates = timeline.releases(raw).groupBy("panel").agg(F.count("*").alias("n_releases"))
+    dates = year_releases(spark, d).groupBy("panel").agg(F.count("*").alias("n_releases"))
     return own.join(events, "panel", "left").join(dates, "panel").fillna(0, ["events"])
 
 
@@ -404,26 +407,64 @@ def tenant_isolation_counts(spark, d):
     return cases.of_tenant(own, "BUILDING").unionByName(cases.of_tenant(own, "MACHINERY")).groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"{YEAR} SELECT allele_id, gene, contig, pos, ref, alt, bucket FROM spans WHERE {_held('1998-01-01')} AND bucket <> 'ABSENT' ORDER BY md5(allele_id || '|7'), allele_id LIMIT 40")
 def case_sample(spark, d):
-    """QRY-19: the sample is the feature."""
+    """SRT-6: the sample is the feature."""
     return cases.sample_cases(year_spans(spark, d), "1998-01-01", 40, 7)
 
 
+PANEL = "ASIA"
+_HASH = lambda salt: f"CAST('0x' || substr(md5(allele_id || '|7{salt}'), 1, 8) AS BIGINT)"
+
+
+@query(f"""{YEAR}, dates AS (SELECT list(release_date ORDER BY release_date) AS dates FROM releases WHERE panel = '{PANEL}'),
+own AS (SELECT * FROM spans, dates WHERE panel = '{PANEL}' AND bucket IN ('UNCERTAIN', 'LIKELY_PATHOGENIC', 'PATHOGENIC') AND valid_from <= dates[1] AND valid_to > dates[1] ORDER BY md5(allele_id || '|7'), allele_id LIMIT 60)
+SELECT 'CASE-' || lpad(CAST(row_number() OVER (ORDER BY md5(allele_id || '|7'), allele_id) AS VARCHAR), 5, '0') AS case_ref, gene, contig, pos, ref, alt,
+  CASE bucket WHEN 'UNCERTAIN' THEN 'VUS' WHEN 'LIKELY_PATHOGENIC' THEN 'Likely pathogenic' ELSE 'Pathogenic' END AS reported_classification,
+  CASE WHEN {_HASH('|early')} % 20 = 0 THEN CAST(dates[1] - INTERVAL 36 MONTH AS DATE) ELSE dates[1 + CAST({_HASH('|day')} % greatest(1, len(dates) // 2) AS INTEGER)] END AS reported_on FROM own""")
+def case_demo(spark, d):
+    """QRY-19: the sample is the feature."""
+    made, of_panel = analogue.built(spark, d), F.col("panel") == PANEL
+    return cases.demo_cases(made.spans.where(of_panel), made.releases.where(of_panel), 60, 7)
+
+
 # ---------------------------------------------------------------- loading
 
 @query(f"""SELECT event_id, CASE WHEN regexp_matches(pos_text, '^[+-]?[0-9]{{1,18}}$') THEN CAST(pos_text AS BIGINT) END AS pos, CASE WHEN regexp_matches(day_text, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN CAST(day_text AS DATE) END AS day,
   NOT regexp_matches(pos_text, '^[+-]?[0-9]{{1,18}}$') OR NOT regexp_matches(day_text, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') AS rejected FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS pos_text,
   CASE WHEN event_id % 5 = 0 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts, '%Y-%m-%d') END AS day_text FROM events)""")
 def csv_rejects(spark, d):
-    """SRC-3: the per-row verdicts of the loader on made-up text fields."""
+    """SRC-3: the loader's verdict on each row, from made-up text fields."""
     e = analogue.table(spark, d, "events")
-    key = F.col("event_id")
-    day = F.col("ts").cast("date")
-    own = e.select("event_id", F.when(key % 7 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string")).alias("p"), F.when(key % 5 == 0, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("t"))
-    pos = F.when(F.col("p").rlike(r"^[+-]?[0-9]{1,18}$"), F.col("p").try_cast("long"))
-    out = own.select("event_id", pos.alias("pos"), A.strict_date(F.col("t")).alias("day"))
-    return out.withColumn("rejected", F.col("pos").isNull() | F.col("day").isNull())
+    key, day = F.col("event_id"), F.col("ts").cast("date")
+    pos = F.when(key % 7 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string"))
+    when = F.when(key % 5 == 0, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    fixed = [F.lit(v).alias(c) for c, v in (("contig", "17"), ("ref", "C"), ("alt", "T"), ("reported_classification", "VUS"))]
+    out = cases.judged(e.select(key.cast("string").alias("case_ref"), pos.alias("pos"), when.alias("reported_on"), *fixed), "tenant")
+    return out.select(F.col("case_ref").cast("long").alias("event_id"), "pos", F.col("reported_on").alias("day"), F.col("reason").isNotNull().alias("rejected"))
+
+
+@query("""SELECT c_mktsegment AS tenant_id, count(*) AS n, min(o_orderkey) AS first FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_mktsegment = 'BUILDING' AND o_orderkey % 2 = 0 GROUP BY ALL""")
+def tenant_replace(spark, d):
+    """SNK-7: one tenant's rows replaced, another's load empty, the others as they were."""
+    root = f"{shared_dir(spark)}/tenants-{uuid.uuid4().hex}"
+    own = analogue.cases(spark, d).select("tenant_id", F.col("case_ref").cast("long").alias("key"))
+    own.write.partitionBy("tenant_id").parquet(root)
+    snapshots.replace_tenant(own.where("tenant_id = 'BUILDING' AND key % 2 = 0"), root, "BUILDING")
+    snapshots.replace_tenant(own.where("false"), root, "MACHINERY")
+    return spark.read.schema("key long, tenant_id string").parquet(root).groupBy("tenant_id").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 3 = 0 THEN 'altered' ELSE 'intact' END AS state, p_size > 10 AND p_partkey % 4 <> 0 AS reproducible, count(*) AS n FROM part GROUP BY ALL""")
+def provenance_states(spark, d):
+    """QRY-18: manifests against the hashes that are found."""
+    k, name = F.col("p_partkey"), F.col("p_name").cast("binary")
+    own = analogue.table(spark, d, "part")
+    sha = F.when(F.col("p_size") > 10, F.when(k % 4 == 0, "abc-dirty").otherwise("abc"))
+    manifests = own.select(k.alias("snapshot_id"), F.sha2(name, 256).alias("parquet_sha256"), sha.alias("pipeline_git_sha"))
+    found = own.where("p_partkey % 5 <> 0").select(k.alias("snapshot_id"), F.when(k % 3 == 0, F.sha2(F.lit(b"x"), 256)).otherwise(F.sha2(name, 256)).alias("found"))
+    return snapshots.provenance_of(manifests, found)
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -563,10 +604,10 @@ def listing_extract(spark, d):
     return own.select("page_id", F.explode(releases.listed_dates(F.col("html"))).alias("release_date"))
 
 
-@query(r"""SELECT doc_id, replace(replace(replace(left(text, 60) || '100%_\', '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM documents""")
+@query(r"""SELECT doc_id, replace(replace(replace(text || '100%_\', '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM documents""")
 def like_escape(spark, d):
     own = analogue.table(spark, d, "documents")
-    return own.select("doc_id", A.like_escaped(F.concat(F.left("text", F.lit(60)), F.lit("100%_\\"))).alias("escaped"))
+    return own.select("doc_id", A.like_escaped(F.concat("text", F.lit("100%_\\"))).alias("escaped"))
 
 
 @query()
@@ -579,11 +620,25 @@ def allele_identity(spark, d):
     return _alleles(spark, d).select("p_partkey", A.allele_id("GRCh38", F.lit("chr17"), F.lit(1000).cast("long"), F.col("ref"), F.col("alt")).alias("allele_id"))
 
 
-@query()
+_STRETCH = "G" + "TTTTTC" * 30 + "A"
+
+
+@query(f"""WITH RECURSIVE {_ALLELES},
+s AS (SELECT *, (SELECT count(*) FROM range(1, 20) t(i) WHERE i <= least(length(ref), length(alt)) AND right(ref, i) = right(alt, i)) AS tail FROM alleles WHERE length(ref) <> length(alt)),
+c AS (SELECT p_partkey, left(ref, length(ref) - tail) AS ref, left(alt, length(alt) - tail) AS alt FROM s),
+h AS (SELECT *, (SELECT count(*) FROM range(1, 20) t(i) WHERE i <= least(length(ref), length(alt)) AND left(ref, i) = left(alt, i)) AS head FROM c),
+m AS (
+  SELECT p_partkey, 160 + head AS pos, substr(ref, head + 1) AS r, substr(alt, head + 1) AS a, substr(ref, head + 1) || substr(alt, head + 1) AS unit, 0 AS k FROM h UNION ALL
+  SELECT p_partkey, pos - 1, r, a, right(unit, 1) || left(unit, length(unit) - 1), k + 1 FROM m WHERE (r = '' OR a = '') AND k < 500 AND pos > 100 AND substr('{_STRETCH}', CAST(pos - 100 AS BIGINT), 1) = right(unit, 1)),
+l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k DESC) = 1),
+p AS (SELECT *, substr('{_STRETCH}', CAST(pos - 100 AS BIGINT), 1) AS pad FROM l)
+SELECT p_partkey, 160 AS pos, upper(ref) AS ref, upper(alt) AS alt, true AS covered FROM alleles WHERE length(ref) = length(alt) UNION ALL
+SELECT p_partkey, CASE WHEN r <> '' AND a <> '' THEN pos ELSE pos - 1 END, CASE WHEN r = '' THEN pad WHEN a = '' THEN pad || unit ELSE r END, CASE WHEN r = '' THEN pad || unit WHEN a = '' THEN pad ELSE a END, true FROM p""")
 def left_align(spark, d):
     """SCL-9 against a repeat; the reference is a fixed stretch."""
     own = _alleles(spark, d).select("p_partkey", F.lit("17").alias("contig"), F.lit(160).cast("long").alias("pos"), "ref", "alt")
-    return left_aligned(own, {"17": (100, "G" + "TTTTTC" * 30 + "A")}).select("p_partkey", "aligned.*")
+    reference = spark.createDataFrame([("17", 100, _STRETCH)], STRETCH)
+    return left_aligned(own, reference).select("p_partkey", "aligned.*")
 
 
 # ---------------------------------------------------------------- ledger and tenants
@@ -627,11 +682,11 @@ def latest_per_key(spark, d):
 _LEVELS = [(bits, (8**k - 1) // 7) for k, bits in enumerate((26, 23, 20, 17, 14), 1)]
 
 
-@query("SELECT l_orderkey, l_linenumber, bin FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey * 100000 AS b, l_partkey * 100000 + l_suppkey * 500 AS e FROM lineitem WHERE l_linenumber = 1), LATERAL (SELECT 0 AS bin UNION ALL "
+@query("SELECT l_orderkey, l_linenumber, bin FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey * 100000 AS b, l_partkey * 100000 + l_suppkey * 500 AS e FROM lineitem), LATERAL (SELECT 0 AS bin UNION ALL "
        + " UNION ALL ".join(f"SELECT unnest(range({first} + (b >> {s}), {first} + ((e - 1) >> {s}) + 1))" for s, first in _LEVELS) + ") WHERE e > b")
 def region_bins(spark, d):
     """SRC-9 as expressions: the bins of a region, level by level."""
-    own = analogue.table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100000).alias("b"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 500).alias("e")).distinct()
+    own = analogue.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100000).alias("b"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 500).alias("e")).distinct()
     levels = [F.sequence(first + F.shiftright("b", bits), first + F.shiftright(F.col("e") - 1, bits)) for bits, first in _LEVELS]
     bins = [F.array(F.lit(0).cast("long")), *levels]
     return own.where("e > b").select("l_orderkey", "l_linenumber", F.explode(F.concat(*bins)).alias("bin"))

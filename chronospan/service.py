@@ -8,7 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronospan.operators import asof, cases, explore, movement, timeline
+from chronospan.operators import asof, cases, explore, movement
+from chronospan.sources.store import Built
 
 MOST_ROWS, USUAL_ROWS = 1000, 400
 _GENE, _ALLELE = re.compile(r"[A-Za-z0-9_.-]{1,32}"), re.compile(r"[A-Za-z0-9_.:-]{1,80}")
@@ -38,19 +39,14 @@ def gene(text: str) -> str:
 
 
 class Timeline:
-    """One panel's timeline: releases and spans are kept, events are found once."""
+    """One panel of a built timeline; events are read from its stored steps."""
 
-    def __init__(self, raw: DataFrame, panel: str, threshold: float):
-        own = raw.where(F.col("panel") == panel)
-        self.panel, self.releases = panel, timeline.releases(own).cache()
-        self.spans = timeline.sparse_spans(own).cache()
-        self.events = movement.detected(movement.step_series_from_spans(self.spans, self.releases), threshold).cache()
+    def __init__(self, built: Built, panel: str, threshold: float):
+        own = F.col("panel") == panel
+        self.panel, self.releases, self.spans = panel, built.releases.where(own), built.spans.where(own)
+        self.events = movement.detected(built.steps.where(own), threshold)
         self.suspects = movement.suspect_keys(self.events)
 
-    def close(self) -> None:
-        for kept in (self.releases, self.spans, self.events):
-            kept.unpersist()
-
     def context(self, on: str | None = None) -> dict:
         """QRY-21"""
         floor = self.spans.agg(F.min("valid_from")).first()[0]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,22 @@ def session(app: str = "chronospan", **extra: str) -> SparkSession:
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     } | extra
     return SparkSession.builder.appName(app).config(map=conf).getOrCreate()
+
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
+
+    Only where that is unset and one machine does all, as in local tests, a
+    temporary folder takes its place; a cluster without the setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = _local.get(spark.sparkContext.applicationId)
+        if not named:
+            named = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="chronospan-")
+    return named.rstrip("/")

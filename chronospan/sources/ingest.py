@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from chronospan.functions.alleles import allele_id, contig
 from chronospan.functions.alleles import vcf_records as records
 from chronospan.sources.releases import in_regions
-from chronospan.sources.snapshots import last_wins, write_snapshot
+from chronospan.sources.snapshots import last_wins, snapshot_hashes, write_snapshot
 
 
 def snapshot_rows(lines: DataFrame, regions: DataFrame, assembly: str = "GRCh38") -> DataFrame:
@@ -21,18 +23,28 @@ def snapshot_rows(lines: DataFrame, regions: DataFrame, assembly: str = "GRCh38"
     return last_wins(own, "allele_id", "region", "pos", "variation_id").drop("region")
 
 
-def ingest(lines: DataFrame, regions: DataFrame, root: str, release: str, panel: str, source_url: str = "", force: bool = False) -> dict | None:
+def git_state(folder: str) -> str:
+    """SCL-18: the commit of the code, with -dirty where files differ from it; unknown outside a repository."""
+    ask = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, timeout=60, check=True).stdout.strip()
+    try:
+        return ask("rev-parse", "HEAD") + ("-dirty" if ask("status", "--porcelain") else "")
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+
+
+def ingest(
+    lines: DataFrame, regions: DataFrame, root: str, release: str, panel: str, source_url: str = "", force: bool = False, bytes_fetched: int | None = None, source_full_bytes: int | None = None
+) -> dict | None:
     """Writes a release of a panel once and returns its manifest; None if it was there."""
     if not write_snapshot(snapshot_rows(lines, regions), root, release, panel, force):
         return None
     spark = lines.sparkSession
     path = f"{root}/panel={panel}/release_date={release}"
-    # the hash of a snapshot: of its rows' hashes, so that it doesn't depend on how files were cut
-    rows = spark.read.parquet(path)
-    state = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("h")).first()
+    name = f"snapshot-{panel}-{release.replace('-', '')}"
     manifest = {
-        "snapshot_id": f"snapshot-{panel}-{release.replace('-', '')}", "source": "vcf", "release_date": release, "panel": panel, "source_url": source_url, "retrieved_at": datetime.now(UTC).isoformat(timespec="seconds"),
-        "parquet_sha256": f"{state['h'] or 0:x}", "row_count": state["n"], "bytes_fetched": None, "source_full_bytes": None, "genes_requested": regions.count(), "pipeline_git_sha": "unknown",
+        "snapshot_id": name, "source": "vcf", "release_date": release, "panel": panel, "source_url": source_url, "retrieved_at": datetime.now(UTC).isoformat(timespec="seconds"),
+        "parquet_sha256": snapshot_hashes(spark, path).first()["found"], "row_count": spark.read.parquet(path).count(), "bytes_fetched": bytes_fetched, "source_full_bytes": source_full_bytes,
+        "genes_requested": regions.select("symbol").distinct().count(), "pipeline_git_sha": git_state(os.path.dirname(__file__)),
     }
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_manifests/{manifest['snapshot_id']}")
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifests/{name}")
     return manifest

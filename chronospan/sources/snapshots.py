@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +20,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replaced(spark: SparkSession, new: str, target: str | None) -> None:
+    """Puts the finished folder ``new`` in the place of ``target``, whose former content goes; without a target ``new`` itself goes."""
+    p, fs = _folder(spark, new)
+    if target is None:
+        fs.delete(p, True)
+        return
+    at, _ = _folder(spark, target)
+    fs.delete(at, True)
+    fs.mkdirs(at.getParent())
+    if not fs.rename(p, at):
+        raise OSError(f"{new} can't be moved to {target}")
+
+
 def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """AGG-8: of rows with one key the last in order."""
     w = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
@@ -57,22 +77,47 @@ def first_writer_wins(old: DataFrame, new: DataFrame, key: str = "snapshot_id")
 
 
 def export_public(spark: SparkSession, source: str, target: str) -> None:
-    """SNK-6: copies the public tables by name, never all but some; refuses to overwrite its source."""
-    if source.rstrip("/") == target.rstrip("/"):
+    """SNK-6: copies the public tables by name, never all but some; refuses to overwrite its source, however it is written.
+
+    Each table is written beside its place and moved there whole.
+    """
+    (a, fs), (b, _) = _folder(spark, source), _folder(spark, target)
+    if fs.makeQualified(a).equals(fs.makeQualified(b)):
         raise ValueError("the target is the source")
+    new = f"{target}/_next-{uuid.uuid4().hex}"
     for name in PUBLIC:
-        spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{target}/{name}")
+        spark.read.parquet(f"{source}/{name}").write.parquet(f"{new}/{name}")
+    for name in PUBLIC:
+        replaced(spark, f"{new}/{name}", f"{target}/{name}")
+    replaced(spark, new, None)
+
+
+def replace_tenant(rows: DataFrame, root: str, tenant: str) -> None:
+    """SNK-7: a load takes the place of the tenant's former rows, also a load without rows; other tenants keep theirs."""
+    spark, own = rows.sparkSession, rows.where(F.col("tenant_id") == tenant)
+    if own.limit(1).count():
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(root)
+    else:
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tenant)
+        replaced(spark, f"{root}/tenant_id={name}", None)
 
 
-def replace_tenant(rows: DataFrame, root: str) -> None:
-    """SNK-7: the tenants in ``rows`` lose their former rows; other tenants keep theirs."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(root)
+def snapshot_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """SCL-15: snapshot_id and ``found``, the SHA-256 over the sorted SHA-256 sums of a snapshot's files, for each snapshot below ``root``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
+    part = lambda k: F.url_decode(F.regexp_extract("path", r"/panel=([^/]+)/release_date=([^/]+)/[^/]+$", k))
+    each = files.select(part(1).alias("panel"), part(2).alias("day"), F.sha2("content", 256).alias("sum")).where("panel <> ''")
+    name = F.concat_ws("-", F.lit("snapshot"), "panel", F.replace(F.col("day"), F.lit("-")))
+    return each.groupBy(name.alias("snapshot_id")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sum")), "\n").cast("binary"), 256).alias("found"))
 
 
-def provenance(spark: SparkSession, manifests: DataFrame, files: str) -> DataFrame:
+def provenance(spark: SparkSession, manifests: DataFrame, root: str) -> DataFrame:
     """QRY-18, AGG-14: manifests by state: intact, altered, missing; and whether their code is reproducible."""
-    hashed = spark.read.format("binaryFile").load(files).select(F.sha2("content", 256).alias("found"), F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("snapshot_id"))
-    own = manifests.join(hashed, "snapshot_id", "left")
+    return provenance_of(manifests, snapshot_hashes(spark, root))
+
+
+def provenance_of(manifests: DataFrame, hashes: DataFrame) -> DataFrame:
+    own = manifests.join(hashes, "snapshot_id", "left")
     state = F.when(F.col("found").isNull(), "missing").when(F.col("found") == F.col("parquet_sha256"), "intact").otherwise("altered")
     sha = F.coalesce("pipeline_git_sha", F.lit("unknown"))
     return own.groupBy(state.alias("state"), (~(sha.endswith("-dirty") | (sha == "unknown"))).alias("reproducible")).agg(F.count("*").alias("n"))

@@ -1,7 +1,8 @@
 """An extension: snapshots that arrive as a stream keep a timeline up to date.
 
-A batch appends the releases that the raw table lacks (first writer wins) and
-rebuilds the spans of the panels that it touches from their raw rows: a late
+A batch appends the rows that the raw table lacks: of rows of one panel, release
+and allele the first that came holds, so a release may come in several batches,
+and a batch that runs again adds nothing.  It then rebuilds the spans of the panels that it touches from their raw rows: a late
 release changes the grid of its whole panel, so nothing less would be right.
 """
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronospan.operators.timeline import sparse_spans
+from chronospan.sources.snapshots import _exists
+
+KEY = ["panel", "release_date", "allele_id"]
 
 
 def follow(spark: SparkSession, source: str, schema, raw: str, spans: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -24,9 +28,11 @@ def follow(spark: SparkSession, source: str, schema, raw: str, spans: str, check
             panels = [r["panel"] for r in rows.select("panel").distinct().collect()]
             if not panels:
                 return
-            # dynamic overwrite of (panel, release_date): a batch run again writes the same partitions again
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("panel", "release_date").parquet(raw)
-            whole = spark.read.parquet(raw).where(F.col("panel").isin(*panels))
+            new = rows.dropDuplicates(KEY)
+            if _exists(spark, raw):
+                new = new.join(spark.read.schema(schema).parquet(raw).select(*KEY), KEY, "left_anti")
+            new.write.mode("append").partitionBy("panel", "release_date").parquet(raw)
+            whole = spark.read.schema(schema).parquet(raw).where(F.col("panel").isin(*panels))
             sparse_spans(whole).repartition("panel", "allele_id").sortWithinPartitions("allele_id", "valid_from").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("panel").parquet(spans)
         finally:
             rows.unpersist()

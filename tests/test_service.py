@@ -8,7 +8,7 @@ import pytest
 
 from chronospan import cli, locks
 from chronospan.service import BadRequest, Timeline, day
-from chronospan.sources import fetch
+from chronospan.sources import fetch, store
 from tests.test_timeline import THREE, snapshots
 
 
@@ -27,7 +27,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("spans") == [{"panel": "p", "spans": 5, "alleles": 3, "moved_alleles": 2}]
     moved = run("spike", "--baseline", "2020-01-01", "--now", "2026-01-01", "--threshold", "0.99")[0]
     assert (moved["vus_at_baseline"], moved["moved_to_pathogenic"], moved["policy_suspect"]) == (2, 2, 0)
-    assert len(run("timeline", "--panel", "p")) == 5 and len(run("provenance")) == 2
+    assert len(run("timeline", "--panel", "p")) == 5
+    assert [(r["state"], r["n"]) for r in run("provenance")] == [("intact", 2)]
+    run("export-public", "--target", str(tmp_path / "public"))
+    assert sorted(p.name for p in (tmp_path / "public").iterdir()) == ["allele_dim", "assertion_span", "snapshot_manifest"]
     token = run("tenant-create", "--tenant", "lab-a", "--label", "first")["token"]
     assert run("tenant-list")[0]["active"] == 1
     run("tenant-revoke", "--tenant", "lab-a", "--token", token.split(".")[1])
@@ -46,8 +49,8 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
-def test_service(spark):
-    own = Timeline(snapshots(spark, THREE), "p", 0.9)
+def test_service(spark, tmp_path):
+    own = Timeline(store.build(snapshots(spark, THREE), str(tmp_path)), "p", 0.9)
     assert own.context()["floor"] == "2019-01-02" and len(own.context()["releases"]) == 3
     page = own.variants("gene", "2022-06-01", limit=2)
     assert page["total"] == 4 and len(page["rows"]) == 2 and page["headline"]["classified"] == 4
@@ -55,7 +58,6 @@ def test_service(spark):
     for bad in (lambda: own.variants("gene", "x"), lambda: own.variants("ge ne", "2020-01-01"), lambda: own.variants("g", "2020-01-01", limit=0), lambda: own.timeline("a b"), lambda: day("2020-02-30")):
         with pytest.raises(BadRequest):
             bad()
-    own.close()
 
 
 def test_locks(tmp_path):

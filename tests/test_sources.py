@@ -1,5 +1,7 @@
 """The indexed source, snapshots, manifests and the stream, on files made here."""
 
+import re
+import shutil
 import struct
 import zlib
 
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronospan.schemas import MANIFEST, SNAPSHOT
-from chronospan.sources import indexed, releases, snapshots
+from chronospan.sources import genes, indexed, releases, snapshots
+from chronospan.sources.ingest import ingest
 from chronospan.streaming.incremental import follow
 from tests.test_timeline import THREE, listed
 from tests.test_timeline import snapshots as raw_rows
@@ -117,14 +120,23 @@ def test_manifests(spark, tmp_path):
 
 
 def test_provenance(spark, tmp_path):
-    import hashlib
-
-    for i in "ab":
-        (tmp_path / f"{i}.parquet").write_bytes(i.encode())
-    rows = [("a", hashlib.sha256(b"a").hexdigest(), "abc"), ("b", "0" * 64, "abc-dirty"), ("c", "0" * 64, None)]
-    own = spark.createDataFrame(rows, "snapshot_id string, parquet_sha256 string, pipeline_git_sha string")
-    got = {(r["state"], r["reproducible"]): r["n"] for r in snapshots.provenance(spark, own, str(tmp_path / "*.parquet")).collect()}
-    assert got == {("intact", True): 1, ("altered", False): 1, ("missing", False): 1}
+    """A fresh ingest is intact; a file that changes is altered, a folder that goes is missing; the code's state decides on reproducible."""
+    root = str(tmp_path / "s")
+    lines = spark.createDataFrame([("17\t100\t7\tA\tG\t.\t.\tGENEINFO=G:1;CLNSIG=Benign",)], "value string")
+    regions = spark.createDataFrame([("G", "17", 1, 1000)], "symbol string, contig string, start long, end long")
+    for day in ("2020-01-01", "2021-01-01", "2022-01-01"):
+        made = ingest(lines, regions, root, day, "p q", bytes_fetched=10, source_full_bytes=100)
+        assert made["row_count"] == 1 and made["genes_requested"] == 1 and made["bytes_fetched"] == 10
+    assert re.fullmatch(r"[0-9a-f]{40}(-dirty)?|unknown", made["pipeline_git_sha"])
+    first = snapshots.load_manifests(spark, f"{root}/manifests/*").collect()
+    manifests = spark.createDataFrame(first, MANIFEST).withColumn("pipeline_git_sha", F.lit("abc"))
+    state = lambda: {(r["state"], r["reproducible"]): r["n"] for r in snapshots.provenance(spark, manifests, root).collect()}
+    assert state() == {("intact", True): 3}
+    ingest(lines.unionByName(lines.withColumn("value", F.replace("value", F.lit("100"), F.lit("200")))), regions, root, "2021-01-01", "p q", force=True)
+    shutil.rmtree(next((tmp_path / "s").glob("panel=*/release_date=2022-01-01")))
+    assert state() == {("intact", True): 1, ("altered", True): 1, ("missing", True): 1}
+    dirty = manifests.withColumn("pipeline_git_sha", F.when(F.col("release_date") == "2020-01-01", "abc-dirty"))
+    assert {(r["state"], r["reproducible"]) for r in snapshots.provenance(spark, dirty, root).collect()} == {("intact", False), ("altered", False), ("missing", False)}
 
 
 def test_export_and_tenants(spark, tmp_path):
@@ -137,8 +149,10 @@ def test_export_and_tenants(spark, tmp_path):
         snapshots.export_public(spark, source, source + "/")
     root = str(tmp_path / "t")
     make = lambda *rows: spark.createDataFrame(rows, "tenant_id string, v int")
-    snapshots.replace_tenant(make(("a", 1), ("b", 1)), root)
-    snapshots.replace_tenant(make(("a", 2), ("a", 3)), root)
+    for tenant in ("a", "b", "c d"):
+        snapshots.replace_tenant(make((tenant, 1)), root, tenant)
+    snapshots.replace_tenant(make(("a", 2), ("a", 3)), root, "a")
+    snapshots.replace_tenant(make(("a", 2)).where("false"), root, "c d")
     assert sorted((r["tenant_id"], r["v"]) for r in spark.read.parquet(root).collect()) == [("a", 2), ("a", 3), ("b", 1)]
 
 
@@ -153,3 +167,31 @@ def test_stream(spark, tmp_path):
     assert [s[0] for s in listed(spark.read.parquet(spans), "A4")] == ["ABSENT", "PATHOGENIC"]
     follow(spark, source, schema, raw, spans, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert spark.read.parquet(raw).count() == rows.count()
+
+
+def test_stream_of_a_split_release(spark, tmp_path):
+    """A release whose rows come in two batches keeps them all; a row that comes again changes nothing."""
+    source, raw, spans = (str(tmp_path / x) for x in ("in", "raw", "spans"))
+    rows = raw_rows(spark, THREE)
+    for part in (rows.where("allele_id <> 'A2'"), rows.where("allele_id = 'A2'"), rows.where("allele_id = 'A1'").withColumn("bucket", F.lit("BENIGN"))):
+        part.coalesce(1).write.mode("append").parquet(source)
+        follow(spark, source, rows.schema, raw, spans, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert spark.read.parquet(raw).count() == rows.count()
+    assert [s[0] for s in listed(spark.read.parquet(spans), "A1")] == ["UNCERTAIN"]
+
+
+def test_genes(spark, tmp_path):
+    path, asked = str(tmp_path / "genes"), []
+
+    def first(symbol):
+        asked.append(symbol)
+        if symbol == "BAD":
+            raise OSError("down")
+        return ("17", 10_000, 20_000) if symbol == "ONE" else None
+
+    providers = {"first": first, "second": lambda s: ("1", 7000, 8000) if s == "TWO" else None}
+    got = {r["symbol"]: tuple(r)[1:] for r in genes.resolved(spark, ["one", "TWO"], providers, path).collect()}
+    assert got == {"ONE": ("17", 5000, 25_000, "first"), "TWO": ("1", 2000, 13_000, "second")} and asked == ["ONE", "TWO"]
+    with pytest.raises(genes.TooManyUnknown, match="BAD"):
+        genes.resolved(spark, ["ONE", "BAD"], providers, path)
+    assert asked == ["ONE", "TWO", "BAD"] and genes.resolved(spark, ["ONE", "BAD"], providers, path, budget=0.5).count() == 1
