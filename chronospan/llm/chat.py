@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chronospan.llm.common import small_batches, table
+from chronospan.llm.common import table
 
 #: Marks of a turn: its start, the end of its role, its end.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -105,7 +105,6 @@ FORMATTED = "conv_id long, n_turns long, formatted string, input_ids array<int>,
 
 def format_conversations(turns: DataFrame, tokenizer_path: str = TOKENIZER, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """A row per conversation: its text, token ids, the place where each token ends, and the loss mask."""
-    small_batches(turns.sparkSession)
     schema = T.StructType.fromDDL(FORMATTED)
     arrow = to_arrow_schema(schema)
 

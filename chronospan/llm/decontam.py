@@ -10,8 +10,9 @@ missed.  A document's windows above the partition's largest sketch hash are
 skipped, the others are looked up, and each candidate is verified by exact
 containment, first of hashes, then of the words themselves.
 
-The index goes to the tasks in blocks of items, each of at most BLOCK_WINDOWS
-windows; a benchmark of several blocks costs as many passes.
+The index goes to the tasks in blocks of items, each of about BLOCK_WINDOWS
+windows: 16 bytes a window and the items' words, so 60 MB a block.  A benchmark of
+several blocks costs as many passes.
 
 Words are runs of letters and digits, A-Z in lower case, non-ASCII characters
 counted as letters.  Defined results: a null or empty text or item has no
@@ -23,67 +24,36 @@ are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
-from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronospan.llm.common import byte_table, per_text, table
+from chronospan.llm.common import Texts, byte_table, configured, per_slice, table, windows, with_columns, word_hashes
 
 SHINGLE, CONTAINED = 5, 80
-BLOCK_WINDOWS = 200_000
-#: Words whose hash a task keeps.
-KEPT = 500_000
+BLOCK_WINDOWS = 2_000_000
 WORDS = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hasher:
-    """64-bit hashes of words and of windows; keeps those of the words that it meets first."""
-
-    def __init__(self) -> None:
-        self.at: dict[bytes, int] = {}
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        out = list(map(self.at.get, words))
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    w = words[i]
-                    h = out[i] = crc32(w) << 32 | crc32(w[::-1], len(w))
-                    if len(self.at) < KEPT:
-                        self.at[w] = h
-        return np.array(out, np.uint64)
-
-    @staticmethod
-    def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-        """Hash of each window of ``width`` words, in order."""
-        n = len(hashes) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        for k in range(width):
-            out = (out ^ hashes[k : k + n]) * _MIX
-            out ^= out >> np.uint64(29)
-        return out * _MIX
-
 
 class Item(NamedTuple):
     item_id: int | None
-    grams: frozenset[bytes]
-    hashes: np.ndarray  # sorted
+    width: int
+    words: bytes  # lower-cased, joined by spaces
+    hashes: np.ndarray  # sorted, distinct
 
 
 class Partition(NamedTuple):
-    """Items of one window width and size class, by the hashes of their sketches."""
+    """Items of one window width and size class, by the hashes of their sketches: those of sketch[k] are items[firsts[k]:firsts[k + 1]]."""
 
     width: int
-    sketch: np.ndarray  # sorted hashes
-    items: list[list[int]]  # of each sketch hash
+    sketch: np.ndarray
+    firsts: np.ndarray
+    items: np.ndarray
 
 
 def needed(n: int) -> int:
@@ -91,106 +61,112 @@ def needed(n: int) -> int:
     return -(-n * CONTAINED // 100)
 
 
-def grams_of(words: list[bytes], width: int) -> list[bytes]:
-    return [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+def grams_of(words: list[bytes], width: int) -> set[bytes]:
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
 def indexed(rows: list[tuple[int | None, bytes]]) -> tuple[list[Item], list[Partition]]:
     """Items of a block, and their partitions."""
-    hasher, items, groups = Hasher(), [], {}
-    for item_id, text in rows:
-        words = text.translate(WORDS).split()
-        if words:
-            width = min(SHINGLE, len(words))
-            hashes = np.unique(hasher.windows(hasher.words(words), width))
-            groups.setdefault((width, len(hashes).bit_length()), []).append(len(items))
-            items.append(Item(item_id, frozenset(grams_of(words, width)), hashes))
+    items, groups = [], {}
+    hashes, firsts = word_hashes(Texts.of(pa.array([text for _, text in rows], pa.binary())), WORDS)
+    for (item_id, text), lo, hi in zip(rows, firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+        if hi > lo:
+            width = min(SHINGLE, hi - lo)
+            own = np.unique(windows(hashes[lo:hi], width))
+            groups.setdefault((width, len(own).bit_length()), []).append(len(items))
+            items.append(Item(item_id, width, b" ".join(text.translate(WORDS).split()), own))
     parts = []
     for (width, _), own in sorted(groups.items()):
         k = max(len(items[i].hashes) - needed(len(items[i].hashes)) + 1 for i in own)
-        by_hash: dict[int, list[int]] = {}
-        for i in own:
-            for h in items[i].hashes[:k].tolist():
-                by_hash.setdefault(h, []).append(i)
-        order = sorted(by_hash)
-        parts.append(Partition(width, np.array(order, np.uint64), [by_hash[h] for h in order]))
+        keys = np.concatenate([items[i].hashes[:k] for i in own])
+        of = np.repeat(np.array(own, np.int32), [min(k, len(items[i].hashes)) for i in own])
+        order = np.argsort(keys, kind="stable")
+        sketch, first = np.unique(keys[order], return_index=True)
+        parts.append(Partition(width, sketch, np.append(first, len(keys)), of[order]))
     return items, parts
 
 
-def contained(words: list[bytes], hashes: np.ndarray, items: list[Item], parts: list[Partition]) -> Iterator[tuple[int, int]]:
-    """(number of an item, its windows in the text) for each contained item."""
-    windows = {w: Hasher.windows(hashes, w) for w in {p.width for p in parts}}
-    candidates: set[int] = set()
-    for p in parts:
-        low = windows[p.width]
-        low = low[low <= p.sketch[-1]]
-        at = np.searchsorted(p.sketch, low)
-        for i in np.unique(at[p.sketch[at] == low]).tolist():
-            candidates.update(p.items[i])
-    ordered: dict[int, np.ndarray] = {}
-    exact: dict[int, set[bytes]] = {}
-    for i in sorted(candidates):
-        item = items[i]
-        width = min(SHINGLE, 1 + next(iter(item.grams)).count(b" "))
-        if width not in ordered:
-            ordered[width] = np.unique(windows[width])
-        if len(np.intersect1d(item.hashes, ordered[width], assume_unique=True)) < needed(len(item.hashes)):
-            continue
-        if width not in exact:
-            exact[width] = set(grams_of(words, width))
-        n = len(item.grams & exact[width])
-        if n >= needed(len(item.grams)):
-            yield i, n
+def candidates(hashes: np.ndarray, firsts: np.ndarray, part: Partition) -> set[tuple[int, int]]:
+    """(number of a text, number of an item) for each sketch hash that a text holds."""
+    every = windows(hashes, part.width)
+    low = np.flatnonzero(every <= part.sketch[-1])
+    at = np.searchsorted(part.sketch, every[low])
+    hit = part.sketch[at] == every[low]
+    low, at = low[hit], at[hit]
+    text = np.searchsorted(firsts, low, "right") - 1
+    inside = low + part.width <= firsts[text + 1]
+    return {(t, i) for t, k in set(zip(text[inside].tolist(), at[inside].tolist(), strict=True)) for i in part.items[part.firsts[k] : part.firsts[k + 1]].tolist()}
+
+
+def contained(texts: pa.Array, items: list[Item], parts: list[Partition]) -> list[list[tuple[int, int, int]]]:
+    """For each text (number of an item, its distinct windows in the text, its distinct windows) of each contained item."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
+    hashes, firsts = word_hashes(Texts.of(texts), WORDS)
+    found = sorted(set().union(*(candidates(hashes, firsts, p) for p in parts)))
+    for t, own in groupby(found, key=lambda x: x[0]):
+        ordered: dict[int, np.ndarray] = {}
+        exact: dict[int, set[bytes]] = {}
+        words: list[bytes] = []
+        for _, i in own:
+            item, w = items[i], items[i].width
+            if w not in ordered:
+                ordered[w] = np.unique(windows(hashes[firsts[t] : firsts[t + 1]], w))
+            if len(np.intersect1d(item.hashes, ordered[w], assume_unique=True)) < needed(len(item.hashes)):
+                continue
+            words = words or texts[t].as_py().translate(WORDS).split()
+            if w not in exact:
+                exact[w] = grams_of(words, w)
+            grams = grams_of(item.words.split(), w)
+            n = len(grams & exact[w])
+            if n >= needed(len(grams)):
+                out[t].append((i, n, len(grams)))
+    return out
 
 
 def _blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The items, a stated query set, in blocks whose size ``block_windows`` bounds."""
+    """The items, a stated query set, in blocks of about so many words: a word begins at most one window."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    letters = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(letters / 2 / block_windows))  # a window takes two characters at least
+    words = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    blocks = max(1, math.ceil((own.agg(F.sum(words)).first()[0] or 0) / block_windows))
     for b in range(blocks):
         yield [(r[0], r[1].encode()) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
 
 
-def _search(docs: DataFrame, items: list[tuple[int | None, bytes]], keys: dict[str, Column]) -> DataFrame:
-    """``keys`` and ``found``, the items of one block that each document contains."""
-    shared = docs.sparkSession.sparkContext.broadcast(indexed(items))
+FOUND = "found array<struct<item_id: long, n_shared: long, n_item: long>>"
 
-    def make():
-        items, parts = shared.value
-        hasher = Hasher()
 
-        def one(text: bytes | None) -> tuple:
-            words = text.translate(WORDS).split() if text and parts else []
-            found = list(contained(words, hasher.words(words), items, parts)) if words else []
-            return ([(items[i].item_id, n, len(items[i].grams)) for i, n in found],)
+def _finder(docs: DataFrame, items: list[tuple[int | None, bytes]]) -> Callable[[], Callable[..., list]]:
+    """Makes the function from texts to the items of one block that each contains."""
+    shared = docs.sparkSession.sparkContext.broadcast(indexed(items))
 
-        return one
+    def make() -> Callable[..., list]:
+        items, parts = shared.value
+        return lambda texts: [[[(items[i].item_id, n, size) for i, n, size in own] for own in contained(texts, items, parts)]]
 
-    return per_text(docs, make, "found array<struct<item_id: long, n_shared: long, n_item: long>>", keys=keys)
+    return make
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment for each item in each document that contains it."""
     out = None
     for items in _blocks(benchmark, block_windows):
-        hits = _search(docs, items, {"doc_id": F.col("doc_id").cast("long")})
+        hits = per_slice(docs, _finder(docs, items), FOUND)
         part = hits.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item; a column named found is dropped."""
-    own = docs.drop("found")
+    """The rows of ``docs``, all columns, that contain no item."""
     for items in _blocks(benchmark, block_windows):
-        own = _search(own, items, {c: F.col(c) for c in own.columns}).where(F.size("found") == 0).drop("found")
-    return own
+        rows, named = with_columns(docs, _finder(docs, items), FOUND)
+        docs = named(rows.where(F.size("found") == 0))
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the benchmark items that each document contains; a document without any has no row."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(configured(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OP2_SQL = rf"""

@@ -1,49 +1,58 @@
 """Language identification by cross-parsing entropy.
 
-From labelled texts, each language gets a suffix automaton over its most
-frequent words, at most TRAIN_CHARS characters of each language.  A word, between
-two borders, is parsed from left to right into the longest stretches that the
-automaton holds; the language that needs the fewest phrases for a text's
-characters wins.  Phrases end at word borders, so a word's counts depend on the
-word alone and each task keeps those of the words that it meets first.
+From labelled texts each language gets a suffix automaton over running text, as
+many bytes for each language.  A text is parsed from left to right into the
+longest stretches that an automaton holds, over word borders; the language that
+needs the fewest phrases wins.  As all automata hold equally much text and all
+parse the same text, phrases a byte of the text are the normalised counts.
+
+Texts are folded before: lower case, and whatever is no letter is one space.  A
+phrase also ends at every SEGMENT-th byte, so that many stretches are parsed
+side by side, in arrays: a step for all of them at once.
 
 Fitting reads a bounded sample: at most SAMPLE_DOCS labelled documents of each
-language, the distinct texts with the smallest hashes.  Prediction reads whole
-texts and nothing but the text.
+language, the distinct texts with the smallest hashes, and of those
+TRAIN_BYTES; where a language has less, all have as much as the least of those with
+LEAST_BYTES.  Prediction reads whole texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 languages with equally few phrases: the first in alphabetical order, score 0.
-With no labelled text at all, every text is ``und``.  Repeated rows give
-repeated results, a null doc_id is carried, an empty table gives an empty
-result, other columns are ignored.
+With no labelled text at all, every text is ``und``.  More than MOST_LANGS labels are an
+error: that column holds something else.  Repeated rows give repeated results, a null
+doc_id is carried, an empty table gives an empty result, other columns are
+ignored, or kept by ``in_known_language``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronospan.llm.common import bucket, byte_table, per_text, table
+from chronospan.llm.common import bucket, byte_table, configured, per_slice, table, with_columns
 
-#: Bounds of the sample and of an automaton's text.
-SAMPLE_DOCS, TRAIN_CHARS = 300, 40_000
-#: Words whose counts a task keeps.
-KEPT_WORDS = 300_000
+#: Bounds of the sample, of an automaton's text, and of the labels.
+SAMPLE_DOCS, TRAIN_BYTES, LEAST_BYTES, MOST_LANGS = 300, 20_000, 2_000, 64
+#: Bytes of a stretch that is parsed on its own.
+SEGMENT = 256
 
 _ASCII = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 LETTERS = byte_table(_ASCII + bytes(range(0x80, 0x100)))
 _NOT_ASCII = bytes(b for b in range(256) if b not in _ASCII)
 
-Automaton = list[dict[str, int]]
+#: The text of each language's automaton, in alphabetical order of the languages.
+Model = dict[str, bytes]
 
 
-def automaton(text: str) -> Automaton:
+def automaton(text: bytes) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of ``text``: it holds exactly the stretches of the text; state 0 is the start."""
-    step: Automaton = [{}]
+    step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
         new = len(step)
@@ -71,119 +80,125 @@ def automaton(text: str) -> Automaton:
     return step
 
 
-def phrases(text: str, step: Automaton) -> int:
-    """Longest matches, one after another, that spell ``text``; an unknown character is a phrase."""
-    n, state = 0, None
-    start = step[0]
-    for c in text:
-        to = step[state].get(c) if state is not None else None
-        if to is None:
-            n += 1
-            to = start.get(c)
-        state = to
-    return n
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Letter sequences of a text, ASCII in lower case; none if it has no letter of any script."""
-    if not text.translate(None, _NOT_ASCII) and not any(c.isalpha() for c in text.decode("utf-8", "replace")):
-        return []
-    return text.translate(LETTERS).split()
-
-
-def fold(word: bytes) -> str:
-    return word.decode("utf-8", "replace").lower()
+class Tables(NamedTuple):
+    """All automata as one array ``step``: a state is the place of its row, which has its transitions by code.
 
+    A transition that isn't there leads to 0, whose row is empty.  ``start`` has
+    each language's transitions from its start; ``code`` is the column of each
+    byte, 0 for those that no training text has.
+    """
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, Automaton]:
-    """An automaton for each value of ``lang`` in ``labelled`` (lang, text)."""
+    code: np.ndarray
+    step: np.ndarray
+    start: np.ndarray
+
+
+@lru_cache(2)
+def tables(texts: tuple[bytes, ...]) -> Tables:
+    used = sorted(set(b"".join(texts)))
+    code = np.zeros(256, np.uint8)
+    code[used] = np.arange(1, len(used) + 1)
+    width, made, first = len(used) + 1, [automaton(t) for t in texts], 1
+    step = np.zeros((1 + sum(map(len, made)), width), np.int32)  # row 0: no phrase is open
+    start = np.zeros((len(texts), width), np.int32)
+    for k, rows in enumerate(made):
+        for s, row in enumerate(rows):
+            for c, to in row.items():
+                step[first + s, code[c]] = (first + to) * width
+        start[k] = step[first]
+        first += len(rows)
+    return Tables(code, step.ravel(), start)
+
+
+def folded(text: bytes | None) -> bytes:
+    """The words of a text, in lower case, between single spaces; empty without a letter of any script."""
+    if not text or (not text.translate(None, _NOT_ASCII) and not any(c.isalpha() for c in text.decode("utf-8", "replace"))):
+        return b""
+    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return b" %s " % b" ".join(lower.translate(LETTERS).split())
+
+
+def phrases(texts: list[bytes], t: Tables) -> np.ndarray:
+    """Phrases of each folded text, a row, in each language, a column: the longest matches, one after another, that spell its segments."""
+    sizes = np.array([-(-len(x) // SEGMENT) for x in texts])
+    whole = b"".join(x.ljust(n * SEGMENT, b"\0") for x, n in zip(texts, sizes.tolist(), strict=True))
+    codes = np.ascontiguousarray(t.code[np.frombuffer(whole, np.uint8)].reshape(-1, SEGMENT).T).astype(np.int64)
+    langs = len(t.start)
+    state = np.zeros((langs, codes.shape[1]), np.int64)
+    n = np.zeros((langs, codes.shape[1]), np.int32)
+    to, missing = np.empty_like(n), np.empty(n.shape, bool)
+    for c in codes:
+        state += c
+        np.take(t.step, state, out=to, mode="clip")
+        np.equal(to, 0, out=missing)
+        n += missing
+        to += missing * t.start[:, c]
+        state[...] = to
+    of = np.repeat(np.arange(len(texts)), sizes)
+    out = np.stack([np.bincount(of, row, len(texts)) for row in n], axis=1).astype(np.int64)
+    return out - (sizes * SEGMENT - np.array([len(x) for x in texts]))[:, None]  # each byte of padding was a phrase
+
+
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """The training text of each value of ``lang`` in ``labelled`` (lang, text)."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_distinct("h").alias("n")).limit(MOST_LANGS + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values")
     # enough hashes for half as many distinct texts again as wanted; only those reach the window
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample_docs / n + 50 / n)))])
     near = known.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30)).dropDuplicates(["lang", "h"])
     first = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample_docs)
-    seen: dict[str, Counter] = {k: Counter() for k in counts}
-    for r in first.select("lang", "text").toLocalIterator():
-        seen[r["lang"]].update(map(fold, words_of(r["text"].encode())))
-    return {k: automaton(training_text(c, train_chars)) for k, c in sorted(seen.items())}
-
-
-def training_text(counts: Counter, chars: int) -> str:
-    """The most frequent words between borders, up to so many characters."""
-    out, n = [], 1
-    for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        if n + len(w) + 1 > chars:
-            break
-        out.append(w)
-        n += len(w) + 1
-    return " " + " ".join(out) + " "
-
-
-class Parser:
-    """Counts phrases of texts in each language; keeps the counts of up to ``kept`` words."""
-
-    def __init__(self, model: dict[str, Automaton], kept: int = KEPT_WORDS):
-        self.langs, self.steps, self.kept = list(model), list(model.values()), kept
-        self.at: dict[bytes, int] = {}
-        self.rows = np.zeros((1024, len(model)), np.int64)
-
-    def word(self, word: bytes) -> list[int]:
-        text = f" {fold(word)} "
-        return [phrases(text, s) for s in self.steps]
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        at = list(map(self.at.get, words))
-        more = np.zeros(len(self.langs), np.int64)
-        if None in at:
-            for i, (k, w) in enumerate(zip(at, words, strict=True)):
-                if k is None and (k := self.at.get(w)) is None:
-                    row = self.word(w)
-                    if len(self.at) >= self.kept:
-                        more += row
-                        continue
-                    k = self.at[w] = len(self.at)
-                    if k >= len(self.rows):
-                        self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-                    self.rows[k] = row
-                at[i] = k
-            at = [k for k in at if k is not None]
-        return more + self.rows[np.array(at, np.int64)].sum(axis=0)
-
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        words = words_of(text) if text and self.langs else []
-        if not words:
-            return "und", 0.0
-        n = self.counts(words)
-        order = np.argsort(n, kind="stable")
-        best, next_ = n[order[0]], n[order[min(1, len(order) - 1)]]
-        return self.langs[order[0]], float(1 - best / next_) if len(order) > 1 else 1.0
-
-
-def identify(docs: DataFrame, model: dict[str, Automaton], kept: int = KEPT_WORDS, keys: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, or ``keys``, with lang_pred and score of each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_CHARS a language
-    return per_text(docs, lambda: Parser(shared.value, kept).predict, "lang_pred string, score double", keys=keys)
+    seen: dict[str, bytes] = {k: b"" for k in counts}
+    for r in first.orderBy("lang", "h").select("lang", F.left("text", F.lit(train_bytes)).alias("text")).toLocalIterator():
+        if len(seen[r["lang"]]) < train_bytes:
+            seen[r["lang"]] += folded(r["text"].encode())
+    size = min([train_bytes, *(len(x) for x in seen.values() if len(x) >= LEAST_BYTES)])
+    return {k: x[:size] for k, x in sorted(seen.items())}
+
+
+def predictor(model: Model) -> Callable[[pa.Array], list]:
+    """From a slice of texts to the language and the score of each."""
+    langs, t = list(model), tables(tuple(model.values()))
+
+    def of_slice(texts: pa.Array) -> list:
+        own = [folded(x) for x in texts.to_pylist()] if langs else [b""] * len(texts)
+        at = [k for k, x in enumerate(own) if x]
+        names, scores = ["und"] * len(own), [0.0] * len(own)
+        if at:
+            n = phrases([own[k] for k in at], t)
+            order = np.argsort(n, axis=1, kind="stable")
+            for k, row, by in zip(at, n, order, strict=True):
+                names[k] = langs[by[0]]
+                scores[k] = float(1 - row[by[0]] / row[by[1]]) if len(by) > 1 else 1.0
+        return [names, scores]
+
+    return of_slice
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id with lang_pred and score of each row of ``docs``."""
+    return per_slice(docs, lambda: predictor(model), "lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is one of those that its own labelled rows teach.
 
     Texts that are null or have no letter go; with no labelled row nothing is
-    known and all rows stay.  Columns named lang_pred or score are dropped.
+    known and all rows stay.
     """
-    own = docs.drop("lang_pred", "score")
-    model = fit(own.select("lang", "text"))
+    model = fit(docs.select("lang", "text"))
     if not model:
-        return own
-    return identify(own, model, keys={c: F.col(c) for c in own.columns}).where("lang_pred <> 'und'").drop("lang_pred", "score")
+        return docs
+    rows, named = with_columns(docs, lambda: predictor(model), "lang_pred string, score double")
+    return named(rows.where("lang_pred <> 'und'"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the language of all documents, learned from three of the four folds."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(configured(spark), sf_dir, "documents")
     held_out = bucket(F.col("doc_id"), 4) == 2
     model = fit(docs.where(~held_out).select("lang", "text"))
     return identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm.common import byte_table, per_text, table
+from chronospan.llm.common import byte_table, configured, per_text, table
 
 #: Word bytes: 0-9, a-z, and all of non-ASCII UTF-8.
 WORDS = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
@@ -248,4 +248,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the scan of all documents."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(configured(spark), sf_dir, "documents"))

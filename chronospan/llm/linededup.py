@@ -1,67 +1,111 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-A line ends at a line break or after the punctuation that ends a sentence, so a
-passage set into a longer line still has lines of its own.  A line of at least
-MIN_LINE_WORDS words is rare enough to link documents: each later document is
-linked to the first document, by doc_id, that holds the line, never to all that
-hold it, so a line of a third of all documents gives one link to each.  The first
-document with a whole block need not be the first with any of its lines, so
-runs of neighbouring lines link too: from each line forwards and to each line
-backwards, the shortest run of MIN_BLOCK_WORDS words links to the first document
-that holds the run.  Each line of a block of that many words is in such a run.
-Documents linked by a run, or that share MIN_SHARED_WORDS words of lines linked
-one by one, are aligned by patience diff: lines that occur once in either are matched along a longest
-increasing sequence, and matches grow over equal neighbours.  Aligned blocks of
-consecutive lines with at least MIN_BLOCK_WORDS words are deleted from the later
-document; what remains is aligned again until there is no such block, so moved
-and repeated passages go too.  The first holder of a line always keeps it.
-
-Joins and alignments use two independent 64-bit hashes, so a false deletion
-would need both to collide on all lines of a block.
-
-Defined results: a null text stays null, an empty one empty.  Rows with a null
-doc_id are carried unchanged.  Repeated rows of one doc_id are not compared
-with each other, only with documents of smaller ids, and repeated rows give
-repeated results.  An empty table gives an empty result; other columns are
-ignored, or kept by ``without_lines``.
+Texts are wrapped anew into lines whose starts their words set, so that a passage
+has the same lines wherever it is set in: of the BLOCK_WORDS-word windows that
+begin at WINDOW neighbouring words, the one with the least hash begins a line.
+The hash of a line is that of the BLOCK_WORDS words from its start; it reaches over
+the starts that follow.  A stretch of BLOCK_WORDS + WINDOW - 1 words, 50, that two
+documents share holds a line of both, whatever stands around it.
+
+Documents overlap if they share a line.  A line of at most RARE places links each
+of its documents to all earlier ones; a more frequent one links each document to
+the first holder alone, so a line of a third of all documents makes one link for
+each, and no two documents are ever listed for it.  Each pair of linked documents
+is aligned by patience diff over the lines that it shares: lines that occur once
+in either are matched along a longest increasing sequence, and between them again.
+Shared lines off that path, of moved and repeated passages, are matched where
+they stand.  Matched lines that continue each other are one block.  It is checked
+on its words, grows word by word at both ends, and goes from the later document.
+
+So every stretch of 50 words that an earlier document holds is broken: at least
+30 of its words go, all of them if the holder of one of its lines has them too.  Words are
+what stands between ASCII white space.  Only lines that two documents share are
+brought together, never whole documents, so a long document, or one that
+thousands repeat, costs what it shares.
+
+Defined results: a null text stays null, an empty one empty; fewer than
+BLOCK_WORDS words never change.  Rows with a null doc_id are carried unchanged.
+Rows of one doc_id are not compared with each other, only with documents of
+smaller ids, and repeated rows give repeated results.  An empty table gives an
+empty result; other columns are ignored, or kept by ``with_own_lines``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chronospan.llm.common import saved, small_batches, table
+from chronospan.llm.common import Scratch, Texts, byte_table, configured, per_slice, places_of, table, windows, with_columns, word_hashes
 
-MIN_LINE_WORDS, MIN_SHARED_WORDS, MIN_BLOCK_WORDS = 4, 15, 30
-#: Where a line ends; the pieces joined give the text again.
-LINE_END = r"""(?<=\n)|(?<=[.!?*#$%&|"'] )"""
-_SPACE = " \t\n\x0b\x0c\r"
-#: Base of the hash of a run, odd, and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BLOCK_WORDS, WINDOW = 30, 21
+#: Places of a line up to which each of its documents is linked to every earlier one.
+RARE = 8
+#: Places of a frequent line that meet its first one in one task.
+SALTED = 2000
+#: Documents whose ids are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
+WORDS = byte_table(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D), lower=False)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), LINE_END)
+def sliding(x: np.ndarray, width: int, op: np.ufunc, rest: np.uint64) -> np.ndarray:
+    """op over x[i:i + width] for each i, with ``rest`` after the end: from running values of blocks of that width, forwards and backwards."""
+    whole = np.concatenate((x, np.full(-len(x) % width + width, rest, x.dtype))).reshape(-1, width)
+    ahead = op.accumulate(whole, axis=1).ravel()
+    back = op.accumulate(whole[:, ::-1], axis=1)[:, ::-1].ravel()
+    return op(back[: len(x)], ahead[width - 1 : width - 1 + len(x)])
 
 
-def _bare(line: Column) -> Column:
-    return F.btrim(line, F.lit(_SPACE))
+def line_starts(hashes: np.ndarray, firsts: np.ndarray, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that begin a line, and the hashes of the lines; text k has the words firsts[k] to firsts[k + 1].
 
-
-def _words(bare: Column) -> Column:
-    """Words of a trimmed line, by its spaces."""
-    return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) + 1)
+    A text with fewer windows than ``window`` has the least of them.
+    """
+    n = len(hashes)
+    if n < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    size = np.diff(firsts)
+    room = np.repeat(firsts[1:], size) - np.arange(n)
+    own = np.full(n, _MOST)
+    own[: n - words + 1] = windows(hashes, words)
+    own[room < words] = _MOST
+    whole = room >= words + window - 1
+    begins = firsts[:-1][size >= words]
+    whole[begins] = True
+    least = sliding(own, window, np.minimum, _MOST)
+    least[~whole] = 0
+    # a start is the least of some window: the largest of the least values of all windows over it is its own
+    over = sliding(least[::-1], window, np.maximum, np.uint64(0))[::-1]
+    at = np.flatnonzero((over == own) & (room >= words))
+    return at, own[at]
+
+
+def wrapped(docs: DataFrame, words: int, window: int) -> DataFrame:
+    """row, doc_id, starts and hashes of the lines of each document (row, doc_id, text)."""
+
+    def make() -> Callable[..., list]:
+        def of_slice(texts: pa.Array) -> list:
+            hashes, firsts = word_hashes(Texts.of(texts), WORDS)
+            at, lines = line_starts(hashes, firsts, words, window)
+            cut = np.searchsorted(at, firsts)
+            begin = np.repeat(firsts[:-1], np.diff(cut))
+            offsets = pa.array(cut, pa.int32())
+            return [pa.ListArray.from_arrays(offsets, pa.array((at - begin).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(lines.view(np.int64)))]
+
+        return of_slice
+
+    return per_slice(docs, make, "starts array<int>, lines array<long>", keys={"row": F.col("row"), "doc_id": F.col("doc_id")})
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,119 +165,163 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(later: list[int], words: list[int], earlier: list[int], least: int = MIN_BLOCK_WORDS) -> list[int]:
-    """Places of ``later`` in common blocks with ``earlier`` that have at least so many words."""
-    own, gone = list(later), []
-    while True:
-        runs: list[list[int]] = []
-        last = (-2, -2)
-        for i, j in patience(own, earlier):
-            if (i - 1, j - 1) == last:
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-            last = (i, j)
-        new = [i for run in runs if sum(words[i] for i in run) >= least for i in run]
-        if not new:
-            return sorted(gone)
-        gone += new
-        for i in new:
-            own[i] = None  # equal to no hash
-
-
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, and for each line its second hash and words; documents without an id are left out."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(lines_of(F.col("text")), _bare).alias("bare"))
-    return lines.select(
-        "doc_id", "text_hash", F.transform("bare", lambda x: F.xxhash64(x, F.lit(2))).alias("lines"), F.transform("bare", _words).alias("words"), F.transform("bare", lambda x: F.xxhash64(x, F.lit(1))).alias("keys")
-    )
-
-
-def runs(keys: np.ndarray, words: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, hash and words of the shortest runs of ``least`` words from, and to, each line with words.
-
-    Lines offsets[k] to offsets[k + 1] are those of document k.  The hash of a
-    run of one line is the line's own.
+def blocks(matches: list[tuple[int, int, int]], words: int) -> list[tuple[int, int, int, int]]:
+    """Common blocks (start and end in the later document, in the earlier one) from its shared lines (start, start in the earlier one, line).
+
+    First those of a patience diff over both documents' shared lines, then those
+    of the lines that it leaves over, joined where they keep their distance.
     """
-    n = len(keys)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
-    place = np.flatnonzero(words)
-    end = np.searchsorted(total, total[place] + least)
-    ahead = end <= offsets[doc[place] + 1]
-    start = np.searchsorted(total, total[place + 1] - least, side="right") - 1
-    behind = start >= offsets[doc[place]]
-    first = np.concatenate((place[ahead], start[behind]))
-    last = np.concatenate((end[ahead], place[behind] + 1))
-    power = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(keys.view(np.uint64) * power(_BASE)[:n])))
-    made = (sums[last] - sums[first]) * power(_INVERSE)[first]
-    return doc[first], made.view(np.int64), total[last] - total[first]
-
-
-def links(own: DataFrame, line_words: int = MIN_LINE_WORDS, shared_words: int = MIN_SHARED_WORDS, block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """doc_id and first_id of documents, as ``hashed`` gives them, that share so many words of lines, or a run, which first_id holds first."""
-    schema = T.StructType.fromDDL("doc_id long, key long, words long")
-    arrow = to_arrow_schema(schema)
+    own, earlier = {(i, x) for i, _, x in matches}, {(j, x) for _, j, x in matches}
+    a, b = sorted(own), sorted(earlier)
+    on_path = [(a[i][0], b[j][0]) for i, j in patience([x for _, x in a], [x for _, x in b])]
+    held = {i for i, _ in on_path}
+    left = sorted({(i, j) for i, j, _ in matches if i not in held}, key=lambda m: (m[0] - m[1], m[0]))
+    runs: list[list[int]] = []
+    for i, j in on_path + left:
+        if runs and i - runs[-1][1] == j - runs[-1][3] and 0 <= i - runs[-1][1] <= words:
+            runs[-1][1], runs[-1][3] = i, j
+        else:
+            runs.append([i, i, j, j])
+    return [(i, i2 + words, j, j2 + words) for i, i2, j, j2 in runs]
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            offsets = part.column(1).offsets.to_numpy().astype(np.int64)
-            keys = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            words = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = offsets - offsets[0]
-            long = np.flatnonzero(words >= line_words)
-            d, k, n = runs(keys, words, offsets, max(1, block_words))
-            doc = np.concatenate((np.repeat(np.arange(len(ids)), np.diff(offsets))[long], d))
-            key = np.concatenate((keys[long], k))
-            size = np.concatenate((words[long], np.maximum(n, shared_words)))  # a run is enough
-            order = np.lexsort((size, key, doc))
-            doc, key, size = doc[order], key[order], size[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (size[1:] != size[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]], pa.int64()), pa.array(key[new]), pa.array(size[new])], schema=arrow)
-
-    held = own.select("doc_id", "keys", "words").mapInArrow(batches, schema)
-    # one exchange; the running minimum keeps no rows of a frequent key
-    so_far = W.partitionBy("key").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = held.withColumn("first_id", F.min("doc_id").over(so_far)).where("first_id < doc_id")
-    return near.groupBy("doc_id", "first_id").agg(F.sum("words").alias("shared")).where(F.col("shared") >= shared_words).drop("shared")
-
-
-def deletions(docs: DataFrame, line_words: int = MIN_LINE_WORDS, shared_words: int = MIN_SHARED_WORDS, block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """doc_id, text_hash and the numbers of the lines to delete, from 0."""
-    small_batches(docs.sparkSession)
-    own = saved(hashed(docs), "lines")  # texts are split and hashed once
-    later = links(own, line_words, shared_words, block_words).join(own.drop("keys"), "doc_id")
-    earlier = own.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("earlier"))
-    pairs = later.join(earlier, "first_id").select("doc_id", "text_hash", "lines", "words", "earlier")
-    schema = T.StructType.fromDDL("doc_id long, text_hash long, gone array<int>")
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(WORDS).split()
+
+
+def links(lines: DataFrame, scratch: Scratch, rare: int) -> DataFrame:
+    """row, start, earlier_row, earlier_start, line: each shared line of a document and its place in an earlier one."""
+    each = lines.where("doc_id IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip("starts", "lines")).alias("x")).select("row", "doc_id", F.col("x.starts").alias("start"), F.col("x.lines").alias("line"))
+    shared = each.groupBy("line").agg(F.count("*").alias("places"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("line", "places")
+    shared = scratch.saved(shared, "shared")
+    held = scratch.saved(each.join(shared, "line"), "held")
+    place = F.struct("doc_id", "row", "start")
+    first = held.groupBy("line").agg(F.min(place).alias("x"), F.max("places").alias("places")).select("line", "places", F.col("x.doc_id").alias("earlier_id"), F.col("x.row").alias("earlier_row"), F.col("x.start").alias("earlier_start"))
+    few = held.where(F.col("places") <= rare).drop("places")
+    other = few.select("line", F.col("doc_id").alias("earlier_id"), F.col("row").alias("earlier_row"), F.col("start").alias("earlier_start"))
+    # the places of a frequent line meet its first one in as many tasks as they fill
+    parts = F.ceil(F.col("places") / SALTED)
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("row", "start"), parts)).drop("places")
+    copies = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("places")
+    both = salted.join(copies, ["line", "salt"]).drop("salt").unionByName(few.join(other, "line"))
+    return both.where("earlier_id < doc_id").select("row", "start", "earlier_row", "earlier_start", "line")
+
+
+def aligned(found: DataFrame, words: int) -> DataFrame:
+    """row, start, stop, earlier_row, earlier_start and earlier_stop of each common block."""
+    pairs = found.groupBy("row", "earlier_row").agg(F.collect_set(F.struct("start", "earlier_start", "line")).alias("m"))
+    schema = T.StructType.fromDDL("row long, start int, stop int, earlier_row long, earlier_start int, earlier_stop int")
     arrow = to_arrow_schema(schema)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [blocks(*x, least=block_words) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            keep = [k for k, x in enumerate(found) if x]
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([found[k] for k in keep], arrow[2].type)], schema=arrow)
+            own = part.column(2)
+            values = [own.flatten().field(k).to_pylist() for k in range(3)]
+            ends = (own.offsets.to_numpy() - own.offsets[0].as_py()).tolist()
+            rows = []
+            for row, earlier, lo, hi in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends[:-1], ends[1:], strict=True):
+                rows += [(row, i, i2, earlier, j, j2) for i, i2, j, j2 in blocks(list(zip(*(v[lo:hi] for v in values), strict=True)), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 6, arrow, strict=True)], schema=arrow)
+
+    return pairs.mapInArrow(batches, schema)
+
+
+def contexts(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """For each block of an earlier document the digest of its words, and up to window - 1 words before and after it."""
+    wanted = found.select("earlier_row", "earlier_start", "earlier_stop").distinct().groupBy("earlier_row").agg(F.collect_list(F.struct("earlier_start", "earlier_stop")).alias("at"))
+    near = F.broadcast(wanted) if found.select("earlier_row").distinct().count() <= BROADCAST_IDS else wanted
+    holders = docs.join(near, docs["row"] == near["earlier_row"])
+
+    def make() -> Callable[..., list]:
+        def one(text: bytes, at: list[dict]) -> list[tuple]:
+            words, w = words_of(text), window - 1
+            out = []
+            for x in at:
+                i, j = x["earlier_start"], x["earlier_stop"]
+                out.append((i, j, digest(words[i:j]), b" ".join(words[max(0, i - w) : i]), b" ".join(words[j : j + w])))
+            return out
+
+        return lambda texts, at: [[one(*x) for x in zip(texts.to_pylist(), at.to_pylist(), strict=True)]]
+
+    kind = "own array<struct<earlier_start: int, earlier_stop: int, digest: binary, before: binary, after: binary>>"
+    return per_slice(holders, make, kind, {"at": F.col("at")}, {"earlier_row": F.col("earlier_row")}).select("earlier_row", F.explode("own").alias("x")).select("earlier_row", "x.*")
+
+
+def reach(words: list[bytes], cuts: list[dict]) -> list[tuple[int, int]]:
+    """Ranges of words to delete: blocks whose words are the earlier document's, with as many words around as both have."""
+    out = []
+    for x in cuts:
+        i, j = x["start"], x["stop"]
+        if digest(words[i:j]) != x["digest"]:
+            continue
+        for w in reversed(x["before"].split()):
+            if not i or words[i - 1] != w:
+                break
+            i -= 1
+        for w in x["after"].split():
+            if j >= len(words) or words[j] != w:
+                break
+            j += 1
+        out.append((i, j))
+    return out
+
+
+def without(text: bytes, cuts: list[dict]) -> tuple[bytes, int]:
+    """The text without the blocks, each with the white space after it, and the number of words deleted."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    gone = np.zeros(len(places) + 1, bool)
+    for i, j in reach([text[s:e] for s, e in places], cuts):
+        gone[i:j] = True
+    out, at = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        out.append(text[at : places[i][0]])
+        at = places[j][0] if j < len(places) else len(text)
+    return b"".join([*out, text[at:]]), int(gone.sum())
+
+
+def cuts_of(docs: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW, rare: int = RARE) -> DataFrame:
+    """row and cuts: for each document that an earlier one overlaps, the blocks and what the earlier document has around them.
+
+    ``docs`` has doc_id and text; a row is their hash.
+    """
+    window = min(window, block_words)
+    scratch = Scratch(docs.sparkSession, "lines")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    lines = scratch.saved(wrapped(rows, block_words, window).where(F.size("starts") > 0), "lines")
+    found = scratch.saved(aligned(links(lines, scratch, rare), block_words), "blocks")
+    scratch.drop("lines", "shared", "held")
+    own = found.join(contexts(rows, found, window), ["earlier_row", "earlier_start", "earlier_stop"])
+    cuts = scratch.saved(own.groupBy("row").agg(F.collect_set(F.struct("start", "stop", "digest", "before", "after")).alias("cuts")), "cuts")
+    scratch.drop("blocks")
+    return cuts
+
+
+def shortened(docs: DataFrame, **bounds: int) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with rest (the text without the common blocks), n_words before and n_removed, as ``with_columns`` gives them."""
+
+    def make() -> Callable[..., list]:
+        def one(text: bytes | None, cuts: list[dict] | None) -> tuple[bytes | None, int]:
+            return without(text, cuts) if text and cuts else (text, 0)
+
+        def of_slice(texts: pa.Array, cuts: pa.Array) -> list:
+            firsts = places_of(Texts.of(texts), WORDS)[3]
+            rest, gone = zip(*(one(*x) for x in zip(texts.to_pylist(), cuts.to_pylist(), strict=True)), strict=True)
+            return [pa.array(rest, pa.binary()).cast(pa.string()), np.diff(firsts), list(gone)]
+
+        return of_slice
 
-    gone = pairs.mapInArrow(batches, schema)
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return with_columns(docs, make, "rest string, n_words long, n_removed long", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), cuts_of(docs, **bounds))
 
 
 def without_lines(docs: DataFrame, **bounds: int) -> DataFrame:
-    """``docs`` with the common blocks deleted from ``text``; adds n_lines and n_removed."""
-    own = docs.drop("n_lines", "n_removed")
-    gone = deletions(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **bounds)
-    # the input's columns travel as one, so their names meet no other
-    rows = own.select(F.struct(*own.columns).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left")
-    left = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains("gone", i)), "")
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text"))))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    kept = [text.alias(c) if c == "text" else F.col("r").getField(c).alias(c) for c in own.columns]
-    return rows.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    """doc_id, text without the common blocks, n_words before, n_removed words, for each row of ``docs``."""
+    rows, _ = shortened(docs.select("doc_id", "text"), **bounds)
+    return rows.select(F.col("c0").alias("doc_id"), F.col("rest").alias("text"), "n_words", "n_removed")
 
 
 def with_own_lines(docs: DataFrame, **bounds: int) -> DataFrame:
@@ -241,10 +329,10 @@ def with_own_lines(docs: DataFrame, **bounds: int) -> DataFrame:
 
     A column n_chars is set to the length of what is left.
     """
-    out = without_lines(docs, **bounds).where((F.col("n_removed") == 0) | (_bare(F.col("text")) != "")).drop("n_lines", "n_removed")
-    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+    rows, named = shortened(docs, **bounds)
+    return named(rows.where("n_removed = 0 OR n_removed < n_words"), text=F.col("rest"), n_chars=F.length("rest"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: all documents without the blocks that earlier documents hold."""
-    return without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return without_lines(table(configured(spark), sf_dir, "documents"))

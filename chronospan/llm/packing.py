@@ -34,13 +34,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronospan.llm.common import per_text, saved, table
+from chronospan.llm.common import Scratch, configured, per_text, table
 
 CAPACITY, BLOCK = 2048, 8192
 #: A bin filled less than this share is packed again with those of other blocks.
 OPEN_BELOW = 0.98
 #: Stretches whose ids a task keeps.
-KEPT = 400_000
+KEPT = 120_000
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 _LATIN_END = "ɐ"
 
@@ -187,7 +187,7 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return improved(best_fit(lengths, capacity), lengths, capacity)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def pack(rows: DataFrame, scratch: Scratch, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """sequence_id and offset for each row of ``rows`` (row: unique long, length: 1 to capacity)."""
     done = rows.where(F.col("length") >= capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, level = rows.where(F.col("length") < capacity).select("row", "length"), 1
@@ -208,7 +208,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
     while n:
         blocks = max(1, math.ceil(n / block))
         dealt = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-        packed = saved(dealt.groupBy("block").applyInPandas(packer(level), "row long, length long, sequence_id long, offset long, fill long"), f"packed{level}")
+        packed = scratch.saved(dealt.groupBy("block").applyInPandas(packer(level), "row long, length long, sequence_id long, offset long, fill long"), f"packed{level}")
         if blocks == 1:
             done = done.unionByName(packed.select("row", "sequence_id", "offset"))
             break
@@ -224,8 +224,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
     """Each piece of each document with its place: sequence_id and offset."""
-    own = saved(pieces(docs, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    return own.join(pack(own.select("row", "length"), capacity, block), "row").drop("row")
+    scratch = Scratch(docs.sparkSession, "packing")
+    own = scratch.saved(pieces(docs, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return own.join(pack(own.select("row", "length"), scratch, capacity, block), "row").drop("row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -236,4 +237,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: all documents in sequences of 2048 ids."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(configured(spark), sf_dir, "documents"))

@@ -31,7 +31,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm.common import per_text, table
+from chronospan.llm.common import configured, per_text, table
 
 #: Kinds in the order in which spans with one start are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
@@ -339,4 +339,4 @@ def redact(text: str, spans: str) -> str:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: personal data of all documents."""
-    return find_pii(table(spark, sf_dir, "documents"))
+    return find_pii(table(configured(spark), sf_dir, "documents"))

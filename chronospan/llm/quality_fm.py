@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronospan.llm.common import bucket, byte_table, per_text, table
+from chronospan.llm.common import bucket, byte_table, configured, per_text, table
 
 BUCKETS, RANK = 1 << 15, 4
 SAMPLE_DOCS, BATCH, STEPS, RATE, L2, SEED = 3000, 32, 1200, 0.05, 1e-5, 5
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: quality of all documents, learned from four of the five folds."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(configured(spark), sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     held_out = bucket(F.col("doc_id"), 5) == 0
     out = scored(docs, fit(docs, labels.where(~held_out)))

@@ -30,7 +30,7 @@ def labels(spark):
     return spark.createDataFrame([(1, 1), (1, 0), (2, 0), (6, 1), (7, 0), (None, 1), (8, None)], "doc_id long, label int")
 
 
-MODEL = {"en": langid.automaton(" the quick dog "), "fr": langid.automaton(" sans un texte ")}
+MODEL = {"en": b" the quick dog ", "fr": b" sans un texte "}
 WEIGHTS = {}
 EACH = {
     "licenses": lambda s, d: licenses.scan_licenses(d),
@@ -60,7 +60,7 @@ def test_values_of_edge_rows(spark, docs):
     assert rules[3]["base_failed"] and rules[3]["n_words"] == 0 and rules[1]["score"] == 0.0 and not rules[1]["base_failed"]
     joined = {r["doc_id"]: r for r in ngramjoin.join_ngrams(docs).collect()}
     assert joined[2]["component_id"] == 1 and joined[4]["component_id"] == 4 and joined[4]["n_shingles"] == 0 and joined[7]["n_shingles"] == 1
-    gone = {r["doc_id"]: r for r in linededup.without_lines(docs, block_words=10, shared_words=5).collect()}
+    gone = {r["doc_id"]: r for r in linededup.without_lines(docs, block_words=10).collect()}
     assert gone[1]["text"] == SOME and gone[2]["text"] == "" and gone[3]["text"] is None and gone[6]["text"] == LONG
 
 
@@ -113,6 +113,9 @@ def test_stage_edges(spark, docs, none, stage, tmp_path):
     out = f(spark, docs.select(*base), str(tmp_path))
     if stage < len(corpus_pipeline.STAGES) - 1:
         assert out.columns == base
+        clashing = docs.select(*base, F.lit(1).alias("r"), F.lit("x").alias("row"), F.lit("x").alias("key"), F.lit("x").alias("found"), F.lit("x").alias("rest"), F.lit(2).alias("n_removed"), F.lit("x").alias("lang_pred"), F.lit("x").alias("a.b"), F.lit(3).alias("c0"))
+        more = f(spark, clashing, str(tmp_path))
+        assert more.columns == clashing.columns and more.count() == out.count() and {tuple(r)[5:] for r in more.collect()} == {(1, "x", "x", "x", "x", 2, "x", "x", 3)}
         assert out.where(F.col("doc_id") == 6).select("text").first()["text"] == LONG
     left = out.count()
     assert left > 0
