@@ -4,11 +4,12 @@ Documents are tokenised once, ended by id 0, and cut into pieces only where they
 are longer than a sequence: all pieces but the first are then full.  Full pieces
 are sequences of their own.  The others are dealt by hash into blocks of about
 BLOCK pieces; in each block, pieces go in decreasing length to the open bin that
-they fit best, and local search then takes the least filled bin and moves its
-documents out, or exchanges one for one, two for one or one for two with
-another underfull bin, where that makes the sum of squared fills grow, until
-the bin is empty.  Bins that stay open are gathered from all blocks and packed
-again, in fewer blocks, until one block holds them all.
+they fit best.  Local search then goes from the fullest underfull bin to the
+least: each takes documents from less filled ones, by moves or by exchanges of one or two
+for one or two, whichever fills it most.  The sum of squared fills
+grows with each change, and the room gathers in the last bins until they are
+empty.  Bins that stay open are gathered from all blocks and packed again, in
+fewer blocks, until one block holds them all or a round closes hardly any.
 
 Tokens: ids are those of the ``tokenizers`` file.  A text is cut before each
 space that a character other than white space follows, where the tokenizer cuts
@@ -27,6 +28,7 @@ from __future__ import annotations
 import base64
 import math
 from array import array
+from collections import Counter
 from zlib import crc32
 
 import pandas as pd
@@ -39,8 +41,10 @@ from chronospan.llm.common import Scratch, configured, per_text, table
 CAPACITY, BLOCK = 2048, 8192
 #: A bin filled less than this share is packed again with those of other blocks.
 OPEN_BELOW = 0.98
-#: Stretches whose ids a task keeps.
-KEPT = 120_000
+#: Share of a round's pieces that its open bins keep at most, if there is to be another round.
+CLOSES = 0.9
+#: Stretches whose ids a task keeps, and characters of the longest of them.
+KEPT, KEPT_CHARS = 120_000, 64
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 _LATIN_END = "ɐ"
 
@@ -74,7 +78,7 @@ class Encoder:
                     x = self.at.get(s)
                     if x is None:
                         x = self.plain(" " + s)
-                        if len(self.at) < self.kept:
+                        if len(self.at) < self.kept and len(s) <= KEPT_CHARS:
                             self.at[s] = x
                     found[i] = x
         return (self.plain(first) if first else b"") + b"".join(found)
@@ -130,57 +134,105 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _step(out: list[int], others: list[list], lengths: list[int], capacity: int) -> bool:
-    """One change that takes length out of ``out``, the least filled bin, into another: the sum of squared fills grows.
+class Pool:
+    """Underfull bins by the lengths that they hold, alone or as sums of two, each with a bit mask of what there is.
 
-    The changes tried, for each other bin [fill, places]: move a document;
-    exchange one for one, two for one, one for two.  The one that takes most is made.
+    A bin of ``capacity`` has at most the square root of twice that many
+    different lengths, so its pairs are as many as it has ids, at most.
     """
-    best = (0, None, (), ())
-    alone = [((i,), lengths[i]) for i in out]
-    pairs = [((i, j), lengths[i] + lengths[j]) for a, i in enumerate(out) for j in out[a + 1 :]]
-    for other in others:
-        room, own = capacity - other[0], other[1]
-        if room <= 0:
-            continue
-        gives = [((), 0), *(((k,), lengths[k]) for k in own)]
-        twos = [((k, m), lengths[k] + lengths[m]) for a, k in enumerate(own) for m in own[a + 1 :]] if len(own) <= 24 else []
-        for takes, backs in ((alone, gives + twos), (pairs, gives[1:])):
-            for mine, x in takes:
-                for theirs, y in backs:
-                    if best[0] < x - y <= room:
-                        best = (x - y, other, mine, theirs)
-    gain, other, mine, theirs = best
-    if not gain:
-        return False
-    for i in mine:
-        out.remove(i)
-    for k in theirs:
-        other[1].remove(k)
-    out.extend(theirs)
-    other[1].extend(mine)
-    other[0] += gain
-    return True
+
+    def __init__(self, bins: list[list[int]], capacity: int):
+        self.bins, self.fill = bins, [sum(b) for b in bins]
+        self.ones: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.twos: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.ones_mask = self.twos_mask = 0
+        for b in range(len(bins)):
+            self.add(b)
+
+    @staticmethod
+    def pairs(lengths: list[int]) -> dict[int, tuple[int, int]]:
+        """Each sum of two of the lengths, and a pair that has it."""
+        n = Counter(lengths)
+        own = sorted(n)
+        return {x + y: (x, y) for k, x in enumerate(own) for y in own[k + (n[x] < 2) :]}
+
+    def add(self, b: int) -> None:
+        for n in set(self.bins[b]):
+            self.ones[n].add(b)
+            self.ones_mask |= 1 << n
+        for n in self.pairs(self.bins[b]):
+            self.twos[n].add(b)
+            self.twos_mask |= 1 << n
+
+    def take(self, b: int) -> None:
+        for n in set(self.bins[b]):
+            self.ones[n].discard(b)
+            if not self.ones[n]:
+                self.ones_mask &= ~(1 << n)
+        for n in self.pairs(self.bins[b]):
+            self.twos[n].discard(b)
+            if not self.twos[n]:
+                self.twos_mask &= ~(1 << n)
+
+
+def _gain(pool: Pool, own: list[int], room: int) -> tuple[int, tuple[int, ...], int, bool]:
+    """The change that fills the room of a bin most: gain, lengths that leave it, what comes in, and whether that is two lengths.
+
+    Tried: one or two come in; one or two for one, one or two for two.
+    """
+    best = (0, (), 0, False)
+    out = [((), 0), *(((x,), x) for x in set(own)), *((p, x) for x, p in Pool.pairs(own).items())]
+    for gone, x in out:
+        upto = (1 << (x + room + 1)) - 1
+        for two in (False, True):
+            y = ((pool.twos_mask if two else pool.ones_mask) & upto).bit_length() - 1
+            if y - x > best[0]:
+                best = (y - x, gone, y, two)
+                if best[0] == room:
+                    return best
+    return best
 
 
 def improved(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search: empties the least filled bin by changes with the other underfull bins, as long as one can be emptied."""
-    least = math.ceil(sum(lengths) / capacity)
-    state = sorted(([sum(lengths[i] for i in b), list(b)] for b in bins), key=lambda s: -s[0])
-    while len(state) > least:
-        _, out = state.pop()
-        before = [(s, s[0], list(s[1])) for s in state if s[0] < capacity]
-        kept = list(out)
-        others = [s for s in state if s[0] < capacity]
-        while out and _step(out, others, lengths, capacity):
-            pass
-        if out:
-            for s, fill, own in before:
-                s[0], s[1][:] = fill, own
-            state.append([sum(lengths[i] for i in kept), kept])
-            break
-        state.sort(key=lambda s: -s[0])
-    return [s[1] for s in state]
+    """Local search over all underfull bins until no change is left: places of ``lengths`` in bins, as in ``bins``.
+
+    From the fullest bin to the least, each takes from those after it, which are no
+    fuller, by the change that fills it most, until none does: a change
+    makes the sum of squared fills grow.  The room gathers in the last bins,
+    which empty.  A pass without a change ends the search.
+    """
+    where: dict[int, list[int]] = {}
+    for b in bins:
+        for i in b:
+            where.setdefault(lengths[i], []).append(i)
+    state = [[lengths[i] for i in b] for b in bins]
+    full = [b for b in state if sum(b) == capacity]
+    state = [b for b in state if sum(b) < capacity]
+    changed = True
+    while changed:
+        changed = False
+        state.sort(key=sum, reverse=True)
+        pool = Pool(state, capacity)
+        for p in range(len(state)):
+            pool.take(p)
+            while pool.fill[p] < capacity and pool.bins[p]:
+                gain, gone, y, two = _gain(pool, pool.bins[p], capacity - pool.fill[p])
+                if not gain:
+                    break
+                q = min((pool.twos if two else pool.ones)[y], key=lambda b: (pool.fill[b], b))
+                pool.take(q)
+                for n in pool.pairs(pool.bins[q])[y] if two else (y,):
+                    pool.bins[q].remove(n)
+                    pool.bins[p].append(n)
+                for n in gone:
+                    pool.bins[p].remove(n)
+                    pool.bins[q].append(n)
+                pool.fill[p], pool.fill[q] = pool.fill[p] + gain, pool.fill[q] - gain
+                pool.add(q)
+                changed = True
+        full += [b for b in state if sum(b) == capacity]
+        state = [b for b in state if 0 < sum(b) < capacity]
+    return [[where[n].pop() for n in b] for b in full + state]
 
 
 def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -214,7 +266,7 @@ def pack(rows: DataFrame, scratch: Scratch, capacity: int = CAPACITY, block: int
             break
         still = packed.where(F.col("fill") < OPEN_BELOW * capacity)
         more = still.count()
-        if more > 0.5 * n:  # packing again would change little: the lengths don't fit together
+        if more > CLOSES * n:  # the lengths don't fit together: another round would leave as many open
             done = done.unionByName(packed.select("row", "sequence_id", "offset"))
             break
         done = done.unionByName(packed.where(F.col("fill") >= OPEN_BELOW * capacity).select("row", "sequence_id", "offset"))
