@@ -1,8 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A text is reduced to its words; a rule is a regex over the words joined by one
-space, so punctuation, line breaks and case don't matter.  A rule names words
-that any match must contain; only texts with all of them meet the regex.  Of
+space, so punctuation, line breaks and case don't matter.  A rule names groups of
+words, one of each of which any match must contain; a text with a word of the
+rule's rarest group and of all others meets the regex.  Of
 the detections, those of higher priority, then longer ones, then earlier ones
 go first, and one whose interval lies inside an accepted interval is dropped.
 
@@ -21,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from chronospan.llm.common import byte_table, configured, per_text, table
+from chronospan.llm.license_rules import NOTICES, TEXTS
 
 #: Word bytes: 0-9, a-z, and all of non-ASCII UTF-8.
 WORDS = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
@@ -28,14 +30,14 @@ WORDS = byte_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Label | SPDX identifier in words | pattern of its name in words | a word that each match has.
+# Label | SPDX identifier in words | pattern of its name in words | keywords of each match.
 FAMILIES = """
 apache-2.0 | apache 2 0 | apache (?:software )?license(?: version)? 2(?: 0)? | apache
 apache-1.1 | apache 1 1 | apache (?:software )?license(?: version)? 1 1 | apache
-mit | mit | (?:mit|expat) licen[cs]e | licen
+mit | mit | (?:mit|expat) licen[cs]e | mit/expat
 x11 | x11 | x11 licen[cs]e | x11
 mit-0 | mit 0 | mit no attribution | mit
-bsd-2-clause | bsd 2 clause | (?:bsd 2 clause|simplified bsd|freebsd) licen[cs]e | licen
+bsd-2-clause | bsd 2 clause | (?:bsd 2 clause|simplified bsd|freebsd) licen[cs]e | bsd/freebsd
 bsd-3-clause | bsd 3 clause | (?:bsd 3 clause|new bsd|modified bsd|revised bsd) licen[cs]e | bsd
 bsd-4-clause | bsd 4 clause | (?:bsd 4 clause|original bsd) licen[cs]e | bsd
 0bsd | 0bsd | zero clause bsd | bsd
@@ -43,13 +45,13 @@ isc | isc | isc licen[cs]e | isc
 zlib | zlib | zlib(?: libpng)? licen[cs]e | zlib
 libpng | libpng | libpng licen[cs]e | libpng
 bsl-1.0 | bsl 1 0 | boost software licen[cs]e(?: version)?(?: 1 0)? | boost
-gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 1|gpl ?v1)(?: 0)? | -
-gpl-2.0 | gpl 2 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 2|gpl ?v2)(?: 0)? | -
-gpl-3.0 | gpl 3 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 3|gpl ?v3)(?: 0)? | -
+gpl-1.0 | gpl 1 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 1|gpl ?v1)(?: 0)? | gnu/gpl/gplv1
+gpl-2.0 | gpl 2 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 2|gpl ?v2)(?: 0)? | gnu/gpl/gplv2
+gpl-3.0 | gpl 3 0(?: only| or later)? | (?:gnu general public licen[cs]e(?: version)? 3|gpl ?v3)(?: 0)? | gnu/gpl/gplv3
 lgpl-2.0 | lgpl 2 0(?: only| or later)? | gnu library general public licen[cs]e(?: version)? 2(?: 0)? | library
-lgpl-2.1 | lgpl 2 1(?: only| or later)? | (?:gnu lesser general public licen[cs]e(?: version)? 2 1|lgpl ?v2 1) | -
-lgpl-3.0 | lgpl 3 0(?: only| or later)? | (?:gnu lesser general public licen[cs]e(?: version)? 3|lgpl ?v3)(?: 0)? | -
-agpl-3.0 | agpl 3 0(?: only| or later)? | (?:gnu affero general public licen[cs]e(?: version)? 3|agpl ?v3)(?: 0)? | -
+lgpl-2.1 | lgpl 2 1(?: only| or later)? | (?:gnu lesser general public licen[cs]e(?: version)? 2 1|lgpl ?v2 1) | gnu/lgpl/lgplv2
+lgpl-3.0 | lgpl 3 0(?: only| or later)? | (?:gnu lesser general public licen[cs]e(?: version)? 3|lgpl ?v3)(?: 0)? | gnu/lgpl/lgplv3
+agpl-3.0 | agpl 3 0(?: only| or later)? | (?:gnu affero general public licen[cs]e(?: version)? 3|agpl ?v3)(?: 0)? | gnu/agpl/agplv3
 gfdl-1.2 | gfdl 1 2(?: only| or later)? | gnu free documentation licen[cs]e(?: version)? 1 2 | documentation
 gfdl-1.3 | gfdl 1 3(?: only| or later)? | gnu free documentation licen[cs]e(?: version)? 1 3 | documentation
 mpl-1.1 | mpl 1 1 | mozilla public licen[cs]e(?: version)? 1 1 | mozilla
@@ -68,20 +70,20 @@ ms-pl | ms pl | microsoft public licen[cs]e | microsoft
 ms-rl | ms rl | microsoft reciprocal licen[cs]e | microsoft
 unlicense | unlicense | (?:the )?unlicense | unlicense
 wtfpl | wtfpl | do what the fuck you want to public licen[cs]e | fuck
-cc0-1.0 | cc0 1 0 | (?:cc0(?: 1 0)?(?: universal)?|creative commons zero) | -
-cc-by-2.0 | cc by 2 0 | (?:cc by 2 0|creative commons attribution 2 0) | 2
-cc-by-3.0 | cc by 3 0 | (?:cc by 3 0|creative commons attribution 3 0) | 3
-cc-by-4.0 | cc by 4 0 | (?:cc by 4 0|creative commons attribution 4 0) | 4
-cc-by-sa-2.0 | cc by sa 2 0 | (?:cc by sa 2 0|creative commons attribution share ?alike 2 0) | 2
-cc-by-sa-3.0 | cc by sa 3 0 | (?:cc by sa 3 0|creative commons attribution share ?alike 3 0) | 3
-cc-by-sa-4.0 | cc by sa 4 0 | (?:cc by sa 4 0|creative commons attribution share ?alike 4 0) | 4
-cc-by-nc-2.0 | cc by nc 2 0 | (?:cc by nc 2 0|creative commons attribution non ?commercial 2 0) | 2
-cc-by-nc-3.0 | cc by nc 3 0 | (?:cc by nc 3 0|creative commons attribution non ?commercial 3 0) | 3
-cc-by-nc-4.0 | cc by nc 4 0 | (?:cc by nc 4 0|creative commons attribution non ?commercial 4 0) | 4
-cc-by-nd-4.0 | cc by nd 4 0 | (?:cc by nd 4 0|creative commons attribution no ?deriv(?:ative)?s 4 0) | 4
-cc-by-nc-sa-3.0 | cc by nc sa 3 0 | (?:cc by nc sa 3 0|creative commons attribution non ?commercial share ?alike 3 0) | 3
-cc-by-nc-sa-4.0 | cc by nc sa 4 0 | (?:cc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0) | 4
-cc-by-nc-nd-4.0 | cc by nc nd 4 0 | (?:cc by nc nd 4 0|creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0) | 4
+cc0-1.0 | cc0 1 0 | (?:cc0(?: 1 0)?(?: universal)?|creative commons zero) | cc0/creative
+cc-by-2.0 | cc by 2 0 | (?:cc by 2 0|creative commons attribution 2 0) | cc/creative 2
+cc-by-3.0 | cc by 3 0 | (?:cc by 3 0|creative commons attribution 3 0) | cc/creative 3
+cc-by-4.0 | cc by 4 0 | (?:cc by 4 0|creative commons attribution 4 0) | cc/creative 4
+cc-by-sa-2.0 | cc by sa 2 0 | (?:cc by sa 2 0|creative commons attribution share ?alike 2 0) | cc/creative 2
+cc-by-sa-3.0 | cc by sa 3 0 | (?:cc by sa 3 0|creative commons attribution share ?alike 3 0) | cc/creative 3
+cc-by-sa-4.0 | cc by sa 4 0 | (?:cc by sa 4 0|creative commons attribution share ?alike 4 0) | cc/creative 4
+cc-by-nc-2.0 | cc by nc 2 0 | (?:cc by nc 2 0|creative commons attribution non ?commercial 2 0) | cc/creative 2
+cc-by-nc-3.0 | cc by nc 3 0 | (?:cc by nc 3 0|creative commons attribution non ?commercial 3 0) | cc/creative 3
+cc-by-nc-4.0 | cc by nc 4 0 | (?:cc by nc 4 0|creative commons attribution non ?commercial 4 0) | cc/creative 4
+cc-by-nd-4.0 | cc by nd 4 0 | (?:cc by nd 4 0|creative commons attribution no ?deriv(?:ative)?s 4 0) | cc/creative 4
+cc-by-nc-sa-3.0 | cc by nc sa 3 0 | (?:cc by nc sa 3 0|creative commons attribution non ?commercial share ?alike 3 0) | cc/creative 3
+cc-by-nc-sa-4.0 | cc by nc sa 4 0 | (?:cc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0) | cc/creative 4
+cc-by-nc-nd-4.0 | cc by nc nd 4 0 | (?:cc by nc nd 4 0|creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0) | cc/creative 4
 odbl-1.0 | odbl 1 0 | open (?:data commons open )?database licen[cs]e | database
 odc-by-1.0 | odc by 1 0 | open data commons attribution licen[cs]e | commons
 pddl-1.0 | pddl 1 0 | public domain dedication and licen[cs]e | dedication
@@ -104,41 +106,11 @@ sspl-1.0 | sspl 1 0 | server side public licen[cs]e(?: version)?(?: 1)? | server
 elastic-2.0 | elastic 2 0 | elastic licen[cs]e(?: version)?(?: 2(?: 0)?)? | elastic
 """
 
-# Forms in which a text names a licence: form | priority | relevance | pattern ({s} SPDX, {n} name) | words that each match has.
+# Forms in which a text names a licence: form | priority | relevance | pattern ({s} SPDX, {n} name) | keywords besides the name's.
 FORMS = """
 tag | 90 | 1.0 | spdx licen[cs]e identifier {s} | spdx identifier
-grant | 80 | 0.95 | (?:(?:is|are|was|been) )?(?:dual )?licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{n} | under
-release | 75 | 0.95 | (?:released|distributed|published|available|provided|redistributed|used) under (?:the )?(?:terms of (?:the )?)?{n} | under
-field | 70 | 0.9 | licen[cs]e (?:is |type |name )?(?:{s}|{n}) | -
-name | 40 | 0.8 | {n} | -
-"""
-
-# Sentences of licence texts: label | priority | relevance | pattern | words that each match has.
-SENTENCES = """
-mit | 85 | 1.0 | permission is hereby granted free of charge to any person obtaining a copy | hereby granted
-mit | 60 | 0.9 | the above copyright notice and this permission notice shall be included in all copies | copyright permission
-isc | 85 | 1.0 | permission to use copy modify and or distribute this software for any purpose with or without fee | permission modify
-bsd-3-clause | 85 | 1.0 | neither the name of .{1,80}? nor the names of its contributors may be used to endorse | endorse contributors
-bsd | 60 | 0.9 | redistribution and use in source and binary forms with or without modification are permitted | redistribution binary
-bsd-4-clause | 86 | 1.0 | all advertising materials mentioning features or use of this software must display | advertising materials
-apache-2.0 | 85 | 1.0 | you may not use this file except in compliance with the licen[cs]e | compliance file
-apache-2.0 | 60 | 0.9 | unless required by applicable law or agreed to in writing software distributed under the licen[cs]e | applicable writing
-gpl | 60 | 0.9 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e | redistribute gnu
-lgpl | 60 | 0.9 | under the terms of the gnu lesser general public licen[cs]e | lesser gnu
-agpl | 60 | 0.9 | under the terms of the gnu affero general public licen[cs]e | affero gnu
-gpl-or-later | 62 | 0.9 | either version [123] of the licen[cs]e or (?:at your option )?any later version | either later
-mpl-2.0 | 85 | 1.0 | this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0 | mozilla subject
-unlicense | 85 | 1.0 | this is free and unencumbered software released into the public domain | unencumbered domain
-zlib | 85 | 1.0 | this software is provided as is without any express or implied warranty in no event will the authors | warranty authors
-boost | 85 | 1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy | hereby organization
-cc | 50 | 0.8 | this work is licen[cs]ed under a creative commons | creative commons
-public-domain | 50 | 0.8 | (?:released|placed|dedicated) (?:in|into|to) the public domain | public domain
-proprietary | 50 | 0.8 | all rights reserved | rights reserved
-proprietary | 55 | 0.9 | (?:unauthorized|unauthorised) (?:copying|use|reproduction|distribution) .{0,60}?(?:strictly )?prohibited | prohibited
-gnu-generic | 30 | 0.6 | gnu (?:lesser |affero |library )?general public licen[cs]e | gnu
-cc-generic | 30 | 0.6 | (?:cc by(?: nc)?(?: sa| nd)?|creative commons (?:attribution|licen[cs]e)) | -
-unknown-license | 10 | 0.4 | licen[cs]ed under | under
-unknown-license | 10 | 0.4 | see (?:the )?licen[cs]e (?:file|txt|md) | see
+grant | 80 | 0.95 | (?:licen[cs]ed|released|distributed|published|available|provided|redistributed|used) under (?:the )?(?:terms of (?:the )?)?{n} | under
+name | 40 | 0.8 | (?:licen[cs]e (?:is |type |name )?)?{n} | -
 """
 
 
@@ -147,7 +119,7 @@ class Rule(NamedTuple):
     priority: int
     relevance: float
     pattern: str
-    words: frozenset[bytes]
+    words: tuple[frozenset[bytes], ...]  # each match has a word of each group
 
 
 class Scan(NamedTuple):
@@ -161,28 +133,53 @@ class Scan(NamedTuple):
     spans: str
 
 
+def _rows(text: str) -> list[list[str]]:
+    return [[x.strip() for x in line.split(" | ")] for line in text.strip().splitlines()]
+
+
+def _groups(*keywords: str) -> tuple[frozenset[bytes], ...]:
+    return tuple(frozenset(w.encode() for w in g.split("/")) for k in keywords if k != "-" for g in k.split())
+
+
 def rules() -> list[Rule]:
-    """All rules: each family in each form, then the sentences."""
-    rows = lambda s: [[x.strip() for x in line.split(" | ")] for line in s.strip().splitlines()]
-    words = lambda *s: frozenset(w.encode() for x in s if x != "-" for w in x.split() if w != "licen")
-    out = [
-        Rule(label, int(priority), float(relevance), pattern.format(s=spdx, n=f"(?:{name})"), words(need, "-" if form in ("tag", "field") else own))
-        for label, spdx, name, own in rows(FAMILIES)
-        for form, priority, relevance, pattern, need in rows(FORMS)
-    ]
-    return out + [Rule(label, int(p), float(r), pattern, words(need)) for label, p, r, pattern, need in rows(SENTENCES)]
+    """All rules in order: those written out one by one, then each family's names in each form."""
+    out = [Rule(label, int(p), float(r), pattern, _groups(need)) for label, p, r, pattern, need in _rows(TEXTS) + _rows(NOTICES)]
+    for label, spdx, name, own in _rows(FAMILIES):
+        for form, priority, relevance, pattern, need in _rows(FORMS):
+            out.append(Rule(label, int(priority), float(relevance), pattern.format(s=spdx, n=f"(?:{name})"), _groups(need, "-" if form == "tag" else own)))
+    return out
 
 
-#: Words one of which each rule's match has; a text with none of them meets no regex.
-TRIGGERS = frozenset(
-    b"license licence licensed licenced unlicense spdx gpl gplv1 gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 gnu mit cc cc0 creative commons bsd"
-    b" copyright permission redistribution advertising endorse unencumbered domain rights prohibited warranty mozilla compliance applicable".split()
-)
+class Compiled(NamedTuple):
+    """The rules with their patterns, and the numbers of the rules that each word of an anchor, a rule's rarest group, opens."""
+
+    rules: tuple[tuple[Rule, re.Pattern[bytes]], ...]
+    opened: dict[bytes, list[int]]
+    anchors: frozenset[bytes]
 
 
 @lru_cache(1)
-def compiled() -> tuple[tuple[Rule, re.Pattern[bytes]], ...]:
-    return tuple((r, re.compile(rb"(?<= )(?:" + r.pattern.encode() + rb")(?= )")) for r in rules())
+def compiled() -> Compiled:
+    own = tuple((r, re.compile(rb"(?<= )(?:" + r.pattern.encode() + rb")(?= )")) for r in rules())
+    opened: dict[bytes, list[int]] = {}
+    for k, (rule, _) in enumerate(own):
+        # a long word is rarer than a short one, and one word than several
+        for w in min(rule.words, key=lambda g: (sum(1 / (1 + len(w) ** 3) for w in g), sorted(g))):
+            opened.setdefault(w, []).append(k)
+    return Compiled(own, opened, frozenset(opened))
+
+
+def detections(words: list[bytes]) -> tuple[bytes, list[tuple[int, int, int, Rule]]]:
+    """The words in one line, and (start, end, number of the rule, rule) of each match in it: a rule meets the line if it has a word of each of its groups."""
+    c = compiled()
+    vocabulary = set(words)
+    line = b" " + b" ".join(words) + b" "
+    found = []
+    for k in sorted({k for w in c.anchors.intersection(vocabulary) for k in c.opened[w]}):
+        rule, pattern = c.rules[k]
+        if all(not g.isdisjoint(vocabulary) for g in rule.words):
+            found += [(m.start(), m.end(), k, rule) for m in pattern.finditer(line)]
+    return line, found
 
 
 def suppressed(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -211,11 +208,10 @@ def scan(text: bytes | None) -> Scan:
     """Scans one whole UTF-8 text."""
     words = (text or b"").translate(WORDS).split()
     n = len(words)
-    present = TRIGGERS.intersection(words)
-    if not present:
+    if compiled().anchors.isdisjoint(words) and b"license" not in words:
         return Scan(n, 0, None, None, "", "", 0.0, "")
     base, base_labels = [], set()
-    if b"license" in present:
+    if b"license" in words:
         for i, w in enumerate(words):
             if w == b"license" and i:
                 for phrase, label in BASE:
@@ -224,12 +220,7 @@ def scan(text: bytes | None) -> Scan:
                     if at >= 0 and words[at : i + 1] == own:
                         base.append(at)
                         base_labels.add(label)
-    vocabulary = set(words)
-    line = b" " + b" ".join(words) + b" "
-    found = []
-    for k, (rule, pattern) in enumerate(compiled()):
-        if rule.words <= vocabulary:
-            found += [(m.start(), m.end(), k, rule) for m in pattern.finditer(line)]
+    line, found = detections(words)
     kept = suppressed(found)
     # byte offsets in the line become word numbers: a word starts after each space
     spans = ",".join(f"{r.label}:{line.count(b' ', 0, s) - 1}:{line.count(b' ', 0, e)}" for s, e, r in kept) if kept else ""
