@@ -360,3 +360,19 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR)
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the components of all documents."""
     return join_ngrams(table(configured(spark), sf_dir, "documents")).drop("row", "component")
+
+
+#: All pairs of documents that share a shingle, and all that is reached by links: for tables of thousands.
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least({SHINGLE}, len(w)) - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {SHINGLE} + 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {SIMILAR} * (x.n + y.n - k)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT doc_id, b FROM reached JOIN sides ON r = a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

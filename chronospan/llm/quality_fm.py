@@ -33,8 +33,8 @@ from chronospan.llm.common import bucket, byte_table, configured, per_text, tabl
 BUCKETS, RANK = 1 << 15, 4
 SAMPLE_DOCS, BATCH, STEPS, RATE, L2, SEED = 3000, 32, 1200, 0.05, 1e-5, 5
 THRESHOLD = 0.3
-#: Words whose bucket a task keeps.
-KEPT_WORDS = 500_000
+#: Words whose bucket a task keeps, and bytes of the longest of them.
+KEPT_WORDS, KEPT_BYTES = 200_000, 64
 
 # Names of the statistics, in order.
 STATS = ("words", "word_length", "distinct", "upper", "digits", "symbols", "stops", "bars", "lines", "repeated_lines", "shout", "bytes_a_char", "n_chars")
@@ -67,7 +67,7 @@ class Extractor:
                 if b is None:
                     w = words[i]
                     b = out[i] = crc32(w) % BUCKETS
-                    if len(self.at) < KEPT_WORDS:
+                    if len(self.at) < KEPT_WORDS and len(w) <= KEPT_BYTES:
                         self.at[w] = b
         return out
 
@@ -173,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
         part = known.where(F.col("label") == y).orderBy(h, "doc_id").limit(sample_docs)
         some = part if some is None else some.unionByName(part)
     ids = F.broadcast(some.select(F.col("doc_id").alias("label_id"), "label"))  # at most 2 * sample_docs rows
-    chosen = docs.join(ids, F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"])
+    near = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), n_chars_of(docs)["n_chars"].alias("n_chars")).join(ids, F.col("doc_id") == F.col("label_id"))
+    # of several texts of one id that of the least hash
+    chosen = near.groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "text", "n_chars")).alias("x")).select("doc_id", "x.*")
     rows = per_text(chosen, extract, "ids array<int>, x array<float>, stats array<double>", n_chars_of(docs)).join(ids, F.col("doc_id") == F.col("label_id")).orderBy("label_id")
     data = [(np.array(r["ids"], np.int32), np.array(r["x"], np.float32), np.array(r["stats"]), r["label"]) for r in rows.toLocalIterator()]
     used = {y: sum(1 for r in data if r[3] == y) for y in counts}

@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Where SQL can express the query.
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam.OP2_SQL,
+    "op7_ngram_jaccard": ngramjoin.OP7_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }

@@ -50,17 +50,70 @@ def test_ids_are_the_tokenizers():
         assert encode(text) == struct.pack(f"<{len(x := plain.encode(text, add_special_tokens=False).ids)}I", *x), text
 
 
-def test_local_search_beats_best_fit():
-    """An exchange and a move empty the third bin, which no move alone can."""
-    lengths = [6, 2, 5, 3, 4]
-    assert len(packing.improved([[0, 1], [2, 3], [4]], lengths, 10)) == 2
-    rng = random.Random(2)
-    for _ in range(60):
-        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 60))]
-        first = packing.best_fit(lengths, 64)
-        bins = packing.improved(first, lengths, 64)
+def fewest(lengths, capacity):
+    """The least number of bins, by trying all partitions of a few lengths."""
+    best = len(lengths)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for b in range(len(rooms)):
+            if rooms[b] >= lengths[k] and rooms[b] not in rooms[:b]:
+                rooms[b] -= lengths[k]
+                go(k + 1, rooms)
+                rooms[b] += lengths[k]
+        go(k + 1, [*rooms, capacity - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+def least_slack(lengths, capacity):
+    """Bins filled one after another with the longest length left and those that leave the least room beside it."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        best, steps = [capacity - left[0], []], 0
+
+        def go(k, room, own):
+            nonlocal steps, best
+            if room < best[0]:
+                best = [room, list(own)]
+            for i in range(k, len(left)):
+                steps += 1
+                if not best[0] or steps > 2000:
+                    return
+                if left[i] <= room:
+                    go(i + 1, room - left[i], [*own, i])
+
+        go(1, capacity - left[0], [])
+        for i in [*reversed(best[1]), 0]:
+            left.pop(i)
+        bins += 1
+    return bins
+
+
+def test_local_search():
+    """Exchanges empty a bin that moves can't; valid bins, never more than best fit or least slack, near the optimum of small sets."""
+    assert len(packing.improved([[0, 1], [2, 3], [4]], [6, 2, 5, 3, 4], 10)) == 2
+    rng, over = random.Random(2), 0
+    for k in range(150):
+        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 11))] if k < 120 else [rng.randint(300, 1100) for _ in range(300)]
+        capacity = 64 if k < 120 else 2048
+        first = packing.best_fit(lengths, capacity)
+        bins = packing.improved(first, lengths, capacity)
         assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
-        assert all(sum(lengths[i] for i in b) <= 64 for b in bins) and len(bins) <= len(first)
+        assert all(sum(lengths[i] for i in b) <= capacity for b in bins) and len(bins) <= len(first)
+        fills = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+        assert fills(bins) >= fills(first)
+        if k < 120:
+            over += len(bins) - fewest(lengths, capacity)
+        else:
+            assert len(bins) <= least_slack(lengths, capacity)
+    assert over <= 2
 
 
 def test_packing_of_all_documents(spark):
@@ -144,17 +197,13 @@ def test_license_labels(text, label):
 
 
 def test_license_rules():
-    assert len(licenses.rules()) > 300
-    mit = next(r for r in licenses.rules() if r.label == "mit")
+    own = licenses.rules()
+    written = len(licenses._rows(licenses.TEXTS) + licenses._rows(licenses.NOTICES) + licenses._rows(licenses.FAMILIES))
+    assert written > 300 and len({r.pattern for r in own}) == len(own) and all(r.words for r in own)
+    mit = next(r for r in own if r.label == "mit")
     weak = mit._replace(label="weak", priority=1)
     kept = licenses.suppressed([(0, 10, 0, mit), (2, 8, 1, weak), (5, 12, 2, weak), (0, 10, 3, weak)])
     assert [(s, e, r.label) for s, e, r in kept] == [(0, 10, "mit"), (5, 12, "weak")]
-    # the prefilter never hides a match: every rule without its words is silent
-    for text in ("Licensed under the Apache License, Version 2.0. See the license file. All rights reserved. MIT License, GNU General Public License version 3 CC BY-NC 4.0",):
-        line = b" " + b" ".join(text.encode().translate(licenses.WORDS).split()) + b" "
-        for rule, pattern in licenses.compiled():
-            if pattern.search(line):
-                assert rule.words <= set(line.split()) and licenses.TRIGGERS & set(line.split())
 
 
 def spelled(parsed, rng):
@@ -167,7 +216,7 @@ def spelled(parsed, rng):
             case "ANY":
                 out += "x "  # gaps are whole words
             case "IN":
-                out += chr(rng.choice([y for kind, y in x if str(kind) == "LITERAL"]))
+                out += chr(rng.choice([c for kind, y in x for c in ([y] if str(kind) == "LITERAL" else range(y[0], y[1] + 1))]))
             case "BRANCH":
                 out += spelled(rng.choice(x[1]), rng)
             case "SUBPATTERN":
@@ -179,21 +228,47 @@ def spelled(parsed, rng):
     return out
 
 
-def test_prefilter_hides_no_alternative():
-    """Random texts of each rule, all its alternatives among them, have its words and a trigger."""
+def samples(rng, each):
+    """Random texts of each rule, all its alternatives among them."""
     from re import _parser
 
-    rng = random.Random(15)
-    for rule, pattern in licenses.compiled():
+    for k, (rule, pattern) in enumerate(licenses.compiled().rules):
         parsed = _parser.parse(rule.pattern)
-        for text in {spelled(parsed, rng) for _ in range(60)}:
-            assert pattern.fullmatch(f" {text} ".encode(), 1, len(text) + 2) or pattern.search(f" {text} ".encode())
-            words = set(text.encode().split())
-            assert rule.words <= words and licenses.TRIGGERS & words, (rule.label, text)
-    for text in (b"released under the GPL v1", b"GPLv1"):
+        for text in sorted({spelled(parsed, rng) for _ in range(each)}):
+            yield k, rule, pattern, text
+
+
+def test_prefilter_hides_no_alternative():
+    """Each rule is found in each of its own texts, alone and by its words in capitals with punctuation between them."""
+    rng = random.Random(15)
+    for k, rule, pattern, text in samples(rng, 40):
+        assert pattern.search(f" {text} ".encode()), (rule.label, text)
+        assert k in {x[2] for x in licenses.detections(text.encode().split())[1]}, (rule.label, text)
+        assert licenses.scan(text.upper().replace(" ", ", ").encode()).labels
+    for text in (b"released under the GPL v1", b"GPLv1", b"gpl v1 only"):
         assert "gpl-1.0" in licenses.scan(text).labels.split(",")
 
 
+def test_licenses_without_prefilter():
+    """All rules on whole texts, and suppression by comparing all detections, give the same spans."""
+    rng = random.Random(16)
+    pool = [text for *_, text in samples(rng, 2)]
+    noise = ["the", "software", "license", "is", "x", "apache", "under", "und", "1"]
+    rows = [" ".join(" ".join(rng.choices(noise, k=rng.randint(0, 4))) + " " + " ".join(t.split()[rng.choice((0, 0, 2)) :]) for t in rng.sample(pool, 5)) for _ in range(60)] + [t for _, t in texts()]
+    for text in rows:
+        words = text.encode().translate(licenses.WORDS).split()
+        line = b" " + b" ".join(words) + b" "
+        found = [(m.start(), m.end(), k, r) for k, (r, p) in enumerate(licenses.compiled().rules) for m in p.finditer(line)]
+        kept = []
+        for x in sorted(found, key=lambda x: (-x[3].priority, x[0] - x[1], x[0], x[2])):
+            if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+                kept.append(x)
+        spans = [f"{r.label}:{line[:s].count(b' ') - 1}:{line[:e].count(b' ')}" for s, e, _, r in sorted(kept, key=lambda x: (x[0], x[1], x[3].label))]
+        got = licenses.scan(text.encode())
+        assert got.spans == ",".join(spans)
+        assert got.score == max([x[3].relevance for x in kept] + [0.9] * bool(got.n_base), default=0.0)
+
+
 # 4 -----------------------------------------------------------------------------
 
 
@@ -427,6 +502,10 @@ def test_ngram_join_brute_force(spark, monkeypatch, rare):
     assert got == plain_components(rows)
 
 
+def test_ngram_join_sql(spark):
+    compare(spark, ngramjoin.op7_ngram_jaccard(spark, SF), ngramjoin.OP7_SQL)
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)]
@@ -550,35 +629,52 @@ def test_pii_base_brute_force():
         assert all(a[1] <= b[0] for a, b in itertools.pairwise(added)) and not any(s < e2 and s2 < e for s, e, _ in added for s2, e2, _ in base)
 
 
-def test_field_is_exact():
-    """Best segmentation and marginals against all subsets of a small lattice."""
+def test_field_is_exact(monkeypatch):
+    """Best segmentation and marginals, of segments and of near neighbours, against all subsets of a small lattice."""
     import math
 
     rng = random.Random(13)
-    for _ in range(60):
-        segments = sorted({(s := rng.randrange(12), s + rng.randint(1, 5), rng.choice("ab")) for _ in range(rng.randint(1, 8))}, key=lambda x: (x[1], x[0], x[2]))
+    monkeypatch.setattr(pii, "NEAR", 3)
+    for _ in range(80):
+        segments = sorted({(s := rng.randrange(14), s + rng.randint(1, 5), rng.choice("ab")) for _ in range(rng.randint(1, 8))}, key=lambda x: (x[1], x[0], x[2]))
         scores = [rng.uniform(-2, 2) for _ in segments]
+        weights = {f"{a}>{b}": rng.uniform(-2, 2) for a in "ab" for b in "ab"}
         sets = [c for k in range(len(segments) + 1) for c in itertools.combinations(range(len(segments)), k) if all(segments[a][1] <= segments[b][0] or segments[b][1] <= segments[a][0] for a, b in itertools.combinations(c, 2))]
-        value = {c: sum(scores[i] for i in c) for c in sets}
-        assert math.isclose(sum(scores[segments.index(s)] for s in pii.best(segments, scores)), max(value.values()), abs_tol=1e-9)
+        near = lambda c: [(a, b) for a, b in itertools.pairwise(c) if segments[b][0] - segments[a][1] <= 3]
+        score = lambda c: sum(scores[i] for i in c) + sum(weights[f"{segments[a][2]}>{segments[b][2]}"] for a, b in near(c))
+        value = {c: score(c) for c in sets}
+        assert math.isclose(score([segments.index(s) for s in pii.best(segments, scores, weights)]), max(value.values()), abs_tol=1e-9)
         z = sum(math.exp(v) for v in value.values())
-        for i, p in enumerate(pii.marginals(segments, scores)):
+        single, double = pii.marginals(segments, scores, weights)
+        for i, p in enumerate(single):
             assert math.isclose(p, sum(math.exp(v) for c, v in value.items() if i in c) / z, abs_tol=1e-9)
+        for pair, p in double.items():
+            assert math.isclose(p, sum(math.exp(v) for c, v in value.items() if pair in near(c)) / z, abs_tol=1e-9)
 
 
 def test_pii_adds_and_redacts():
+    """Precision and recall of each kind on fresh sentences, all spans there are counted, those that no proposal holds too."""
     weights = pii.trained()
-    right = wrong = missed = 0
-    for text, gold in pii.sentences(300, 99):
-        found = set(pii.find(text, weights)[1])
-        right, wrong, missed = right + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
-    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85
+    for kind, (there, right, said) in pii.recall(weights, 600, 99).items():
+        assert there > 80 and right >= 0.9 * there and right >= 0.85 * said, (kind, there, right, said)
     text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and é a@b.de'
     got = pii.scan(text.encode(), weights)
     assert got[0] == 1 and got[4] == hashlib.sha256(b"email:57:63").hexdigest() and got[5] == "secret:9:49,email:57:63"
     assert pii.redact(text, got[5]) == 'token = "[SECRET]" and é [EMAIL]'
 
 
+def test_pii_boundaries():
+    """Neighbouring numbers are told apart; one leading group of an address, long secrets and shorter domains are proposed."""
+    weights = pii.trained()
+    spans = lambda text: {text[s:e] for s, e, _ in pii.find(text, weights)[1]}
+    assert spans("tel 0171 2345 678 0172 3456 789 end") == {"0171 2345 678", "0172 3456 789"}
+    assert "fe80::1" in spans("host fe80::1 up") and not spans("at 12:30:45 on 2024-01-15")
+    secret = "aB3xY7" * 60
+    assert spans(f"token {secret} end") == {secret}
+    segments = pii.lattice("room 204 555-123-4567 mail x@é.com.then")
+    assert (9, 21, "phone") in segments and {e for s, e, k in segments if k == "email"} == {34, 39}
+
+
 # pipeline ----------------------------------------------------------------------
 
 
