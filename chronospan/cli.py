@@ -23,7 +23,7 @@ from chronospan.schemas import LEDGER, TENANT, TOKEN_EVENT
 from chronospan.service import Timeline
 from chronospan.session import session
 from chronospan.sources import ingest as ingesting
-from chronospan.sources import snapshots, store
+from chronospan.sources import indexed, snapshots, store
 
 THRESHOLD = 0.03
 
@@ -37,8 +37,13 @@ def _raw(spark: SparkSession, a) -> DataFrame:
 
 
 def ingest(spark, a):
+    """From text lines, or, where an index lies beside the file, from the byte ranges of the regions alone."""
     regions = spark.read.schema("symbol string, contig string, start long, end long").json(a.regions)
-    made = ingesting.ingest(spark.read.text(a.lines), regions, f"{a.root}/snapshots", a.release, a.panel, a.lines, a.force)
+    lines, taken, size = spark.read.text(a.lines), None, None
+    if snapshots._exists(spark, f"{a.lines}.tbi"):
+        lines, taken, size = indexed.region_lines(spark, a.lines, [(r["contig"], r["start"], r["end"]) for r in regions.collect()])
+        lines = lines.distinct()  # regions may overlap
+    made = ingesting.ingest(lines, regions, f"{a.root}/snapshots", a.release, a.panel, a.lines, a.force, taken, size)
     return made or "already there"
 
 

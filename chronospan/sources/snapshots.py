@@ -65,6 +65,11 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return own.withColumn("release_date", day).withColumn("snapshot_id", F.concat_ws("-", F.lit("snapshot"), "panel", F.date_format(day, "yyyyMMdd")))
 
 
+def load_rows(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-2: snapshot rows from NDJSON in the declared schema; a line of another form stops the load."""
+    return spark.read.schema(SNAPSHOT).option("mode", "FAILFAST").json(path)
+
+
 def load_manifests(spark: SparkSession, glob: str, panel: str | None = None) -> DataFrame:
     """SRC-20"""
     own = spark.read.schema(MANIFEST).json(glob, multiLine=True)

@@ -79,6 +79,8 @@ def test_indexed_source(spark, tmp_path):
     reader = indexed._Reader(str(tmp_path / "v.gz"), str(tmp_path / "v.gz.tbi"))
     reader.contig, reader.low, reader.high = "17", 20_010, 20_019
     assert [(p.start, p.end) for p in reader.partitions()] == [(at[1], at[2] + 65535)]
+    rows, taken, size = indexed.region_lines(spark, str(tmp_path / "v.gz"), [("chr17", 20_010, 20_019), ("17", 20_015, 20_020), ("5", 1, 9)])
+    assert rows.distinct().count() == 11 and size == len(data) and taken == min(at[2] + 65535, len(data) - 1) - at[1] + 1 < size
 
 
 def test_regions_and_panels(spark, tmp_path):
@@ -107,6 +109,15 @@ def test_snapshots(spark, tmp_path):
     assert sorted(r["v"] for r in last.collect()) == ["b", "c"]
 
 
+def test_rows_in_the_declared_schema(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text('{"allele_id": "A1", "stars": 3, "pos": 7, "more": 1}\n{"allele_id": "A2"}\n')
+    own = snapshots.load_rows(spark, str(tmp_path / "a.ndjson"))
+    assert own.schema.fieldNames() == SNAPSHOT.fieldNames() and sorted((r["allele_id"], r["stars"]) for r in own.collect()) == [("A1", 3), ("A2", None)]
+    (tmp_path / "b.ndjson").write_text("no json\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        snapshots.load_rows(spark, str(tmp_path / "b.ndjson")).collect()
+
+
 def test_manifests(spark, tmp_path):
     row = lambda i, day, panel="p": f'{{"snapshot_id": "{i}", "release_date": "{day}", "panel": "{panel}",\n"row_count": 1, "extra": 1}}'
     for i, day in (("b", "2021-01-01"), ("a", "2020-01-01")):
