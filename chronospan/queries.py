@@ -660,6 +660,19 @@ def hash_chain_verify(spark, d):
     return ledger.verify(rows.select(F.col("conv_id").cast("string").alias("tenant_id"), F.col("turn").alias("seq"), "prev_hash", "entry_hash"), hashed=F.col("entry_hash"))
 
 
+@query(r"""SELECT conv_id, turn, sha256(sha256(coalesce(text, '')) || chr(10) || '{"allele_id":"A' || turn || '","case_ref":null,"created_at":"2024-01-01","evidence_snapshot_id":"s","rationale":"' || role || ' \"so\" \\","reviewer":"' || role
+|| '","seq":' || turn || ',"tenant_id":"t' || conv_id || '","verdict":"ACT"}') AS entry_hash FROM conversations""")
+def ledger_hashes(spark, d):
+    """SCL-14: hashes of canonical entries; how beyond ASCII is escaped is tested against Python's json."""
+    own = analogue.table(spark, d, "conversations")
+    fixed = {"case_ref": F.lit(None).cast("string"), "verdict": F.lit("ACT"), "evidence_snapshot_id": F.lit("s"), "created_at": F.lit("2024-01-01")}
+    rows = own.select(
+        "conv_id", "turn", F.col("turn").alias("seq"), F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("tenant_id"), F.concat(F.lit("A"), F.col("turn").cast("string")).alias("allele_id"),
+        F.concat("role", F.lit(' "so" \\')).alias("rationale"), F.col("role").alias("reviewer"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("prev_hash"), *(v.alias(k) for k, v in fixed.items()),
+    )
+    return rows.select("conv_id", "turn", ledger.entry_hash_column().alias("entry_hash"))
+
+
 @query("""SELECT c_mktsegment AS tenant_id, count(*) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F') AS active, count(*) FILTER (WHERE o_orderstatus = 'F') AS revoked FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NOT NULL GROUP BY ALL""")
 def tenant_token_counts(spark, d):
     """QRY-20: orders as tokens, those of status F revoked."""

@@ -103,3 +103,13 @@ def test_tokens(spark):
 def test_sample_is_the_same_each_time(spark, spans):
     pick = lambda seed: [r["allele_id"] for r in cases.sample_cases(spans, "2019-06-01", 2, seed).collect()]
     assert pick(1) == pick(1) and len(pick(1)) == 2
+
+
+def test_entry_hash_column(spark):
+    """The JVM's canonical JSON is Python's, for escapes, control characters, all planes and nulls."""
+    texts = ["plain", "", None, 'q"b\\s/', "tab\tline\nfeed\r\b\f", "\x00\x1f\x7f", "grün 中 \u2028", "😀 𝒳 mixed é", "e\u0301"]
+    rows = [(k, "t", "A", None, "ACT", text, text, "s", "2024", "0" * 64, "") for k, text in enumerate(texts)]
+    own = spark.createDataFrame(rows, LEDGER)
+    got = {r["seq"]: r["h"] for r in own.select("seq", ledger.entry_hash_column().alias("h")).collect()}
+    assert got == {r[0]: ledger.entry_hash(dict(zip(ledger.PAYLOAD, r[:9], strict=True)), r[9]) for r in rows}
+    assert "Python" not in own.select(ledger.entry_hash_column())._jdf.queryExecution().executedPlan().toString()
