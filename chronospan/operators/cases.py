@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronospan.functions.alleles import ABSENT, ACTIONABLE, TOWARD_BENIGN, TOWARD_PATHOGENIC, allele_id, ratio, strict_date
-from chronospan.operators.asof import as_of, current
+from chronospan.operators.asof import as_of
 
 # Buckets of the demonstration and how a report names them.
 DEMO_LABELS = {"UNCERTAIN": "VUS", "LIKELY_PATHOGENIC": "Likely pathogenic", "PATHOGENIC": "Pathogenic"}
@@ -52,11 +52,12 @@ def reconciled(cases: DataFrame, spans: DataFrame, tenant: str, suspects: DataFr
     those of one panel, so a row meets at most one span of each kind.
     """
     own = of_tenant(cases, tenant)
-    now = current(spans).select("allele_id", F.col("panel").alias("now_panel"), F.col("bucket").alias("now_bucket"), F.col("stars").alias("now_stars"), F.col("clnsig_raw").alias("now_clnsig"), F.col("valid_from").alias("changed_on"))
-    then = spans.select(F.col("allele_id").alias("then_id"), F.col("bucket").alias("at_signout"), "valid_from", "valid_to")
-    held = (F.col("allele_id") == F.col("then_id")) & (F.col("valid_from") <= F.col("reported_on")) & (F.col("valid_to") > F.col("reported_on"))
-    # each allele of a timeline has a current span, so the current side also tells whether it is known
-    rows = own.join(then, held, "left").drop("then_id", "valid_from", "valid_to").join(now, "allele_id", "left")
+    # an allele's history is as long as its panel has releases: one aggregate and one join serve both states
+    span = F.struct("valid_from", "valid_to", "bucket", "stars", "clnsig_raw", "is_current")
+    history = spans.groupBy("allele_id", F.col("panel").alias("now_panel")).agg(F.collect_list(span).alias("history"))
+    pick = lambda test: F.get(F.filter("history", test), F.lit(0))
+    rows = own.join(history, "allele_id", "left").withColumn("then", pick(lambda x: (x["valid_from"] <= F.col("reported_on")) & (x["valid_to"] > F.col("reported_on")))).withColumn("now", pick(lambda x: x["is_current"]))
+    rows = rows.withColumns({"at_signout": F.col("then.bucket"), "now_bucket": F.col("now.bucket"), "now_stars": F.col("now.stars"), "now_clnsig": F.col("now.clnsig_raw"), "changed_on": F.col("now.valid_from")}).drop("history", "then", "now")
     known, to = F.col("now_bucket").isNotNull(), F.col("now_bucket")
     outcome = (
         F.when(~known, "unmatched").when(F.col("at_signout").isNull(), "before_coverage").when(F.col("at_signout") == to, "unchanged").when(to.isin(*TOWARD_PATHOGENIC), "moved_to_pathogenic")

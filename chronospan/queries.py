@@ -13,7 +13,7 @@ from chronospan.functions.leftalign import STRETCH, left_aligned
 from chronospan.operators import asof, cases, explore, ledger, movement, timeline
 from chronospan.plans import analogue
 from chronospan.session import shared_dir
-from chronospan.sources import releases, snapshots
+from chronospan.sources import indexed, releases, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -692,17 +692,15 @@ def latest_per_key(spark, d):
 # ---------------------------------------------------------------- index planning
 
 #: Bits of a position below a bin, and the number of the first bin, of each level.
-_LEVELS = [(bits, (8**k - 1) // 7) for k, bits in enumerate((26, 23, 20, 17, 14), 1)]
+_LEVELS = [(bits, (8**k - 1) // 7) for k, bits in enumerate(indexed.LEVEL_BITS, 1)]
 
 
 @query("SELECT l_orderkey, l_linenumber, bin FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey * 100000 AS b, l_partkey * 100000 + l_suppkey * 500 AS e FROM lineitem), LATERAL (SELECT 0 AS bin UNION ALL "
        + " UNION ALL ".join(f"SELECT unnest(range({first} + (b >> {s}), {first} + ((e - 1) >> {s}) + 1))" for s, first in _LEVELS) + ") WHERE e > b")
 def region_bins(spark, d):
-    """SRC-9 as expressions: the bins of a region, level by level."""
+    """SRC-9: the bins of each region."""
     own = analogue.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 100000).alias("b"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 500).alias("e")).distinct()
-    levels = [F.sequence(first + F.shiftright("b", bits), first + F.shiftright(F.col("e") - 1, bits)) for bits, first in _LEVELS]
-    bins = [F.array(F.lit(0).cast("long")), *levels]
-    return own.where("e > b").select("l_orderkey", "l_linenumber", F.explode(F.concat(*bins)).alias("bin"))
+    return own.where("e > b").select("l_orderkey", "l_linenumber", F.explode(indexed.bins_column(F.col("b"), F.col("e"))).alias("bin"))
 
 
 @query("""WITH r AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + 7200 AS e FROM events),

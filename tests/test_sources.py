@@ -57,6 +57,13 @@ def test_index_plan():
         indexed.Index.parsed(b"nope")
 
 
+def test_bins_of_columns(spark):
+    rows = [(0, 0), (5, 5), (0, 1), (16_383, 16_385), (1 << 20, (1 << 20) + 300_000), (9, 7), ((1 << 29) - 5, 1 << 29)]
+    own = spark.createDataFrame(rows, "b long, e long")
+    got = own.select("b", "e", indexed.bins_column(F.col("b"), F.col("e")).alias("bins")).collect()
+    assert all(r["bins"] == indexed.bins_of(r["b"], r["e"]) for r in got)
+
+
 def test_indexed_source(spark, tmp_path):
     line = lambda pos: f"17\t{pos}\t{pos}\tA\tG\t.\t.\tCLNSIG=Benign\n".encode()
     blocks = [b"#head\n" + b"".join(line(p) for p in range(1000, 1050)), b"".join(line(p) for p in range(20_000, 20_050)), b"".join(line(p) for p in range(40_000, 40_050))]
