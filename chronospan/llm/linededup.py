@@ -52,8 +52,8 @@ BLOCK_WORDS, WINDOW = 30, 21
 RARE = 8
 #: Places of a frequent line that meet its first one in one task.
 SALTED = 2000
-#: Documents whose ids are broadcast to the scan of the texts; more are joined by a shuffle.
-BROADCAST_IDS = 400_000
+#: Blocks whose places, 50 bytes each, are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_BLOCKS = 400_000
 WORDS = byte_table(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D), lower=False)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -232,8 +232,9 @@ def aligned(found: DataFrame, words: int) -> DataFrame:
 
 def contexts(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """For each block of an earlier document the digest of its words, and up to window - 1 words before and after it."""
-    wanted = found.select("earlier_row", "earlier_start", "earlier_stop").distinct().groupBy("earlier_row").agg(F.collect_list(F.struct("earlier_start", "earlier_stop")).alias("at"))
-    near = F.broadcast(wanted) if found.select("earlier_row").distinct().count() <= BROADCAST_IDS else wanted
+    each = found.select("earlier_row", "earlier_start", "earlier_stop").distinct()
+    wanted = each.groupBy("earlier_row").agg(F.collect_list(F.struct("earlier_start", "earlier_stop")).alias("at"))
+    near = F.broadcast(wanted) if each.count() <= BROADCAST_BLOCKS else wanted
     holders = docs.join(near, docs["row"] == near["earlier_row"])
 
     def make() -> Callable[..., list]:
