@@ -417,17 +417,17 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-COLUMNS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+COLUMNS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def scan(text: bytes | None, weights: dict[str, float]) -> tuple:
     base, spans = find(text.decode("utf-8", "replace") if text else "", weights)
     n = Counter(k for _, _, k in base)
-    return n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)
+    return n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans)
 
 
 def find_pii(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """A row per document: base counts, hash of the base spans, all spans as kind:start:end in code points."""
+    """A row per document: base counts, hash of the base spans, all spans as kind:start:end in code points, and their number."""
     weights = trained() if weights is None else weights
 
     def make():
