@@ -45,13 +45,15 @@ def upto(n: Column) -> Column:
 
 def with_words(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, text.alias("text"), words_of(text).alias("words")).withColumn("n", F.size("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, text.alias("text"), words_of(text).alias("words"))
+    # each word is hashed once; pairs and windows are hashed from that
+    return rows.withColumn("n", F.size("words")).withColumn("hashed", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def buckets(words: Column, n: Column, modulus: int) -> Column:
-    """Bucket of each word and of each pair of neighbours."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(modulus)).cast("int"))
-    two = F.transform(upto(n - 1), lambda i: F.pmod(F.xxhash64(words[i], words[i + 1]), F.lit(modulus)).cast("int"))
+def buckets(hashed: Column, n: Column, modulus: int) -> Column:
+    """Bucket of each word, from its hash, and of each pair of neighbours."""
+    one = F.transform(hashed, lambda h: F.pmod(h, F.lit(modulus)).cast("int"))
+    two = F.transform(upto(n - 1), lambda i: F.pmod(F.xxhash64(hashed[i], hashed[i + 1]), F.lit(modulus)).cast("int"))
     return F.concat(one, two)
 
 
@@ -62,10 +64,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, modulus: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
     """One row, one column ``weights``: the log ratio of each bucket, in order of the buckets."""
-    # ids grow with the corpus: Spark broadcasts them only while they are few, and else moves the texts, not their words
-    flagged = id_and_text(docs).join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
-    rows = with_words(flagged, "trusted_id")
-    grams = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(buckets(F.col("words"), F.col("n"), modulus)).alias("b"))
+    # ids grow with the corpus, so they are never broadcast: texts are dealt by id at every size, those without one by their hash
+    own = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    flagged = own.join(trusted.hint("shuffle_hash"), F.col("key") == F.col("trusted_id"), "left").withColumn("good", F.col("doc_id").isNotNull() & F.col("trusted_id").isNotNull())
+    rows = with_words(flagged, "good")
+    grams = rows.select(F.col("good").cast("long").alias("t"), F.explode(buckets(F.col("hashed"), F.col("n"), modulus)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     every = docs.sparkSession.range(modulus).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0, ["raw", "good"])
     row = every.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"), F.sort_array(F.collect_list(F.struct("b", "raw", "good"))).alias("each"))
@@ -81,8 +84,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, modulus: int = BUCKETS, pseu
 def rule_counts(rows: DataFrame) -> DataFrame:
     """Adds the counts of the rules to rows of text, words and n."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    words, n = F.col("words"), F.col("n")
-    hashes = F.transform(upto(n - WINDOW + 1), lambda i: F.xxhash64(*(words[i + k] for k in range(WINDOW))))
+    words, hashed, n = F.col("words"), F.col("hashed"), F.col("n")
+    hashes = F.transform(upto(n - WINDOW + 1), lambda i: F.xxhash64(*(hashed[i + k] for k in range(WINDOW))))
     windows = F.array_sort(F.transform(upto(n - WINDOW + 1), lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
     s, p = F.col("sorted"), F.col("places")
     same = lambda j, k: F.coalesce(F.get(s, j)["w"] == F.get(s, k)["w"], F.lit(False))
@@ -106,7 +109,7 @@ def rule_counts(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, trusted: DataFrame, modulus: int = BUCKETS, pseudo: float = PSEUDO, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, score and verdict of every document; ``trusted`` holds each trusted id once, as trusted_id."""
     weights = log_ratios(docs, trusted, modulus, pseudo)
-    rows = rule_counts(with_words(docs)).withColumn("grams", buckets(F.col("words"), F.col("n"), modulus)).withColumn("weights", weights.scalar())
+    rows = rule_counts(with_words(docs)).withColumn("grams", buckets(F.col("hashed"), F.col("n"), modulus)).withColumn("weights", weights.scalar())
     w, grams = F.col("weights"), F.col("grams")
     score = F.aggregate(grams, F.lit(0.0), lambda a, b: a + w[b]) / F.greatest(F.size(grams), F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))

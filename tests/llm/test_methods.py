@@ -586,7 +586,7 @@ def test_log_ratio_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     trusted = spark.createDataFrame([(1,), (4,)], "trusted_id long")
     size = 64
-    grams = {r["doc_id"]: r["g"] for r in quality_llr.with_words(docs).select("doc_id", quality_llr.buckets(quality_llr.F.col("words"), quality_llr.F.col("n"), size).alias("g")).collect()}
+    grams = {r["doc_id"]: r["g"] for r in quality_llr.with_words(docs).select("doc_id", quality_llr.buckets(quality_llr.F.col("hashed"), quality_llr.F.col("n"), size).alias("g")).collect()}
     assert {i: len(g) for i, g in grams.items()} == {1: 5, 2: 3, 3: 0, 4: 3}
     raw, good = Counter(x for g in grams.values() for x in g), Counter(grams[1] + grams[4])
     w = [math.log((good[b] + 1) / (sum(good.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size)) for b in range(size)]
