@@ -162,13 +162,12 @@ def places_of(texts: Texts, keep: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     return low, first, np.flatnonzero(ends) + 1, np.searchsorted(first, texts.offsets)
 
 
-def word_hashes(texts: Texts, keep: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of all texts, and the number of each text's first word.
+def hashes_at(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, of bytes low[start:end].
 
-    ``keep`` is a ``byte_table``.  No vocabulary is kept, so memory is a few
-    times the bytes of the slice whatever the words are.
+    No vocabulary is kept, so memory is a few times the bytes of the slice
+    whatever the words are.
     """
-    low, starts, ends, firsts = places_of(texts, keep)
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):
@@ -180,7 +179,13 @@ def word_hashes(texts: Texts, keep: bytes) -> tuple[np.ndarray, np.ndarray]:
         s, e = starts[k:to] - lo, ends[k:to] - lo
         out[k:to] = mixed((sums[e] - sums[s]) * powers(_INVERSE, len(part))[s])
         k = to
-    return out, firsts
+    return out
+
+
+def word_hashes(texts: Texts, keep: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of all texts, and the number of each text's first word; ``keep`` is a ``byte_table``."""
+    low, starts, ends, firsts = places_of(texts, keep)
+    return hashes_at(low, starts, ends), firsts
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

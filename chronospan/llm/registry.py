@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronospan.llm import chat, decontam, langid, licenses, linededup, ngramjoin, packing, pii, quality_fm, quality_llr
+from chronospan.llm import chat, decontam, fim, langid, licenses, linededup, ngramjoin, packing, phrases, pii, quality_fm, quality_llr, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_quality_rules": quality_llr.op9_quality_rules,
     "op10_pii": pii.op10_pii,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_simhash_dedup": simhash.op12_simhash_dedup,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 #: Where SQL can express the query.
@@ -26,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam.OP2_SQL,
     "op7_ngram_jaccard": ngramjoin.OP7_SQL,
     "op8_chat_format": chat.OP8_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
