@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -138,7 +138,8 @@ def stretches(text: bytes) -> Iterator[bytes]:
         to = mark.end() if mark else len(text)
         yield text[at:to]
         at = to
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 def shards(parts: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -232,6 +233,12 @@ def spelled(docs: DataFrame, filter_: np.ndarray, longest: int) -> DataFrame:
     return by_shard(docs, make, "lang string, phrase string, f long")
 
 
+def score(a: str, left: str, right: str) -> Column:
+    """floor(1000000 * a * a / (l * r)) in decimals of 38 digits; a phrase is at most as frequent as its parts, so it fits a long."""
+    exact = [f"cast({c} as decimal(15, 0))" for c in (a, a, left, right)]
+    return F.expr(f"({exact[0]} * {exact[1]} * cast(1000000 as decimal(7, 0))) div ({exact[2]} * {exact[3]})")
+
+
 def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, inside: int = INSIDE, top: int | None = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the phrases of 2 to ``longest`` words that occur ``least`` times.
 
@@ -269,8 +276,7 @@ def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     asked = open_.select("lang", "phrase", F.col("f").alias("a"), parts.alias("p")).select("lang", "phrase", "a", "p.*")
     met = asked.join(counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias("g")), ["lang", "part"])
     both = met.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("g"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("g"))).alias("r"))
-    exact = lambda c: f"cast({c} as decimal(15, 0))"  # noqa: E731  a * a <= l * r: the quotient fits a long
-    scored = both.withColumn("score", F.expr(f"({exact('a')} * {exact('a')} * cast(1000000 as decimal(7, 0))) div ({exact('l')} * {exact('r')})"))
+    scored = both.withColumn("score", score("a", "l", "r"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = lowest.withColumn("rank", F.row_number().over(order).cast("long"))
