@@ -641,6 +641,32 @@ def left_align(spark, d):
     return left_aligned(own, reference).select("p_partkey", "aligned.*")
 
 
+#: A part's stretch of its brand's reference, and its indel: a unit more or less, somewhere in the stretch.
+_UNITS = ["A", "AC", "ACG", "AC"]
+
+
+@query(f"""WITH RECURSIVE x AS (
+  SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, {_sql_pick(_UNITS, 'p_size // 13 % 4')} AS u FROM part),
+whole AS (SELECT p_brand, string_agg(left(repeat(u, 24), 24), '' ORDER BY i) AS bases FROM x GROUP BY p_brand),
+m AS (
+  SELECT p_partkey, bases, 1 + 24 * i + p_partkey % 24 + 1 AS pos, CASE p_partkey % 2 WHEN 0 THEN '' ELSE u END AS r, CASE p_partkey % 2 WHEN 0 THEN u ELSE '' END AS a, 0 AS k FROM x JOIN whole USING (p_brand) UNION ALL
+  SELECT p_partkey, bases, pos - 1, right(r, 1) || left(r, greatest(length(r) - 1, 0)), right(a, 1) || left(a, greatest(length(a) - 1, 0)), k + 1 FROM m WHERE k < 500 AND pos > 1 AND substr(bases, pos - 1, 1) = right(r || a, 1)),
+l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY k DESC) = 1),
+p AS (SELECT *, CASE WHEN pos > 1 THEN substr(bases, pos - 1, 1) ELSE '' END AS pad FROM l)
+SELECT p_partkey, pos - length(pad) AS pos, pad || r AS ref, pad || a AS alt, true AS covered FROM p""")
+def left_align_tiled(spark, d):
+    """SCL-9, SRC-19: every part's indel against its brand's reference, which adjoining stretches of all its parts make up, in short tiles."""
+    from pyspark.sql import Window as W
+
+    parts = analogue.table(spark, d, "part")
+    i = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    own = parts.select("p_partkey", "p_brand", i.alias("i"), _pick(_UNITS, F.floor(F.col("p_size") / 13) % 4).alias("u"))
+    reference = own.select(F.col("p_brand").alias("contig"), (1 + 24 * F.col("i")).cast("long").alias("start"), F.left(F.repeat("u", 24), F.lit(24)).alias("bases"))
+    pad, more = F.lit("T"), F.col("p_partkey") % 2 == 0
+    cases_ = own.select("p_partkey", F.col("p_brand").alias("contig"), (1 + 24 * F.col("i") + F.col("p_partkey") % 24).cast("long").alias("pos"), F.when(more, pad).otherwise(F.concat(pad, "u")).alias("ref"), F.when(more, F.concat(pad, "u")).otherwise(pad).alias("alt"))
+    return left_aligned(cases_, reference, size=256).select("p_partkey", "aligned.*")
+
+
 # ---------------------------------------------------------------- ledger and tenants
 
 @query("""WITH own AS (SELECT conv_id, turn, sha256(role || chr(10) || coalesce(text, '')) AS h FROM conversations),

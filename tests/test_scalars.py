@@ -119,6 +119,46 @@ def test_left_align(spark):
     assert {tuple(got[k]) for k in range(5)} == {(100, "GT", "G", True)} and tuple(got[6]) == (6, "T", "", False)
 
 
+def tilings(rng, contig, start, bases):
+    """Stretches that adjoin and overlap, and together are the whole one."""
+    out, at = [], 0
+    while at < len(bases):
+        n = rng.randint(1, 9)
+        low = max(0, at - rng.choice([0, 0, 0, 2, 5]))
+        out.append((contig, start + low, bases[low : at + n]))
+        at += n
+    return rng.sample(out, len(out))
+
+
+@pytest.mark.parametrize("size", [8192, 600, 16])
+def test_left_align_over_tiles(spark, size):
+    """Any tiling of the reference gives what one whole stretch gives, a row for each row."""
+    rng = random.Random(size)
+    whole = {"17": (100, "G" + "AC" * 30 + "T" + "A" * 40 + "CAG" * 12), "1": (1, "T" * 50 + "N" + "GT" * 20)}
+    rows = [("17", 11, "CAC", "C"), ("17", 15, "CAC", "C"), ("chr17", 120, "A", "C"), ("17", None, "A", "AC"), ("17", 120, None, "A"), (None, 120, "AC", "A"), ("2", 7, "AC", "A")]
+    for _ in range(300):
+        contig = rng.choice(["17", "1"])
+        start, bases = whole[contig]
+        at = rng.randrange(len(bases))
+        ref = bases[at : at + rng.randint(1, 6)]
+        rows.append((rng.choice(["", "chr"]) + contig, start + at, ref, rng.choice([ref[0], ref[0] + ref, ref + "AC", ref + "CAG" * 2, ref + "T", "G"])))
+    own = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, contig string, pos long, ref string, alt string")
+    one = spark.createDataFrame([(c, *x) for c, x in whole.items()], STRETCH)
+    cut = spark.createDataFrame([t for c, x in whole.items() for t in tilings(rng, c, *x)], STRETCH)
+    want = [tuple(r) for r in left_aligned(own, one).orderBy("k").collect()]
+    got = [tuple(r) for r in left_aligned(own, cut, size=size).orderBy("k").collect()]
+    assert got == want and len(want) == len(rows)
+    assert sum(r[5] is not None and r[5][0] < r[2] - 9 for r in want if r[2]) > 40
+
+
+def test_left_align_stops(spark):
+    """After the most steps, wherever tiles end."""
+    own = spark.createDataFrame([(1, "17", 900, "A", "AA")], "k int, contig string, pos long, ref string, alt string")
+    reference = spark.createDataFrame([("17", 1, "A" * 1000)], STRETCH)
+    for most, size in ((500, 64), (500, 8192), (3, 4), (0, 4)):
+        assert tuple(left_aligned(own, reference, most, size).first()["aligned"])[0] == 899 - most
+
+
 def test_reference_cache(spark, tmp_path):
     read = []
 
