@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from chronospan.llm.common import Scratch, Texts, byte_table, configured, hashes_at, mixed, places_of, table
 
 LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
+#: Heaps in which a language's candidates are ranked first.
+HEAPS = 16
 #: Bytes of texts of a shard; a piece that is longer is a shard.
 SHARD_BYTES = 4 << 20
 #: Bits of the filter, at most, and a key.
@@ -278,9 +280,13 @@ def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     both = met.groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("g"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("g"))).alias("r"))
     scored = both.withColumn("score", score("a", "l", "r"))
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = lowest.withColumn("rank", F.row_number().over(order).cast("long"))
-    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long")
+    if top is None:
+        ranked = lowest.withColumn("rank", rank("lang"))
+    else:  # the first of each heap first, so that one task never sees more than HEAPS * top rows of a language
+        some = lowest.withColumn("heap", F.pmod(F.xxhash64("phrase"), F.lit(HEAPS))).withColumn("rank", rank("lang", "heap")).where(F.col("rank") <= top)
+        ranked = some.withColumn("rank", rank("lang")).where(F.col("rank") <= top).drop("heap")
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
