@@ -50,7 +50,7 @@ SHINGLE, RADIUS, HASH_SEED = 4, 4, 42
 #: Fingerprints of a tree, about; fingerprints that a usual shard has, at most, when the blocks are chosen.
 TREE, USUAL = 2048, 512
 #: Pairs of a query and a node that are looked at together; rows of a run of shards.
-FRONT, RUN = 1 << 20, 1 << 16
+FRONT, RUN = 1 << 18, 1 << 15
 #: Keys that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 400_000
 
