@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from chronospan.service import Timeline
 from chronospan.session import session
 from chronospan.sources import ingest as ingesting
 from chronospan.sources import indexed, snapshots, store
+from chronospan.sources.blocks import ByteFile
 
 THRESHOLD = 0.03
 
@@ -37,14 +39,17 @@ def _raw(spark: SparkSession, a) -> DataFrame:
 
 
 def ingest(spark, a):
-    """From text lines, or, where an index lies beside the file, from the byte ranges of the regions alone."""
+    """From text lines, or, where an index lies beside the file, from the byte ranges of the regions alone, read once."""
     regions = spark.read.schema("symbol string, contig string, start long, end long").json(a.regions)
-    lines, taken, size = spark.read.text(a.lines), None, None
-    if snapshots._exists(spark, f"{a.lines}.tbi"):
-        lines, taken, size = indexed.region_lines(spark, a.lines, [(r["contig"], r["start"], r["end"]) for r in regions.collect()])
-        lines = lines.distinct()  # regions may overlap
-    made = ingesting.ingest(lines, regions, f"{a.root}/snapshots", a.release, a.panel, a.lines, a.force, taken, size)
-    return made or "already there"
+    if not snapshots._exists(spark, f"{a.lines}.tbi"):
+        made = ingesting.ingest(spark.read.text(a.lines), regions, f"{a.root}/snapshots", a.release, a.panel, a.lines, a.force)
+        return made or "already there"
+    folder = f"{a.root}/_lines-{uuid.uuid4().hex}"
+    try:
+        lines, sent = indexed.fetched_lines(spark, a.lines, [(r["contig"], r["start"], r["end"]) for r in regions.collect()], folder)
+        return ingesting.ingest(lines, regions, f"{a.root}/snapshots", a.release, a.panel, a.lines, a.force, sent, ByteFile(a.lines).size()) or "already there"
+    finally:
+        snapshots.replaced(spark, folder, None)
 
 
 def spans(spark, a):

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from chronospan.sources.indexed import read_bytes
+from chronospan.sources.blocks import ByteFile
 from chronospan.sources.releases import listed_dates
 
 
@@ -20,15 +20,25 @@ class ListingError(RuntimeError):
     """It could not be told which releases a year has."""
 
 
+def read_bytes(url: str) -> bytes:
+    """A whole file, local or over HTTP."""
+    return ByteFile(url).read()
+
+
 def cached(url: str, folder: str, read=read_bytes) -> bytes:
     """The bytes of ``url``, kept under a hash of the address; a file appears whole or not at all."""
     path = Path(folder, hashlib.sha256(url.encode()).hexdigest()[:20])
     if not path.exists():
+        data = read(url)
         path.parent.mkdir(parents=True, exist_ok=True)
         handle, part = tempfile.mkstemp(dir=folder)
-        with os.fdopen(handle, "wb") as f:
-            f.write(read(url))
-        os.replace(part, path)
+        try:
+            with os.fdopen(handle, "wb") as f:
+                f.write(data)
+            os.replace(part, path)
+        except BaseException:
+            os.unlink(part)
+            raise
     return path.read_bytes()
 
 

@@ -1,15 +1,18 @@
 """The indexed source, snapshots, manifests and the stream, on files made here."""
 
+import http.server
+import random
 import re
 import shutil
 import struct
+import threading
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronospan.schemas import MANIFEST, SNAPSHOT
-from chronospan.sources import genes, indexed, releases, snapshots
+from chronospan.sources import blocks, fetch, genes, indexed, releases, snapshots
 from chronospan.sources.ingest import ingest
 from chronospan.streaming.incremental import follow
 from tests.test_timeline import THREE, listed
@@ -42,19 +45,30 @@ def test_bins():
 
 def test_members():
     a, b = member(b"one\ntwo\nth"), member(b"ree\nfour")
-    assert indexed.inflated(a + b) == b"one\ntwo\nthree\nfour"
-    assert indexed.inflated(a + b[:5]) == b"one\ntwo\nth" and indexed.inflated(b"junk") == b"" and indexed.inflated(b"") == b""
-    assert indexed.whole_lines(b"a\nb\nc") == [b"a", b"b"] and indexed.whole_lines(b"a\n") == [b"a"] and indexed.whole_lines(b"") == []
+    assert blocks.inflated(a + b) == b"one\ntwo\nthree\nfour"
+    assert blocks.inflated(a + b[:5]) == b"one\ntwo\nth" and blocks.inflated(b"junk") == b"" and blocks.inflated(b"") == b""
 
 
 def test_index_plan():
-    index = indexed.Index.parsed(index_bytes(["17", "chrX"], [{4681: [(0, 10 << 16)], 4682: [(10 << 16, 30 << 16)], 0: [(200_000 << 16, 200_001 << 16)]}, {}], [(5 << 16, 10 << 16), ()]))
-    assert index.number("chr17") == 0 and index.number("X") == 1 and index.number("9") is None
+    index = indexed.Index(index_bytes(["17", "chrX"], [{4681: [(0, 10 << 16)], 4682: [(10 << 16, 30 << 16)], 0: [(200_000 << 16, 200_001 << 16)]}, {}], [(5 << 16, 10 << 16), ()]))
+    assert index.named("chr17") == ["17"] and index.named("X") == ["chrX"] and index.named("9") == []
     assert index.plan("17", 0, 100) == [(5 << 16, 10 << 16), (200_000 << 16, 200_001 << 16)]
     assert index.plan("17", 20_000, 20_100) == [(10 << 16, 30 << 16), (200_000 << 16, 200_001 << 16)]
     assert index.byte_ranges("17", 0, 20_000) == [(5, 30 + 65535), (200_000, 200_001 + 65535)] and index.byte_ranges("9", 0, 9) == []
+    assert index.cut([(5 << 16, 30 << 16), (200_000 << 16, 200_001 << 16)], 5) == [[(5 << 16, 10 << 16)], [(10 << 16, 30 << 16)], [(200_000 << 16, 200_001 << 16)]]
+    assert index.cut([(5 << 16, 30 << 16), (40 << 16, 50 << 16)], 1 << 20) == [[(5 << 16, 30 << 16), (40 << 16, 50 << 16)]]
     with pytest.raises(ValueError, match="index"):
-        indexed.Index.parsed(b"nope")
+        indexed.Index(b"nope")
+
+
+def test_united():
+    """As a set of integers says, for random ranges."""
+    rng = random.Random(5)
+    for _ in range(300):
+        ranges = [(a, a + rng.randint(0, 6)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 9)))]
+        got = indexed.united(ranges, gap=1)
+        inside = {x for a, b in ranges for x in range(a, b + 1)}
+        assert {x for a, b in got for x in range(a, b + 1)} == inside and all(b + 1 < c for (_, b), (c, _) in zip(got, got[1:]))
 
 
 def test_bins_of_columns(spark):
@@ -83,11 +97,172 @@ def test_indexed_source(spark, tmp_path):
     got = own.where("contig = '17' AND pos BETWEEN 20010 AND 20019")
     assert sorted(r["pos"] for r in got.collect()) == list(range(20_010, 20_020))
     assert own.where("contig = '3'").count() == 0
-    reader = indexed._Reader(str(tmp_path / "v.gz"), str(tmp_path / "v.gz.tbi"))
+    reader = indexed._Reader(str(tmp_path / "v.gz"), str(tmp_path / "v.gz.tbi"), 1 << 20)
     reader.contig, reader.low, reader.high = "17", 20_010, 20_019
-    assert [(p.start, p.end) for p in reader.partitions()] == [(at[1], at[2] + 65535)]
-    rows, taken, size = indexed.region_lines(spark, str(tmp_path / "v.gz"), [("chr17", 20_010, 20_019), ("17", 20_015, 20_020), ("5", 1, 9)])
-    assert rows.distinct().count() == 11 and size == len(data) and taken == min(at[2] + 65535, len(data) - 1) - at[1] + 1 < size
+    assert [p.ranges for p in reader.partitions()] == [[(at[1] << 16, at[2] << 16)]]
+    regions = [("chr17", 20_010, 20_019), ("17", 20_015, 20_020), ("5", 1, 9)]
+    rows, sent = indexed.fetched_lines(spark, str(tmp_path / "v.gz"), regions, str(tmp_path / "lines"))
+    assert rows.count() == 11 and sent > len((tmp_path / "v.gz.tbi").read_bytes())
+    rows, _ = indexed.fetched_lines(spark, str(tmp_path / "v.gz"), [("5", 1, 9)], str(tmp_path / "none"))
+    assert rows.count() == 0
+
+
+def blocked(rng, text):
+    """A text in members of random sizes, some empty, some with bytes that look like a header; and their starts."""
+    out, starts, at = b"", [], 0
+    while at < len(text):
+        n = rng.choice([0, 1, 7, 300, 20_000])
+        starts.append(len(out))
+        out += member(text[at : at + n])
+        at += n
+    return out, starts
+
+
+@pytest.mark.parametrize("end", [b"", b"\n", b"\n\n"])
+def test_splits_give_each_line_once(tmp_path, end):
+    """Any size of splits gives the lines of one task, in order, a last line without a line break too."""
+    rng = random.Random(len(end))
+    noise = bytes(rng.randrange(256) for _ in range(3000)).replace(b"\n", b" ")
+    text = b"\n".join(rng.choice([b"", b"x", b"some line", noise[: rng.randint(0, 3000)], blocks.HEADER + noise[:50], noise * 30]) for _ in range(220)) + end
+    data, _ = blocked(rng, text)
+    path = str(tmp_path / "v.gz")
+    (tmp_path / "v.gz").write_bytes(data)
+    want = text.split(b"\n")
+    want = want if want[-1] else want[:-1]
+    for split in (1, 100, 5000, 70_000, len(data) // 2, len(data) + 9) if len(end) else (5000, 70_001, 1 << 30):
+        if split == 1:
+            parts = [(s, s + 1) for s in range(0, len(data), 997)]  # most bytes begin no member
+            assert set(x for s, e in parts for x in blocks.lines_of_split(blocks.ByteFile(path), len(data), s, e)) <= set(want)
+            continue
+        got = [x for s, e in blocks.splits(len(data), split if split > 100 else 4000) for x in blocks.lines_of_split(blocks.ByteFile(path), len(data), s, e)]
+        assert got == want
+
+
+def test_first_block_among_false_headers(tmp_path):
+    """A stored block full of headers is no start of a block."""
+    fake = (blocks.HEADER + b"\0\0\0\0\0\xff\x06\0BC\x02\0\x30\0" + b"z" * 31) * 900
+    stored = zlib.compressobj(0, zlib.DEFLATED, -15)
+    body = stored.compress(fake[:40_000]) + stored.flush()
+    extra = b"BC\x02\x00" + struct.pack("<H", len(body) + 25)
+    one = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 6) + extra + body + struct.pack("<II", zlib.crc32(fake[:40_000]), 40_000)
+    data = one * 4 + member(b"a\nb\n") * 3
+    (tmp_path / "f.gz").write_bytes(data)
+    file = blocks.ByteFile(str(tmp_path / "f.gz"))
+    starts = [k * len(one) for k in range(4)] + [4 * len(one) + k * len(member(b"a\nb\n")) for k in range(3)]
+    for at in [*range(0, len(data), 1201), *starts, *(s + 1 for s in starts)]:
+        assert blocks.first_block(file, at, len(data)) == next((s for s in starts if s >= at), None)
+
+
+def test_ranges_begin_and_end_inside_blocks(tmp_path):
+    rng = random.Random(9)
+    text = b"".join(b"%d %s\n" % (k, b"y" * rng.randint(0, 900)) for k in range(2000))
+    data, at, virtual = b"", 0, {}
+    while at < len(text):  # virtual offsets of the places of the text
+        n = rng.choice([1, 50, 4000, 30_000])
+        virtual |= {at + k: len(data) << 16 | k for k in range(min(n, len(text) - at))}
+        data += member(text[at : at + n])
+        at += n
+    virtual[len(text)] = len(data) << 16
+    (tmp_path / "v.gz").write_bytes(data)
+    begins = [0] + [k + 1 for k in range(len(text)) if text[k] == 10]
+    for _ in range(60):
+        a, b = sorted(rng.sample(begins, 2))
+        file = blocks.ByteFile(str(tmp_path / "v.gz"))
+        assert list(blocks.lines_of_range(file, len(data), virtual[a], virtual[b])) == text[a:b].split(b"\n")[:-1]
+        assert file.sent <= (virtual[b] >> 16) - (virtual[a] >> 16) + blocks.CHUNK + 1
+
+
+def test_whole_file_scan(spark, tmp_path):
+    """Splits of a scan without a region: every record once, the last without a line break; and a plain gzip file, which can't be split."""
+    line = lambda k: f"17\t{k}\t{k}\tA\tG\t.\t.\tCLNSIG=Benign;X={'z' * (k * 37 % 500)}".encode()
+    text = b"#head\n" + b"\n".join(line(k) for k in range(4000))
+    data, _ = blocked(random.Random(3), text)
+    (tmp_path / "v.gz").write_bytes(data)
+    plain = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "w.gz").write_bytes(plain.compress(text) + plain.flush())
+    spark.dataSource.register(indexed.IndexedVcf)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for name, split, parts in (("v.gz", 10_000, -(-len(data) // 10_000)), ("v.gz", 1 << 25, 1), ("w.gz", 10_000, 1)):
+        own = spark.read.format("indexed_vcf").option("path", str(tmp_path / name)).option("splitbytes", split).load()
+        assert own.rdd.getNumPartitions() == parts and sorted(r["pos"] for r in own.collect()) == list(range(4000))
+
+
+class Flaky(http.server.BaseHTTPRequestHandler):
+    """Serves byte ranges; some answers are errors, some break off.  Counts the bytes of bodies that it sends."""
+
+    files: dict = {}
+    sent, asked = [], []
+
+    def log_message(self, *args):
+        pass
+
+    def do_HEAD(self):  # noqa: N802
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(self.files[self.path])))
+        self.end_headers()
+
+    def do_GET(self):  # noqa: N802
+        data, span = self.files[self.path], self.headers.get("Range")
+        if span:
+            a, b = span.removeprefix("bytes=").split("-")
+            data = data[int(a) : int(b) + 1 if b else None]
+        self.asked.append(span)
+        turn = len(self.asked) % 4
+        body = b"try again" if turn == 1 else data
+        self.send_response(503 if turn == 1 else 206 if span else 200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        body = body[: len(body) // 2] if turn == 2 else body
+        self.wfile.write(body)
+        self.sent.append(len(body))
+        if turn == 2:
+            self.close_connection = True
+
+
+@pytest.fixture
+def server():
+    Flaky.files, Flaky.sent, Flaky.asked = {}, [], []
+    own = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Flaky)
+    threading.Thread(target=own.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{own.server_port}"
+    own.shutdown()
+
+
+def test_bytes_as_sent(spark, server, tmp_path, monkeypatch):
+    """What a scan over HTTP says it was sent is what the server sent, failed tries included."""
+    line = lambda k: f"17\t{k}\t{k}\tA\tG\t.\t.\tCLNSIG=Benign\n".encode()
+    data, at = b"", []
+    for first in range(1, 60_000, 1000):
+        at.append(len(data))
+        data += member(b"".join(line(k) for k in range(first, first + 1000)))
+    ends = [*at[1:], len(data)]
+    chunks = {4681 + k: [(a << 16, e << 16)] for k, (a, e) in enumerate([(at[0], at[17]), (at[16], at[33]), (at[32], at[50]), (at[49], ends[-1])])}
+    Flaky.files = {"/v.gz": data, "/v.gz.tbi": member(index_bytes(["17"], [chunks], [(at[0] << 16, at[16] << 16, at[32] << 16, at[49] << 16)]))}
+    for start, end in ((0, None), (5, 900), (at[3], at[4])):
+        file = blocks.ByteFile(f"{server}/v.gz", pause=0.01)
+        before = sum(Flaky.sent)
+        assert file.read(start, end) == data[start:end] and file.sent == sum(Flaky.sent) - before
+    Flaky.sent.clear()
+    rows, sent = indexed.fetched_lines(spark, f"{server}/v.gz", [("17", 20_000, 20_100), ("17", 20_050, 45_000)], str(tmp_path / "lines"), split=20_000)
+    assert rows.count() == 25_001 == rows.distinct().count() and sent == sum(Flaky.sent) and len(Flaky.sent) > 5
+
+
+def test_fetch_that_fails(server):
+    file = blocks.ByteFile("http://127.0.0.1:9/x", tries=2, pause=0.01)
+    with pytest.raises(OSError):
+        file.read()
+    assert file.sent == 0
+
+
+def test_cache_without_leftovers(tmp_path):
+    def broken(url):
+        raise OSError("down")
+
+    with pytest.raises(OSError, match="down"):
+        fetch.cached("u", str(tmp_path / "c"), broken)
+    assert not (tmp_path / "c").exists() or list((tmp_path / "c").iterdir()) == []
+    assert fetch.cached("u", str(tmp_path / "c"), lambda u: b"x") == b"x" == fetch.cached("u", str(tmp_path / "c"), broken)
+    assert len(list((tmp_path / "c").iterdir())) == 1
 
 
 def test_regions_and_panels(spark, tmp_path):
