@@ -1,33 +1,38 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 Texts are wrapped anew into lines whose starts their words set, so that a passage
-has the same lines wherever it is set in: of the BLOCK_WORDS-word windows that
-begin at WINDOW neighbouring words, the one with the least hash begins a line.
-The hash of a line is that of the BLOCK_WORDS words from its start; it reaches over
-the starts that follow.  A stretch of BLOCK_WORDS + WINDOW - 1 words, 50, that two
-documents share holds a line of both, whatever stands around it.
+has the same lines wherever it is set in: of the windows of half a block that
+begin at so many neighbouring words, the one with the least hash begins a line.
+The hash of a line is that of the window's words; it may reach over the starts that
+follow.  A stretch of BLOCK_WORDS words, 30, that two documents share holds a line
+of both, whatever stands around it.  A text of fewer words is one line of all its words.
 
 Documents overlap if they share a line.  A line of at most RARE places links each
-of its documents to all earlier ones; a more frequent one links each document to
-the first holder alone, so a line of a third of all documents makes one link for
-each, and no two documents are ever listed for it.  Each pair of linked documents
-is aligned by patience diff over the lines that it shares: lines that occur once
-in either are matched along a longest increasing sequence, and between them again.
-Shared lines off that path, of moved and repeated passages, are matched where
-they stand.  Matched lines that continue each other are one block.  It is checked
-on its words, grows word by word at both ends, and goes from the later document.
-
-So every stretch of 50 words that an earlier document holds is broken: at least
-30 of its words go, all of them if the holder of one of its lines has them too.  Words are
-what stands between ASCII white space.  Only lines that two documents share are
-brought together, never whole documents, so a long document, or one that
+of its documents to all earlier ones; a more frequent one links each to the first
+holder, to the first that has the same line after it, and to the first that has
+the same line before it.  No two documents are ever listed for a line that many hold.
+Rows meet by line in one exchange; lines that a sample of documents tells to be very
+frequent are dealt out by salt too, and the first places of all salts meet after that.
+
+Each pair of linked documents is aligned by patience diff over the lines that it
+shares: lines that occur once in either are matched along a longest increasing
+sequence, and between them again.  Shared lines off that path, of moved and repeated
+passages, are matched where they stand.  Matched lines that continue each other are
+one block.  It is checked on its words, grows word by word at both ends, and goes
+from the later document if it has BLOCK_WORDS words then, or is a whole text.
+
+So of every stretch of 30 words that an earlier document holds, a line's holder is
+compared; with at most RARE places of the line, all holders are, and all its words go.
+Words are what stands between ASCII white space.  Only lines that two documents
+share are brought together, never whole documents, so a long document, or one that
 thousands repeat, costs what it shares.
 
-Defined results: a null text stays null, an empty one empty; fewer than
-BLOCK_WORDS words never change.  Rows with a null doc_id are carried unchanged.
-Rows of one doc_id are not compared with each other, only with documents of
-smaller ids, and repeated rows give repeated results.  An empty table gives an
-empty result; other columns are ignored, or kept by ``with_own_lines``.
+Defined results: a null text stays null, an empty one empty; a text of fewer than
+BLOCK_WORDS words changes only if an earlier one has the same words and no others, and is empty
+then.  Rows with a null doc_id are carried unchanged.  Rows of one doc_id are not
+compared with each other, only with documents of smaller ids, and repeated rows
+give repeated results.  An empty table gives an empty result; other columns are
+ignored, or kept by ``with_own_lines``.
 """
 
 from __future__ import annotations
@@ -47,11 +52,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from chronospan.llm.common import Scratch, Texts, byte_table, configured, per_slice, places_of, table, windows, with_columns, word_hashes
 
-BLOCK_WORDS, WINDOW = 30, 21
+BLOCK_WORDS = 30
 #: Places of a line up to which each of its documents is linked to every earlier one.
 RARE = 8
-#: Places of a frequent line that meet its first one in one task.
-SALTED = 2000
+#: One document of so many is asked for frequent lines; places of a line there from which it is salted; places of a salt, about; salted lines, at most.
+SAMPLE, FREQUENT, SALTED, MOST_SALTED = 64, 16, 2000, 100_000
+#: Rows of whole lines that a task works on at once.
+RUN = 1 << 15
 #: Blocks whose places, 50 bytes each, are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_BLOCKS = 400_000
 WORDS = byte_table(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D), lower=False)
@@ -67,6 +74,12 @@ def sliding(x: np.ndarray, width: int, op: np.ufunc, rest: np.uint64) -> np.ndar
     return op(back[: len(x)], ahead[width - 1 : width - 1 + len(x)])
 
 
+def widths(block_words: int) -> tuple[int, int]:
+    """Words of a line, and neighbouring windows of which the least begins one: a stretch of so many words holds a line."""
+    line = max(1, (block_words + 1) // 2)
+    return line, block_words - line + 1
+
+
 def line_starts(hashes: np.ndarray, firsts: np.ndarray, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words that begin a line, and the hashes of the lines; text k has the words firsts[k] to firsts[k + 1].
 
@@ -91,21 +104,35 @@ def line_starts(hashes: np.ndarray, firsts: np.ndarray, words: int, window: int)
     return at, own[at]
 
 
-def wrapped(docs: DataFrame, words: int, window: int) -> DataFrame:
-    """row, doc_id, starts and hashes of the lines of each document (row, doc_id, text)."""
+def wrapped(docs: DataFrame, block_words: int) -> DataFrame:
+    """row, doc_id, starts and hashes of the lines of each document (row, doc_id, text), and the halves of the hashes of the lines before and after each."""
+    words, window = widths(block_words)
 
     def make() -> Callable[..., list]:
         def of_slice(texts: pa.Array) -> list:
             hashes, firsts = word_hashes(Texts.of(texts), WORDS)
             at, lines = line_starts(hashes, firsts, words, window)
+            size = np.diff(firsts)
+            long = np.repeat(size, size)[at] >= block_words
+            at, lines = at[long], lines[long]
+            short = np.flatnonzero((size > 0) & (size < block_words))
+            whole = np.array([windows(hashes[firsts[k] : firsts[k + 1]], size[k])[0] ^ np.uint64(size[k]) for k in short], np.uint64)
+            lines = np.concatenate((lines, whole))
+            at = np.concatenate((at, firsts[short]))
+            order = np.argsort(at, kind="stable")
+            at, lines = at[order], lines[order]
             cut = np.searchsorted(at, firsts)
             begin = np.repeat(firsts[:-1], np.diff(cut))
+            half = (lines >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            before, after = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+            same = np.flatnonzero(begin[1:] == begin[:-1])
+            before[same + 1], after[same] = half[same], half[same + 1]
             offsets = pa.array(cut, pa.int32())
-            return [pa.ListArray.from_arrays(offsets, pa.array((at - begin).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(lines.view(np.int64)))]
+            return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((at - begin).astype(np.int32), lines.view(np.int64), before, after)]
 
         return of_slice
 
-    return per_slice(docs, make, "starts array<int>, lines array<long>", keys={"row": F.col("row"), "doc_id": F.col("doc_id")})
+    return per_slice(docs, make, "starts array<int>, lines array<long>, before array<int>, after array<int>", keys={"row": F.col("row"), "doc_id": F.col("doc_id")})
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -193,22 +220,84 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
+def linked(line: np.ndarray, salt: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, before: np.ndarray, after: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Later places, the earlier ones that they are linked to, and the first place of each group; rows are sorted by (line, salt, doc_id, row, start)."""
+
+    def firsts(*keys: np.ndarray) -> np.ndarray:
+        """For each row the first one of the same keys."""
+        order = np.lexsort(keys[::-1])  # stable: rows of equal keys stay in order
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+        out = np.empty(len(order), np.int64)
+        out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return out
+
+    group = firsts(line, salt)
+    every = np.arange(len(line))
+    later, earlier = [every, every, every], [group, firsts(group, after), firsts(group, before)]
+    few = np.bincount(group, minlength=len(line))[group] <= rare
+    for d in range(1, rare):
+        i = np.flatnonzero(few[d:] & (group[d:] == group[:-d])) + d
+        if not len(i):
+            break
+        later.append(i)
+        earlier.append(i - d)
+    i, j = np.concatenate(later), np.concatenate(earlier)
+    ahead = doc[j] < doc[i]
+    return *np.unique(np.stack((i[ahead], j[ahead])), axis=1), np.unique(group)
+
+
+def meeting(places: DataFrame, rare: int) -> DataFrame:
+    """row, start, earlier_row, earlier_start, line, doc_id of the links among ``places`` of one line and salt; the first place of each salted group comes too, without an earlier one."""
+    schema = T.StructType.fromDDL("row long, start int, earlier_row long, earlier_start int, line long, doc_id long")
+    arrow = to_arrow_schema(schema)
+    order = ["line", "salt", "doc_id", "row", "start"]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            own = [np.concatenate(c) for c in zip(*held, strict=True)]
+            line, salt, doc, row, start = own[:5]
+            i, j, first = linked(*own, rare)
+            first = first[salt[first] > 0]
+            none = pa.nulls
+            columns = [np.concatenate((c[i], c[first])) for c in (row, start, line, doc)]
+            back = [pa.concat_arrays([pa.array(c[j]), none(len(first), t)]) for c, t in ((row, pa.int64()), (start, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *back, pa.array(columns[2]), pa.array(columns[3])], schema=arrow)
+
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for part in parts:
+            own = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+            if not len(own[0]):
+                continue
+            if held and n + len(own[0]) > RUN:
+                # what is held goes with the rest of its last group, if that ends here
+                other = (own[0] != held[-1][0][-1]) | (own[1] != held[-1][1][-1])
+                if other.any():
+                    cut = int(np.argmax(other))
+                    held.append([c[:cut] for c in own])
+                    yield made(held)
+                    held, n, own = [], 0, [c[cut:] for c in own]
+            held.append(own)
+            n += len(own[0])
+        if held:
+            yield made(held)
+
+    rows = places.select(*order, "before", "after")
+    return rows.repartition("line", "salt").sortWithinPartitions(*order).mapInArrow(batches, schema)
+
+
 def links(lines: DataFrame, scratch: Scratch, rare: int) -> DataFrame:
     """row, start, earlier_row, earlier_start, line: each shared line of a document and its place in an earlier one."""
-    each = lines.where("doc_id IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip("starts", "lines")).alias("x")).select("row", "doc_id", F.col("x.starts").alias("start"), F.col("x.lines").alias("line"))
-    shared = each.groupBy("line").agg(F.count("*").alias("places"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("line", "places")
-    shared = scratch.saved(shared, "shared")
-    held = scratch.saved(each.join(shared, "line"), "held")
-    place = F.struct("doc_id", "row", "start")
-    first = held.groupBy("line").agg(F.min(place).alias("x"), F.max("places").alias("places")).select("line", "places", F.col("x.doc_id").alias("earlier_id"), F.col("x.row").alias("earlier_row"), F.col("x.start").alias("earlier_start"))
-    few = held.where(F.col("places") <= rare).drop("places")
-    other = few.select("line", F.col("doc_id").alias("earlier_id"), F.col("row").alias("earlier_row"), F.col("start").alias("earlier_start"))
-    # the places of a frequent line meet its first one in as many tasks as they fill
-    parts = F.ceil(F.col("places") / SALTED)
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("row", "start"), parts)).drop("places")
-    copies = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("places")
-    both = salted.join(copies, ["line", "salt"]).drop("salt").unionByName(few.join(other, "line"))
-    return both.where("earlier_id < doc_id").select("row", "start", "earlier_row", "earlier_start", "line")
+    kept = ["starts", "lines", "before", "after"]
+    each = lines.where("doc_id IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip(*kept)).alias("x")).select("row", "doc_id", F.col("x.starts").alias("start"), F.col("x.lines").alias("line"), "x.before", "x.after")
+    # a line that one document in so many tells to be frequent is dealt out; which ones are decides on balance alone
+    sampled = each.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    hot = scratch.saved(sampled.orderBy(F.desc("n"), "line").limit(MOST_SALTED).select("line", F.ceil(F.col("n") * SAMPLE / SALTED).alias("salts")), "hot")
+    salt = F.coalesce(1 + F.pmod(F.xxhash64("row", "start"), F.col("salts")), F.lit(0)).cast("int")
+    met = scratch.saved(meeting(each.join(F.broadcast(hot), "line", "left").withColumn("salt", salt), rare), "met")
+    heads = met.where("earlier_row IS NULL").select("line", F.lit(0).alias("salt"), "doc_id", "row", "start", F.lit(0).alias("before"), F.lit(0).alias("after"))
+    return met.where("earlier_row IS NOT NULL").unionByName(meeting(heads, rare)).drop("doc_id")
 
 
 def aligned(found: DataFrame, words: int) -> DataFrame:
@@ -252,11 +341,11 @@ def contexts(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return per_slice(holders, make, kind, {"at": F.col("at")}, {"earlier_row": F.col("earlier_row")}).select("earlier_row", F.explode("own").alias("x")).select("earlier_row", "x.*")
 
 
-def reach(words: list[bytes], cuts: list[dict]) -> list[tuple[int, int]]:
-    """Ranges of words to delete: blocks whose words are the earlier document's, with as many words around as both have."""
+def reach(words: list[bytes], cuts: list[dict], least: int) -> list[tuple[int, int]]:
+    """Ranges of words to delete: blocks whose words are the earlier document's, with as many words around as both have; of ``least`` words, or of all."""
     out = []
     for x in cuts:
-        i, j = x["start"], x["stop"]
+        i, j = x["start"], min(x["stop"], len(words))
         if digest(words[i:j]) != x["digest"]:
             continue
         for w in reversed(x["before"].split()):
@@ -267,15 +356,16 @@ def reach(words: list[bytes], cuts: list[dict]) -> list[tuple[int, int]]:
             if j >= len(words) or words[j] != w:
                 break
             j += 1
-        out.append((i, j))
+        if j - i >= min(least, len(words)):
+            out.append((i, j))
     return out
 
 
-def without(text: bytes, cuts: list[dict]) -> tuple[bytes, int]:
+def without(text: bytes, cuts: list[dict], least: int) -> tuple[bytes, int]:
     """The text without the blocks, each with the white space after it, and the number of words deleted."""
     places = [m.span() for m in _WORD.finditer(text)]
     gone = np.zeros(len(places) + 1, bool)
-    for i, j in reach([text[s:e] for s, e in places], cuts):
+    for i, j in reach([text[s:e] for s, e in places], cuts, least):
         gone[i:j] = True
     out, at = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
@@ -285,29 +375,29 @@ def without(text: bytes, cuts: list[dict]) -> tuple[bytes, int]:
     return b"".join([*out, text[at:]]), int(gone.sum())
 
 
-def cuts_of(docs: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW, rare: int = RARE) -> DataFrame:
+def cuts_of(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
     """row and cuts: for each document that an earlier one overlaps, the blocks and what the earlier document has around them.
 
     ``docs`` has doc_id and text; a row is their hash.
     """
-    window = min(window, block_words)
+    line, window = widths(block_words)
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    lines = scratch.saved(wrapped(rows, block_words, window).where(F.size("starts") > 0), "lines")
-    found = scratch.saved(aligned(links(lines, scratch, rare), block_words), "blocks")
-    scratch.drop("lines", "shared", "held")
+    lines = scratch.saved(wrapped(rows, block_words).where(F.size("starts") > 0), "lines")
+    found = scratch.saved(aligned(links(lines, scratch, rare), line), "blocks")
+    scratch.drop("lines", "hot", "met")
     own = found.join(contexts(rows, found, window), ["earlier_row", "earlier_start", "earlier_stop"])
     cuts = scratch.saved(own.groupBy("row").agg(F.collect_set(F.struct("start", "stop", "digest", "before", "after")).alias("cuts")), "cuts")
     scratch.drop("blocks")
     return cuts
 
 
-def shortened(docs: DataFrame, **bounds: int) -> tuple[DataFrame, Callable[..., DataFrame]]:
+def shortened(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``docs`` with rest (the text without the common blocks), n_words before and n_removed, as ``with_columns`` gives them."""
 
     def make() -> Callable[..., list]:
         def one(text: bytes | None, cuts: list[dict] | None) -> tuple[bytes | None, int]:
-            return without(text, cuts) if text and cuts else (text, 0)
+            return without(text, cuts, block_words) if text and cuts else (text, 0)
 
         def of_slice(texts: pa.Array, cuts: pa.Array) -> list:
             firsts = places_of(Texts.of(texts), WORDS)[3]
@@ -316,7 +406,7 @@ def shortened(docs: DataFrame, **bounds: int) -> tuple[DataFrame, Callable[...,
 
         return of_slice
 
-    return with_columns(docs, make, "rest string, n_words long, n_removed long", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), cuts_of(docs, **bounds))
+    return with_columns(docs, make, "rest string, n_words long, n_removed long", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), cuts_of(docs, block_words, rare))
 
 
 def without_lines(docs: DataFrame, **bounds: int) -> DataFrame:
