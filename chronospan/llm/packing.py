@@ -8,8 +8,9 @@ they fit best.  Local search then goes from the fullest underfull bin to the
 least: each takes documents from less filled ones, by moves or by exchanges of one or two
 for one or two, whichever fills it most.  The sum of squared fills
 grows with each change, and the room gathers in the last bins until they are
-empty.  Bins that stay open are gathered from all blocks and packed again, in
-fewer blocks, until one block holds them all or a round closes hardly any.
+empty.  Half of each block's pieces, those of the least filled bins first, are
+gathered from all blocks and packed again, in half as many blocks, until one
+block holds them all, whatever the lengths are.
 
 Tokens: ids are those of the ``tokenizers`` file.  A text is cut before each
 space that a character other than white space follows, where the tokenizer cuts
@@ -39,10 +40,6 @@ from pyspark.sql import functions as F
 from chronospan.llm.common import Scratch, configured, per_text, table
 
 CAPACITY, BLOCK = 2048, 8192
-#: A bin filled less than this share is packed again with those of other blocks.
-OPEN_BELOW = 0.98
-#: Share of a round's pieces that its open bins keep at most, if there is to be another round.
-CLOSES = 0.9
 #: Stretches whose ids a task keeps, and characters of the longest of them.
 KEPT, KEPT_CHARS = 120_000, 64
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -239,38 +236,51 @@ def pack_block(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return improved(best_fit(lengths, capacity), lengths, capacity)
 
 
+def reopened(bins: list[list[int]], lengths: list[int], capacity: int) -> set[int]:
+    """The bins of a block that are packed again with those of other blocks, up to half of the pieces, one in any case.
+
+    First those that are not full, the least filled first; then full ones here and there, whose
+    short documents let the search fill up what long ones leave.
+    """
+    fill = [sum(lengths[i] for i in own) for own in bins]
+    order = sorted(range(len(bins)), key=lambda b: (fill[b] == capacity, (b * 0x9E3779B1) % (1 << 32) if fill[b] == capacity else fill[b]))
+    out: set[int] = set()
+    pieces = 0
+    for b in order:
+        pieces += len(bins[b])
+        if out and 2 * pieces > len(lengths):
+            break
+        out.add(b)
+    return out
+
+
 def pack(rows: DataFrame, scratch: Scratch, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """sequence_id and offset for each row of ``rows`` (row: unique long, length: 1 to capacity)."""
     done = rows.where(F.col("length") >= capacity).select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, level = rows.where(F.col("length") < capacity).select("row", "length"), 1
 
-    def packer(level: int):
+    def packer(level: int, last: bool):
         def pack_one(part: pd.DataFrame) -> pd.DataFrame:
             rows, lengths, number, out = part["row"].tolist(), part["length"].tolist(), int(part["block"].iat[0]), []
-            for b, own in enumerate(pack_block(lengths, capacity)):
-                at, fill = 0, sum(lengths[i] for i in own)
+            bins = pack_block(lengths, capacity)
+            again = set() if last else reopened(bins, lengths, capacity)
+            for b, own in enumerate(bins):
+                at = 0
                 for i in own:
-                    out.append((rows[i], lengths[i], (level << 56) | (number << 20) | b, at, fill))
+                    out.append((rows[i], lengths[i], (level << 56) | (number << 20) | b, at, b in again))
                     at += lengths[i]
-            return pd.DataFrame(out, columns=["row", "length", "sequence_id", "offset", "fill"])
+            return pd.DataFrame(out, columns=["row", "length", "sequence_id", "offset", "again"])
 
         return pack_one
 
     n = rest.count()
     while n:
-        blocks = max(1, math.ceil(n / block))
-        dealt = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-        packed = scratch.saved(dealt.groupBy("block").applyInPandas(packer(level), "row long, length long, sequence_id long, offset long, fill long"), f"packed{level}")
-        if blocks == 1:
-            done = done.unionByName(packed.select("row", "sequence_id", "offset"))
-            break
-        still = packed.where(F.col("fill") < OPEN_BELOW * capacity)
-        more = still.count()
-        if more > CLOSES * n:  # the lengths don't fit together: another round would leave as many open
-            done = done.unionByName(packed.select("row", "sequence_id", "offset"))
-            break
-        done = done.unionByName(packed.where(F.col("fill") >= OPEN_BELOW * capacity).select("row", "sequence_id", "offset"))
-        rest, n, level = still.select("row", "length"), more, level + 1
+        blocks = max(1, math.ceil(n / max(block, 64)))
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks)))
+        packed = scratch.saved(dealt.groupBy("block").applyInPandas(packer(level, blocks == 1), "row long, length long, sequence_id long, offset long, again boolean"), f"packed{level}")
+        done = done.unionByName(packed.where("NOT again").select("row", "sequence_id", "offset"))
+        rest, level = packed.where("again").select("row", "length"), level + 1
+        n = 0 if blocks == 1 else rest.count()
     return done
 
 
