@@ -1,19 +1,17 @@
 """Language identification by cross-parsing entropy.
 
-From labelled texts each language gets a suffix automaton over running text, as
-many bytes for each language.  A text is parsed from left to right into the
-longest stretches that an automaton holds, over word borders; the language that
-needs the fewest phrases wins.  As all automata hold equally much text and all
-parse the same text, phrases a byte of the text are the normalised counts.
+From labelled texts each language gets a suffix automaton over running text.  A
+text is parsed from left to right into the longest stretches that an automaton
+holds, over word borders; the language that needs the fewest phrases wins, each
+count normalised by the logarithm of its automaton's text, with which matches grow.
 
-Texts are folded before: lower case, and whatever is no letter is one space.  A
-phrase also ends at every SEGMENT-th byte, so that many stretches are parsed
-side by side, in arrays: a step for all of them at once.
+Texts are folded before: lower case, and whatever is no letter is one space.
+Segments are parsed side by side, in arrays, a step for all of them at once, and
+then joined to the parse of the whole text (see ``phrases``).
 
 Fitting reads a bounded sample: at most SAMPLE_DOCS labelled documents of each
 language, the distinct texts with the smallest hashes, and of those
-TRAIN_BYTES; where a language has less, all have as much as the least of those with
-LEAST_BYTES.  Prediction reads whole texts and nothing but the text.
+TRAIN_BYTES.  Prediction reads whole texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 languages with equally few phrases: the first in alphabetical order, score 0.
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from chronospan.llm.common import bucket, byte_table, configured, per_slice, table, with_columns
 
 #: Bounds of the sample, of an automaton's text, and of the labels.
-SAMPLE_DOCS, TRAIN_BYTES, LEAST_BYTES, MOST_LANGS = 300, 20_000, 2_000, 64
+SAMPLE_DOCS, TRAIN_BYTES, MOST_LANGS = 300, 20_000, 64
 #: Bytes of a stretch that is parsed on its own.
 SEGMENT = 256
 
@@ -118,25 +116,58 @@ def folded(text: bytes | None) -> bytes:
     return b" %s " % b" ".join(lower.translate(LETTERS).split())
 
 
+def parsed_on(text: bytes, lang: int, t: Tables) -> int:
+    """Phrases of one folded text in one language, byte by byte."""
+    state, n = 0, 0
+    for c in t.code[np.frombuffer(text, np.uint8)].tolist():
+        to = int(t.step[state + c])
+        if not to:
+            n, to = n + 1, int(t.start[lang, c])
+        state = to
+    return n
+
+
 def phrases(texts: list[bytes], t: Tables) -> np.ndarray:
-    """Phrases of each folded text, a row, in each language, a column: the longest matches, one after another, that spell its segments."""
+    """Phrases of each folded text, a row, in each language, a column: the longest matches, one after another, that spell it.
+
+    Segments of SEGMENT bytes are parsed side by side, each as if a phrase began
+    with it.  Then the parse of each segment goes on into the next until both begin a
+    phrase at the same byte, after which they are one: the phrases up to there
+    are those of the parse that came in.  Where that isn't so within a segment, the text is
+    parsed byte by byte.
+    """
     sizes = np.array([-(-len(x) // SEGMENT) for x in texts])
     whole = b"".join(x.ljust(n * SEGMENT, b"\0") for x, n in zip(texts, sizes.tolist(), strict=True))
     codes = np.ascontiguousarray(t.code[np.frombuffer(whole, np.uint8)].reshape(-1, SEGMENT).T).astype(np.int64)
     langs = len(t.start)
     state = np.zeros((langs, codes.shape[1]), np.int64)
-    n = np.zeros((langs, codes.shape[1]), np.int32)
-    to, missing = np.empty_like(n), np.empty(n.shape, bool)
-    for c in codes:
+    begun = np.empty((SEGMENT, *state.shape), bool)
+    to = np.empty(state.shape, np.int32)
+    for c, missing in zip(codes, begun, strict=True):
         state += c
         np.take(t.step, state, out=to, mode="clip")
         np.equal(to, 0, out=missing)
-        n += missing
         to += missing * t.start[:, c]
         state[...] = to
+    n = begun.sum(axis=0, dtype=np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)
+    # what goes on from the segment before: pairs (language, segment), fewer with each byte
+    lang, at = (x.ravel() for x in np.meshgrid(np.arange(langs), np.flatnonzero(of[1:] == of[:-1]) + 1, indexing="ij"))
+    on = state[lang, at - 1]
+    for c, own in zip(codes, begun, strict=True):
+        if not len(on):
+            break
+        to = t.step[on + c[at]].astype(np.int64)
+        missing, there = to == 0, own[lang, at]
+        to += missing * t.start[lang, c[at]]
+        np.add.at(n, (lang, at), missing.astype(np.int64) - there)
+        apart = ~(missing & there)
+        lang, at, on = lang[apart], at[apart], to[apart]
     out = np.stack([np.bincount(of, row, len(texts)) for row in n], axis=1).astype(np.int64)
-    return out - (sizes * SEGMENT - np.array([len(x) for x in texts]))[:, None]  # each byte of padding was a phrase
+    out -= (sizes * SEGMENT - np.array([len(x) for x in texts]))[:, None]  # each byte of padding was a phrase
+    for k, j in set(zip(of[at].tolist(), lang.tolist(), strict=True)):
+        out[k, j] = parsed_on(texts[k], j, t)
+    return out
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
@@ -155,20 +186,22 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, train_bytes: int =
     for r in first.orderBy("lang", "h").select("lang", F.left("text", F.lit(train_bytes)).alias("text")).toLocalIterator():
         if len(seen[r["lang"]]) < train_bytes:
             seen[r["lang"]] += folded(r["text"].encode())
-    size = min([train_bytes, *(len(x) for x in seen.values() if len(x) >= LEAST_BYTES)])
-    return {k: x[:size] for k, x in sorted(seen.items())}
+    return {k: x[:train_bytes] for k, x in sorted(seen.items())}
 
 
 def predictor(model: Model) -> Callable[[pa.Array], list]:
     """From a slice of texts to the language and the score of each."""
     langs, t = list(model), tables(tuple(model.values()))
+    # a match grows with the logarithm of the text that it is looked for in
+    size = np.log([len(x) + 2 for x in model.values()]) if langs else np.zeros(0)
+    weight = size / size.max() if langs else size
 
     def of_slice(texts: pa.Array) -> list:
         own = [folded(x) for x in texts.to_pylist()] if langs else [b""] * len(texts)
         at = [k for k, x in enumerate(own) if x]
         names, scores = ["und"] * len(own), [0.0] * len(own)
         if at:
-            n = phrases([own[k] for k in at], t)
+            n = phrases([own[k] for k in at], t) * weight
             order = np.argsort(n, axis=1, kind="stable")
             for k, row, by in zip(at, n, order, strict=True):
                 names[k] = langs[by[0]]
