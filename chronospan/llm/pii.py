@@ -11,7 +11,8 @@ two chosen segments overlap, and a segment that begins within NEAR characters
 of the one before also has a weight for the pair of their types.  Segments of the
 fixed patterns are forced; candidates that touch one of them leave the lattice.
 Entities are bounded: at most MAX_GROUPS groups or MAX_SPAN characters; secrets
-are runs of one kind of character and have no bound.
+have no bound.  They are runs of one kind of character, tokens with a published beginning,
+web tokens of two or three parts, private key blocks, and what a word such as password assigns.
 
 The weights are trained here, by stochastic gradient steps on the
 log-likelihood (forward-backward over the lattice), on sentences drawn from
@@ -44,7 +45,7 @@ from chronospan.llm.common import configured, per_text, table
 #: Kinds in the order in which spans with one start are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-TRAIN_SENTENCES, EPOCHS, RATE, DECAY, SEED = 900, 6, 0.15, 1e-4, 20
+TRAIN_SENTENCES, EPOCHS, RATE, DECAY, SEED = 2400, 6, 0.15, 1e-4, 20
 #: Bounds of an entity, in code points and in groups; how near a segment must be to the one before for their types to count.
 MAX_SPAN, MAX_GROUPS, NEAR = 130, 7, 40
 
@@ -55,7 +56,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|::|[(\[]at[)\]]")
+_ANY = re.compile(r"[0-9@]|::|[(\[]at[)\]]| dot |[A-Za-z_/+-]{16}|[:=]| (?:is|ist|es|est) ")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -105,8 +106,17 @@ PROPOSE = (
     ("email", "at", re.compile(r"(?<![\w.%+-])\w[\w.%+-]{0,40} ?[(\[]at[)\]] ?\w[\w-]{0,40}(?:(?:\.| ?[(\[]dot[)\]] ?)\w[\w-]{0,40}){1,4}")),
     ("ip", ":", re.compile(r"(?<![\w:])(?:(?=[0-9A-Fa-f:]{0,40}::)[0-9A-Fa-f]{0,4}(?:::?[0-9A-Fa-f]{1,4}){1,8}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})(?![\w:])")),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("secret", "", re.compile(r"(?<![\w/+-])(?=[A-Za-z_/+-]{0,100}[0-9])[A-Za-z0-9_/+-]{16,}+={0,2}(?![\w/+-])")),
+    ("email", " at ", re.compile(r"(?<![\w.%+-])\w[\w.%+-]{0,40} at \w[\w-]{0,40}(?: dot \w[\w-]{0,20}){1,3}(?![\w-])")),
+    ("secret", "", re.compile(r"(?<![\w/+-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![\w/+-])")),
+    ("secret", "eyJ", re.compile(r"(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+(?:\.[\w-]++)?")),
+    ("secret", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,30}PRIVATE KEY-----")),
 )
+# Beginnings of tokens that their issuers publish.
+PREFIXES = "ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk_live_ sk_test_ rk_live_ pk_live_ whsec_ xoxb- xoxp- xoxa- xoxs- AKIA ASIA AIza ya29. npm_ pypi- hf_ dop_v1_ shpat_ SG. sk-".split()
+_PREFIXED = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, PREFIXES))})[\w.-]*\w")
+# Words that name a secret, what assigns it, and the value, of any length from 6 on.
+_ASSIGNED = re.compile(r"(?i)(?<![^\W_])(?:password|passwd|passwort|passphrase|pwd|contraseña|mot de passe|secret|token|api[_-]?key)(?:\"|')?(?: ?[:=]+ ?| is | ist | es | est )[\"']?([^\s\"'<>]{6,128})")
+_ASSIGNS = re.compile(r"(?:password|passwd|passwort|passphrase|pwd|contraseña|mot de passe|secret|token|api[_-]?key)[\"']?(?: ?[:=]+ ?| is | ist | es | est )[\"']?$")
 _GROUP = re.compile(r"[0-9]+")
 #: What may stand between two groups of digits of one number.
 _BETWEEN = re.compile(r"[ ./-]|\) ?|[ -]\(")
@@ -130,7 +140,10 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
     span, before, after = text[start:end], text[max(0, start - 32) : start].lower(), text[end : end + 16].lower()
     digits = sum(c.isdigit() for c in span)
     said = {_CUE[w] for w in _WORD.findall(before)[-4:] if w in _CUE}
-    out = ["bias", f"digits{min(digits, 20)}", "cue" if kind in said else "other_cue" if said else "no_cue", f"long{min(len(span), 64) // 8}"]
+    # a secret may tell itself, by what it begins with or what assigns it
+    known = kind == "secret" and (_PREFIXED.match(span) or span.startswith(("eyJ", "-----BEGIN")))
+    assigned = kind == "secret" and _ASSIGNS.search(before)
+    out = ["bias", f"digits{min(digits, 20)}", "known" if known else "cue" if kind in said or assigned else "other_cue" if said else "no_cue", f"long{min(len(span), 64) // 8}"]
     if kind in {_CUE[w] for w in _WORD.findall(after)[:2] if w in _CUE}:
         out.append("cue_after")
     if before[-1:] in "\"'=:":
@@ -152,16 +165,22 @@ def features(text: str, start: int, end: int, kind: str) -> list[str]:
         out += [f"entropy{int(h * 2)}", "hex" if not set(span) - set("0123456789abcdef") else "mixed" if re.search("[A-Z]", span) and re.search("[a-z]", span) else "one_case"]
         if len(_WORD.findall(span.replace("-", " "))) > 2 or "/" in span:
             out.append("pieces")
+        out += ["token"] * span.startswith("eyJ") + ["block"] * span.startswith("-----BEGIN") + ["assigned"] * bool(assigned) + ["short"] * (len(span) < 16) + ["no_digit"] * (not digits)
+        if assigned:
+            out.append(f"signs{len({'a' if c.islower() else 'A' if c.isupper() else '0' if c.isdigit() else '!' for c in span})}")
     elif kind == "phone":
         groups = _GROUP.findall(span)
-        out += ["date"] * bool(_DATE.fullmatch(span)) + ["trunk"] * span.startswith(("0", "(")) + [f"groups{len(groups)}", f"last{min(len(groups[-1]), 6)}", f"seps{len(set(_NOT_DIGIT.findall(span)))}"]
+        out += ["date"] * bool(_DATE.fullmatch(span)) + ["trunk"] * span.startswith(("0", "(")) + ["trunk_inside"] * any(len(g) > 2 and g[0] == "0" for g in groups[1:]) + ["trunk_after"] * bool(_TRUNK_NEXT.match(after)) + [f"groups{len(groups)}", f"last{min(len(groups[-1]), 6)}", f"seps{len(set(_NOT_DIGIT.findall(span)))}"]
+    elif kind == "ssn":
+        out += ["spaces"] * (" " in span)
     elif kind == "email":
-        out += ["at"] * ("@" in span) + ["spelled"] * ("@" not in span) + ["more_labels"] * bool(re.match(r"\.\w", after))
+        out += ["at"] * ("@" in span) + ["spelled"] * ("@" not in span) + ["in_words"] * (" at " in span) + ["dots"] * (span.count(" dot ") > 1) + ["more_labels"] * bool(re.match(r"\.\w", after))
     elif kind == "ip":
         out += ["double"] * ("::" in span) + [f"colons{min(span.count(':'), 7)}"] + ["hex_letters"] * bool(re.search("[A-Fa-f]", span))
     return [f"{kind}|{x}" for x in out]
 
 
+_TRUNK_NEXT = re.compile(r"[ ./-]{1,2}0[0-9]{2}")
 _CUT_LEFT, _CUT_RIGHT = re.compile(r"[0-9][ ./()-]{1,2}$"), re.compile(r"[ ./()-]{1,2}[0-9]")
 
 
@@ -187,18 +206,25 @@ def numbers(text: str) -> Iterator[Span]:
                 yield start, end, "card"
             if 8 <= digits <= 15 and len(sizes) > 1 and max(sizes) <= 6:
                 yield start - (start > 0 and text[start - 1] == "("), end, "phone"
-            if sizes == [3, 2, 4] and seps == {"-"}:
+            if sizes == [3, 2, 4] and seps in ({"-"}, {" "}):
                 yield start, end, "ssn"
 
 
 def lattice(text: str) -> list[Span]:
     """Candidate segments, by end: each proposal with its possible starts and ends."""
     found: set[Span] = set(numbers(text))
+    found |= {(m.start(), m.end(), "secret") for m in _PREFIXED.finditer(text) if m.end() - m.start() >= 16}
+    for m in _ASSIGNED.finditer(text):
+        value = m[1].rstrip(".,;:)]}")
+        if len(value) >= 6:
+            found.add((m.start(1), m.start(1) + len(value), "secret"))
     for kind, need, pattern in PROPOSE:
         if need in text:
             for m in pattern.finditer(text):
                 start, end = m.span()
-                if kind == "secret":
+                if kind == "secret" and m[0][0] != "-" and "." not in m[0]:
+                    if not (any(c.isdigit() for c in m[0]) or any(c.islower() for c in m[0]) and any(c.isupper() for c in m[0])):
+                        continue
                     found |= {(start, end, kind), (start, start + len(m[0].rstrip("=/+-_")), kind)}
                 elif kind == "iban":
                     ends = [start + x.end() for x in re.finditer("[A-Z0-9]+", m[0])]
@@ -288,6 +314,7 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice(("an", "ti", "re", "on", "ver", "el", "que", "sch", "mo", "la")) for _ in range(rng.randint(1, 4)))
     mixed = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(k))
+    letters = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(k))
     hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
 
     def card() -> str:
@@ -309,19 +336,23 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rng.random() < 0.5 else s
 
     make = {
-        "email": lambda: rng.choice((f"{word()}.{word()}@{word()}.com", f"{word()} (at) {word()}.org", f"{word()}[at]{word()}[dot]net", f"{word()}@{word()}é.fr")),
+        "email": lambda: rng.choice((f"{word()}.{word()}@{word()}.com", f"{word()} (at) {word()}.org", f"{word()}[at]{word()}[dot]net", f"{word()}@{word()}é.fr", f"{word()} at {word()} dot com", f"{word()}.{word()} at {word()} dot {word()} dot org")),
         "ip": lambda: rng.choice((f"{hexes(4)}:{hexes(4)}::{hexes(2)}", ":".join(hexes(4) for _ in range(8)), f"fe80::{hexes(4)}", f"fe80::{hexes(1)}", f"{hexes(4)}:{hexes(3)}::1")),
         "card": card,
-        "phone": lambda: rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(3)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"0{digits(3)}/{digits(6)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}")),
+        "phone": lambda: rng.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(3)}", f"0{digits(3)} {digits(rng.randint(3, 4))} {digits(rng.randint(3, 4))}", f"0{digits(3)} {digits(rng.randint(5, 6))}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"0{digits(3)}/{digits(6)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}")),
         "iban": iban,
-        "secret": lambda: rng.choice((hexes(40), hexes(32), mixed(24), mixed(40), f"sk_live_{mixed(24)}", f"ghp_{mixed(36)}", mixed(rng.randint(130, 400)))),
-        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
-    }
+        "secret": lambda: rng.choice((hexes(40), hexes(32), mixed(24), mixed(40), f"{rng.choice(PREFIXES)}{mixed(rng.randint(16, 40))}", f"{rng.choice(PREFIXES)}{mixed(rng.randint(16, 40))}", f"{rng.choice(PREFIXES)}{mixed(rng.randint(16, 20)).upper()}", f"{rng.choice(PREFIXES)}{hexes(32)}", mixed(rng.randint(130, 400)), f"eyJ{mixed(20)}.eyJ{mixed(60)}.{mixed(43)}", f"eyJ{mixed(30)}.{mixed(50)}", letters(rng.randint(24, 130)),
+            f"-----BEGIN {rng.choice(('', 'RSA ', 'EC '))}PRIVATE KEY-----\n{mixed(64)}\n{mixed(64)}\n-----END PRIVATE KEY-----")),
+        "password": lambda: "".join(rng.choice((word(), word(), word().capitalize(), digits(2), digits(4), rng.choice("!#$%&*?-_"))) for _ in range(rng.randint(3, 5)))[:15] + rng.choice("0123456789!#$"),
+        "ssn": lambda: rng.choice("- ").join((digits(3), digits(2), digits(4))),
+    }
     decoys = (
         lambda: f"commit {hexes(40)}", lambda: f"version {rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}.{digits(3)}", lambda: f"20{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}",
         lambda: f"1{rng.randint(0, 9)}.0{rng.randint(1, 9)}.20{digits(2)}", lambda: f"isbn 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"{word()}-{word()}-{word()}-{word()}{digits(1)}",
         lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: "/".join([word(), word(), word(), word() + digits(2)]), lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(3)}", lambda: digits(rng.randint(5, 11)), no_card, no_card,
-        lambda: f"{digits(2)} {digits(2)} {digits(2)}", lambda: f"sha {hexes(32)}",
+        lambda: f"{digits(2)} {digits(2)} {digits(2)}", lambda: f"sha {hexes(32)}", lambda: f"{word()} at {word()} dot", lambda: f"{word()} at {word()} {word()}", lambda: f"password is {word()}", lambda: f"token: {word()}{word()}{word()}",
+        lambda: f"secret {word()}{word()}{word()}", lambda: f"the password: {word()} {word()}", lambda: f"{word().capitalize()}{word().capitalize()}{word().capitalize()}{word().capitalize()}{word().capitalize()}", lambda: f"{digits(3)} {digits(2)} {digits(4)} {word()}",
+        lambda: f"{word()}_{word()}_{word()}_{word()}_{word()}", lambda: f"id {hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
     )
     out = []
     for _ in range(n):
@@ -330,12 +361,16 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[Span]]]:
             text += " ".join(word() for _ in range(rng.randint(2, 6))) + " "
             if rng.random() < 0.6:
                 kind = rng.choice(KINDS)
-                if rng.random() < 0.75 or kind in ("secret", "phone"):
-                    text += rng.choice(CUES[kind].split()) + rng.choice((" ", ": ", ' = "' if kind == "secret" else " "))
                 value = make[kind]()
+                known = kind == "secret" and (value.startswith(("eyJ", "-----", *PREFIXES)))
+                if kind == "secret" and rng.random() < 0.25:
+                    value = make["password"]()
+                    text += rng.choice(("password", "passwd", "Passwort", "pwd", "mot de passe", "contraseña", "secret")) + rng.choice((": ", "=", " = ", ' = "', " is ", " est ", " es "))
+                elif rng.random() < (0.4 if known else 0.75) or kind == "phone" or (kind == "secret" and not known) or (kind == "ssn" and " " in value):
+                    text += rng.choice(CUES[kind].split()) + rng.choice((" ", ": ", ' = "' if kind == "secret" else " "))
                 spans.append((len(text), len(text) + len(value), kind))
                 text += value + rng.choice((" ", ". ", ", ")) if not text.endswith('"') else value + '" '
-                if kind in ("phone", "card", "email") and rng.random() < 0.25:  # another of the kind, or a plain number, right after it
+                if kind in ("phone", "card", "email") and rng.random() < 0.4:  # another of the kind, or a plain number, right after it
                     text = text.rstrip() + " "
                     if rng.random() < 0.6:
                         value = make[kind]()

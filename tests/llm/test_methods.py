@@ -116,6 +116,27 @@ def test_local_search():
     assert over <= 2
 
 
+@pytest.mark.parametrize("low,high", [(300, 1100), (600, 900), (20, 1500), (1100, 1200), (1, 40)])
+def test_packing_of_many_blocks(spark, tmp_path, low, high):
+    """Blocks packed apart need hardly more bins than all pieces in one, also where lengths fit badly and all bins stay open."""
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(20_000)]
+    one = len(packing.pack_block(lengths))
+    rows = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    got = packing.pack(rows, common.Scratch(spark, "many"), block=4096).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], lengths[r["row"]]))
+    assert len(got) == len(lengths) == len({r["row"] for r in got})
+    for own in bins.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= packing.CAPACITY
+    assert len(bins) <= one + 1, (len(bins), one)
+
+
 def test_packing_of_all_documents(spark):
     rows = packing.pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), capacity=256, block=64, with_ids=True)
     got = rows.collect()
@@ -292,21 +313,22 @@ def test_quality_on_held_out_rows(spark):
 
 
 def plain_phrases(other, text):
-    """Longest matches by searching the training text; a segment's end ends a phrase."""
-    n = 0
-    for k in range(0, len(other), langid.SEGMENT):
-        part, at = other[k : k + langid.SEGMENT], 0
-        while at < len(part):
-            size = 1
-            while at + size < len(part) and part[at : at + size + 1] in text:
-                size += 1
-            n, at = n + 1, at + size
+    """Longest matches, one after another, by searching the training text."""
+    n = at = 0
+    while at < len(other):
+        size = 1
+        while at + size < len(other) and other[at : at + size + 1] in text:
+            size += 1
+        n, at = n + 1, at + size
     return n
 
 
 def test_phrases_are_longest_matches():
-    """Whole texts of any length side by side, with bytes that no training text has."""
+    """Whole texts of any length side by side, with bytes that no training text has, and copies of the training text, whose one phrase spans segments."""
     rng = random.Random(5)
+    long = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
+    for others in ([long, long[100:2000], long[5:700] + b"zz" + long[1000:2500], long[:256], long[1:257]],):
+        assert langid.phrases(others, langid.tables((long, long[::-1]))).tolist() == [[plain_phrases(x, t) for t in (long, long[::-1])] for x in others]
     for _ in range(40):
         train = tuple("".join(rng.choice("abc \u00e9") for _ in range(rng.randint(1, 60))).encode() for _ in range(3))
         others = ["".join(rng.choice("abcd \u00e9\u00e8") for _ in range(rng.choice((1, 5, 30, 700)))).encode() for _ in range(6)]
@@ -374,6 +396,16 @@ def passages(rng):
     return docs
 
 
+def test_small_languages(spark):
+    """A language with little text is found beside one with much, and doesn't shorten the other's automaton."""
+    much = " ".join(f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "rstvw")
+    rows = [("a", much)] * 3 + [("a", much[::-1]), ("b", "qux quy quz xyz zyx yxq zqx")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model["b"]) == 29 and len(model["a"]) > 1000
+    docs = spark.createDataFrame([(1, "quz xyz qux"), (2, "bar dit fov gus"), (3, "xyz quy")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()} == {1: "b", 2: "a", 3: "b"}
+
+
 @pytest.mark.parametrize("rare", [2, 8, 10**6])
 def test_line_dedup_brute_force(spark, rare):
     """Nothing goes but what an earlier document holds in 30 words; with all holders linked, all of that goes, and most of it anyway."""
