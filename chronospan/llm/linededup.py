@@ -38,7 +38,6 @@ ignored, or kept by ``with_own_lines``.
 from __future__ import annotations
 
 import hashlib
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -54,7 +53,7 @@ from chronospan.llm.common import Scratch, Texts, byte_table, configured, per_sl
 
 BLOCK_WORDS = 30
 #: Places of a line up to which each of its documents is linked to every earlier one.
-RARE = 8
+RARE = 4
 #: One document of so many is asked for frequent lines; places of a line there from which it is salted; places of a salt, about; salted lines, at most.
 SAMPLE, FREQUENT, SALTED, MOST_SALTED = 64, 16, 2000, 100_000
 #: Rows of whole lines that a task works on at once.
@@ -62,7 +61,6 @@ RUN = 1 << 15
 #: Blocks whose places, 50 bytes each, are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_BLOCKS = 400_000
 WORDS = byte_table(bytes(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D), lower=False)
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -341,38 +339,43 @@ def contexts(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return per_slice(holders, make, kind, {"at": F.col("at")}, {"earlier_row": F.col("earlier_row")}).select("earlier_row", F.explode("own").alias("x")).select("earlier_row", "x.*")
 
 
-def reach(words: list[bytes], cuts: list[dict], least: int) -> list[tuple[int, int]]:
-    """Ranges of words to delete: blocks whose words are the earlier document's, with as many words around as both have; of ``least`` words, or of all."""
-    out = []
+def reach(low: bytes, starts: list[int], ends: list[int], cuts: list[dict], least: int) -> list[tuple[int, int]]:
+    """Ranges of words to delete: blocks whose words are the earlier document's, with as many words around as both have; of ``least`` words, or of all.
+
+    ``low`` is a text with spaces for white space, whose words lie from ``starts`` to ``ends``.
+    """
+    out, n = set(), len(starts)
+    digests: dict[tuple[int, int], bytes] = {}
     for x in cuts:
-        i, j = x["start"], min(x["stop"], len(words))
-        if digest(words[i:j]) != x["digest"]:
+        i, j = x["start"], min(x["stop"], n)
+        if (i, j) not in digests:
+            digests[i, j] = digest(low[starts[i] : ends[j - 1]].split())
+        if digests[i, j] != x["digest"]:
             continue
         for w in reversed(x["before"].split()):
-            if not i or words[i - 1] != w:
+            if not i or low[starts[i - 1] : ends[i - 1]] != w:
                 break
             i -= 1
         for w in x["after"].split():
-            if j >= len(words) or words[j] != w:
+            if j >= n or low[starts[j] : ends[j]] != w:
                 break
             j += 1
-        if j - i >= min(least, len(words)):
-            out.append((i, j))
-    return out
+        if j - i >= min(least, n):
+            out.add((i, j))
+    return sorted(out)
 
 
-def without(text: bytes, cuts: list[dict], least: int) -> tuple[bytes, int]:
-    """The text without the blocks, each with the white space after it, and the number of words deleted."""
-    places = [m.span() for m in _WORD.finditer(text)]
-    gone = np.zeros(len(places) + 1, bool)
-    for i, j in reach([text[s:e] for s, e in places], cuts, least):
-        gone[i:j] = True
-    out, at = [], 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
-    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        out.append(text[at : places[i][0]])
-        at = places[j][0] if j < len(places) else len(text)
-    return b"".join([*out, text[at:]]), int(gone.sum())
+def without(text: bytes, low: bytes, starts: list[int], ends: list[int], cuts: list[dict], least: int) -> tuple[bytes, int]:
+    """The text without the blocks, each with the white space after it, and the number of words deleted; the others as in ``reach``."""
+    out, at, last, gone = [], 0, 0, 0
+    for i, j in reach(low, starts, ends, cuts, least):
+        if j <= last:
+            continue
+        i = max(i, last)
+        out.append(text[at : starts[i]] if at < starts[i] else b"")
+        at = starts[j] if j < len(starts) else len(text)
+        gone, last = gone + j - i, j
+    return b"".join([*out, text[at:]]), gone
 
 
 def cuts_of(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
@@ -396,13 +399,15 @@ def shortened(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE)
     """``docs`` with rest (the text without the common blocks), n_words before and n_removed, as ``with_columns`` gives them."""
 
     def make() -> Callable[..., list]:
-        def one(text: bytes | None, cuts: list[dict] | None) -> tuple[bytes | None, int]:
-            return without(text, cuts, block_words) if text and cuts else (text, 0)
-
         def of_slice(texts: pa.Array, cuts: pa.Array) -> list:
-            firsts = places_of(Texts.of(texts), WORDS)[3]
-            rest, gone = zip(*(one(*x) for x in zip(texts.to_pylist(), cuts.to_pylist(), strict=True)), strict=True)
-            return [pa.array(rest, pa.binary()).cast(pa.string()), np.diff(firsts), list(gone)]
+            own = Texts.of(texts)
+            low, starts, ends, firsts = places_of(own, WORDS)
+            rest, gone = texts.to_pylist(), [0] * len(texts)
+            for k, x in enumerate(cuts.to_pylist()):
+                if x and rest[k]:
+                    at, words = own.offsets[k], slice(firsts[k], firsts[k + 1])
+                    rest[k], gone[k] = without(rest[k], low[at : own.offsets[k + 1]].tobytes(), (starts[words] - at).tolist(), (ends[words] - at).tolist(), x, block_words)
+            return [pa.array(rest, pa.binary()).cast(pa.string()), np.diff(firsts), gone]
 
         return of_slice
 
