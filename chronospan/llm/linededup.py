@@ -44,6 +44,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -339,24 +340,28 @@ def contexts(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return per_slice(holders, make, kind, {"at": F.col("at")}, {"earlier_row": F.col("earlier_row")}).select("earlier_row", F.explode("own").alias("x")).select("earlier_row", "x.*")
 
 
-def reach(low: bytes, starts: list[int], ends: list[int], cuts: list[dict], least: int) -> list[tuple[int, int]]:
+#: A block (start, stop), the digest of its words, and the earlier document's words before and after it.
+Cut = tuple[int, int, bytes, bytes, bytes]
+
+
+def reach(low: bytes, starts: list[int], ends: list[int], cuts: list[Cut], least: int) -> list[tuple[int, int]]:
     """Ranges of words to delete: blocks whose words are the earlier document's, with as many words around as both have; of ``least`` words, or of all.
 
     ``low`` is a text with spaces for white space, whose words lie from ``starts`` to ``ends``.
     """
     out, n = set(), len(starts)
     digests: dict[tuple[int, int], bytes] = {}
-    for x in cuts:
-        i, j = x["start"], min(x["stop"], n)
+    for i, stop, same, before, after in cuts:
+        j = min(stop, n)
         if (i, j) not in digests:
             digests[i, j] = digest(low[starts[i] : ends[j - 1]].split())
-        if digests[i, j] != x["digest"]:
+        if digests[i, j] != same:
             continue
-        for w in reversed(x["before"].split()):
+        for w in reversed(before.split()):
             if not i or low[starts[i - 1] : ends[i - 1]] != w:
                 break
             i -= 1
-        for w in x["after"].split():
+        for w in after.split():
             if j >= n or low[starts[j] : ends[j]] != w:
                 break
             j += 1
@@ -365,7 +370,7 @@ def reach(low: bytes, starts: list[int], ends: list[int], cuts: list[dict], leas
     return sorted(out)
 
 
-def without(text: bytes, low: bytes, starts: list[int], ends: list[int], cuts: list[dict], least: int) -> tuple[bytes, int]:
+def without(text: bytes, low: bytes, starts: list[int], ends: list[int], cuts: list[Cut], least: int) -> tuple[bytes, int]:
     """The text without the blocks, each with the white space after it, and the number of words deleted; the others as in ``reach``."""
     out, at, last, gone = [], 0, 0, 0
     for i, j in reach(low, starts, ends, cuts, least):
@@ -403,10 +408,15 @@ def shortened(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE)
             own = Texts.of(texts)
             low, starts, ends, firsts = places_of(own, WORDS)
             rest, gone = texts.to_pylist(), [0] * len(texts)
-            for k, x in enumerate(cuts.to_pylist()):
-                if x and rest[k]:
-                    at, words = own.offsets[k], slice(firsts[k], firsts[k + 1])
-                    rest[k], gone[k] = without(rest[k], low[at : own.offsets[k + 1]].tobytes(), (starts[words] - at).tolist(), (ends[words] - at).tolist(), x, block_words)
+            # the blocks' fields side by side: a row's are those from one offset to the next
+            flat = cuts.flatten()
+            fields = [flat.field(c).to_pylist() for c in ("start", "stop", "digest", "before", "after")]
+            places = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.fill_null(pc.list_value_length(cuts), 0).to_numpy(zero_copy_only=False))))
+            for k in np.flatnonzero(np.diff(places)).tolist():
+                if rest[k]:
+                    at, words, part = own.offsets[k], slice(firsts[k], firsts[k + 1]), slice(places[k], places[k + 1])
+                    each = list(zip(*(f[part] for f in fields), strict=True))
+                    rest[k], gone[k] = without(rest[k], low[at : own.offsets[k + 1]].tobytes(), (starts[words] - at).tolist(), (ends[words] - at).tolist(), each, block_words)
             return [pa.array(rest, pa.binary()).cast(pa.string()), np.diff(firsts), gone]
 
         return of_slice
