@@ -20,7 +20,7 @@ from chronospan.functions.alleles import allele_id
 from chronospan.functions.leftalign import STRETCH, left_aligned
 from chronospan.locks import lock
 from chronospan.operators import cases, ledger, movement, timeline
-from chronospan.schemas import LEDGER, TENANT, TOKEN_EVENT
+from chronospan.schemas import TENANT, TOKEN_EVENT
 from chronospan.service import Timeline
 from chronospan.session import session
 from chronospan.sources import ingest as ingesting
@@ -49,15 +49,12 @@ def ingest(spark, a):
         lines, sent = indexed.fetched_lines(spark, a.lines, [(r["contig"], r["start"], r["end"]) for r in regions.collect()], folder)
         return ingesting.ingest(lines, regions, f"{a.root}/snapshots", a.release, a.panel, a.lines, a.force, sent, ByteFile(a.lines).size()) or "already there"
     finally:
-        snapshots.replaced(spark, folder, None)
+        snapshots.removed(spark, folder)
 
 
 def spans(spark, a):
     raw = _raw(spark, a)
-    made = store.build(raw, a.root)
-    new = f"{a.root}/_next-manifest"
-    raw.select("snapshot_id", "panel", "release_date").distinct().write.mode("overwrite").parquet(new)
-    snapshots.replaced(spark, new, f"{a.root}/snapshot_manifest")
+    made = store.build(raw, a.root, snapshot_manifest=raw.select("snapshot_id", "panel", "release_date").distinct())
     return [r.asDict() for r in timeline.span_stats(made.spans).collect()]
 
 
@@ -131,14 +128,11 @@ def _lock(a) -> str:
 
 
 def _ledger(spark, a):
-    return _table(spark, f"{a.root}/decision_ledger", LEDGER)
+    return ledger.stored(spark, f"{a.root}/decision_ledger")
 
 
 def case_review(spark, a):
-    with lock(_lock(a)):
-        entry = ledger.append(_ledger(spark, a), a.tenant, a.allele, a.case, a.verdict, a.rationale, a.reviewer, a.snapshot)
-        entry.write.mode("append").parquet(f"{a.root}/decision_ledger")
-    return entry.first().asDict()
+    return ledger.append_to(spark, f"{a.root}/decision_ledger", a.tenant, a.allele, a.case, a.verdict, a.rationale, a.reviewer, a.snapshot)
 
 
 def case_log(spark, a):

@@ -8,11 +8,12 @@ import json
 import secrets
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronospan.schemas import LEDGER, TOKEN_EVENT
+from chronospan.sources.generations import listed, put_if_absent
 
 GENESIS = "0" * 64
 VERDICTS = ("ACT", "NO_ACT", "DEFER", "RECONTACT")
@@ -45,15 +46,48 @@ def entry_hash_column() -> Column:
     return F.sha2(F.concat(F.col("prev_hash"), F.lit("\n"), *parts, F.lit("}")).cast("binary"), 256)
 
 
-def append(ledger: DataFrame, tenant: str, allele: str, case_ref: str, verdict: str, rationale: str, reviewer: str, snapshot: str, now: datetime | None = None) -> DataFrame:
-    """SNK-8, WIN-7: the next entry of a tenant as a one-row table; one writer at a time."""
+def entry(last: tuple[int, str] | None, tenant: str, allele: str, case_ref: str, verdict: str, rationale: str, reviewer: str, snapshot: str, now: datetime | None = None) -> dict:
+    """The entry after the last one, of which the number and the hash are given."""
     if verdict not in VERDICTS:
         raise ValueError(f"verdict is one of {', '.join(VERDICTS)}, not {verdict!r}")
-    last = ledger.where(F.col("tenant_id") == tenant).agg(F.max_by(F.struct("seq", "entry_hash"), "seq").alias("x")).first()["x"]
-    prev = last["entry_hash"] if last else GENESIS
-    values = ((last["seq"] if last else 0) + 1, tenant, allele, case_ref, verdict, rationale, reviewer, snapshot, (now or datetime.now(UTC)).isoformat(timespec="seconds"))
+    seq, prev = last or (0, GENESIS)
+    values = (seq + 1, tenant, allele, case_ref, verdict, rationale, reviewer, snapshot, (now or datetime.now(UTC)).isoformat(timespec="seconds"))
     payload = dict(zip(PAYLOAD, values, strict=True))
-    return ledger.sparkSession.createDataFrame([(*values, prev, entry_hash(payload, prev))], LEDGER)
+    return payload | {"prev_hash": prev, "entry_hash": entry_hash(payload, prev)}
+
+
+def append(ledger: DataFrame, tenant: str, *values) -> DataFrame:
+    """SNK-8, WIN-7: the next entry of a tenant as a one-row table; for a ledger that one writer holds.  ``values``: as in ``entry``."""
+    last = ledger.where(F.col("tenant_id") == tenant).agg(F.max_by(F.struct("seq", "entry_hash"), "seq").alias("x")).first()["x"]
+    made = entry((last["seq"], last["entry_hash"]) if last else None, tenant, *values)
+    return ledger.sparkSession.createDataFrame([tuple(made[f] for f in LEDGER.fieldNames())], LEDGER)
+
+
+def _tenant(spark: SparkSession, root: str, tenant: str) -> str:
+    return f"{root}/tenant_id={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tenant)}"
+
+
+def append_to(spark: SparkSession, root: str, tenant: str, *values, tries: int = 1000) -> dict:
+    """SNK-8: appends a tenant's next entry to the stored ledger ``root``, whoever else appends to it.
+
+    An entry is a file of its own, named by its number and made only if there is none: of
+    writers that follow the same entry one succeeds, the others read its hash and go on from there.
+    """
+    folder = _tenant(spark, root, tenant)
+    for _ in range(tries):
+        names = [n for n in listed(spark, folder) if n.endswith(".json")]
+        before = json.loads(spark.read.text(f"{folder}/{names[-1]}", wholetext=True).first()[0]) if names else None
+        made = entry((before["seq"], before["entry_hash"]) if before else None, tenant, *values)
+        if put_if_absent(spark, f"{folder}/{made['seq']:012d}.json", json.dumps(made).encode()):
+            return made
+    raise TimeoutError(f"{tries} other entries of {tenant} came first")
+
+
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """All entries of a stored ledger."""
+    names = [n for n in listed(spark, root) if n.startswith("tenant_id=")]
+    # the tenant is in the entry; the folder's name isn't read for it
+    return spark.read.schema(LEDGER).json([f"{root}/{n}" for n in names]) if names else spark.createDataFrame([], LEDGER)
 
 
 def verify(ledger: DataFrame, hashed: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from chronospan.functions.leftalign import STRETCH, left_aligned
 from chronospan.operators import asof, cases, explore, ledger, movement, timeline
 from chronospan.plans import analogue
 from chronospan.session import shared_dir
-from chronospan.sources import indexed, releases, snapshots
+from chronospan.sources import digests, indexed, releases, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -458,12 +458,18 @@ def tenant_replace(spark, d):
 
 @query("""SELECT CASE WHEN p_partkey % 5 = 0 THEN 'missing' WHEN p_partkey % 3 = 0 THEN 'altered' ELSE 'intact' END AS state, p_size > 10 AND p_partkey % 4 <> 0 AS reproducible, count(*) AS n FROM part GROUP BY ALL""")
 def provenance_states(spark, d):
-    """QRY-18: manifests against the hashes that are found."""
+    """QRY-18, SCL-15: manifests against the digests that are found, of contents cut into leaves of eight bytes."""
     k, name = F.col("p_partkey"), F.col("p_name").cast("binary")
     own = analogue.table(spark, d, "part")
     sha = F.when(F.col("p_size") > 10, F.when(k % 4 == 0, "abc-dirty").otherwise("abc"))
-    manifests = own.select(k.alias("snapshot_id"), F.sha2(name, 256).alias("parquet_sha256"), sha.alias("pipeline_git_sha"))
-    found = own.where("p_partkey % 5 <> 0").select(k.alias("snapshot_id"), F.when(k % 3 == 0, F.sha2(F.lit(b"x"), 256)).otherwise(F.sha2(name, 256)).alias("found"))
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        leaves = rows.select("path", F.explode(digests.leaf_sums(F.col("content"), 8)).alias("x")).select("path", "x.*")
+        return digests.of_leaves(leaves).groupBy(F.col("path").alias("snapshot_id")).agg(digests.combined("digest").alias("found"))
+
+    manifests = own.select(k.alias("snapshot_id"), sha.alias("pipeline_git_sha")).join(hashed(own.select(k.alias("path"), name.alias("content"))).withColumnRenamed("found", "parquet_sha256"), "snapshot_id")
+    there = own.where("p_partkey % 5 <> 0")
+    found = hashed(there.select(k.alias("path"), F.when(k % 3 == 0, F.concat(name, F.lit(b"x"))).otherwise(name).alias("content")))
     return snapshots.provenance_of(manifests, found)
 
 

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronospan.operators.timeline import small
 from chronospan.schemas import MANIFEST, SNAPSHOT
+from chronospan.sources.digests import combined, file_digests
+from chronospan.sources.generations import Gone, current, generation
 
+#: Rows of a file, about, and bits of a position below its bin.
+FILE_ROWS, BIN_BITS = 500_000, 17
+#: Settings of the files, fixed so that equal rows give equal bytes.
+WRITER = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3", "parquet.block.size": str(128 << 20), "parquet.page.size": str(1 << 20), "parquet.enable.dictionary": "true"}
 PUBLIC = ("snapshot_manifest", "allele_dim", "assertion_span")
 
 
@@ -26,17 +32,9 @@ def _folder(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def replaced(spark: SparkSession, new: str, target: str | None) -> None:
-    """Puts the finished folder ``new`` in the place of ``target``, whose former content goes; without a target ``new`` itself goes."""
-    p, fs = _folder(spark, new)
-    if target is None:
-        fs.delete(p, True)
-        return
-    at, _ = _folder(spark, target)
-    fs.delete(at, True)
-    fs.mkdirs(at.getParent())
-    if not fs.rename(p, at):
-        raise OSError(f"{new} can't be moved to {target}")
+def removed(spark: SparkSession, path: str) -> None:
+    p, fs = _folder(spark, path)
+    fs.delete(p, True)
 
 
 def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -45,16 +43,42 @@ def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
+def dealt(rows: DataFrame, target: int | None = None) -> DataFrame:
+    """``rows`` (SNAPSHOT) in partitions of about ``target`` rows, by default FILE_ROWS, that their values alone decide, in a total order.
+
+    Exact counts of genomic bins tell where a partition ends, so equal rows are dealt
+    alike whatever their order and partitions were.  A bin of more rows is
+    dealt by hash.  Bins are as many as positions allow, not as there are rows.
+    """
+    target = target or FILE_ROWS
+    place = {"bin_contig": F.coalesce("contig", F.lit("")), "bin": F.coalesce(F.shiftright("pos", BIN_BITS), F.lit(-1))}
+    own = rows.withColumns(place)
+    bins = own.groupBy(*place).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("bin_contig").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("k", F.floor(before / target)).withColumn("parts", F.ceil(F.col("n") / target))
+    files = bins.groupBy("bin_contig", "k").agg(F.max("parts").alias("most"))
+    files = files.withColumn("first", F.sum("most").over(W.orderBy("bin_contig", "k")) - F.col("most"))
+    total = int(files.agg(F.max(F.col("first") + F.col("most"))).first()[0] or 1)
+    numbered = bins.join(files, ["bin_contig", "k"]).select(*place, "first", "parts")
+    at = (F.col("first") + F.pmod(F.xxhash64("allele_id"), F.col("parts"))).cast("int")
+    order = [F.col(c).asc_nulls_first() for c in ("contig", "pos", "allele_id", *(c for c in rows.columns if c not in ("contig", "pos", "allele_id")))]
+    return own.join(small(numbered), [*place]).repartitionById(total, at).select(*rows.columns).sortWithinPartitions(*order)
+
+
 def write_snapshot(rows: DataFrame, root: str, release: str, panel: str, force: bool = False) -> bool:
     """SNK-1, SNK-2: one release of a panel, sorted by place; False if it is there already.
 
-    The write goes through Spark's committer, which publishes whole results only.
+    The write goes through Spark's committer, which publishes whole results
+    only.  Equal rows give files of equal bytes, so a snapshot's hash can be made again.
     """
     spark, path = rows.sparkSession, f"{root}/panel={panel}/release_date={release}"
     if not force and _exists(spark, f"{path}/_SUCCESS"):
         return False
     own = rows.select(*[F.col(f.name).cast(f.dataType) for f in SNAPSHOT.fields])
-    own.repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos", "allele_id").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    writer = dealt(own).write.mode("overwrite")
+    for name, value in WRITER.items():
+        writer = writer.option(name, value)
+    writer.parquet(path)
     return True
 
 
@@ -82,19 +106,17 @@ def first_writer_wins(old: DataFrame, new: DataFrame, key: str = "snapshot_id")
 
 
 def export_public(spark: SparkSession, source: str, target: str) -> None:
-    """SNK-6: copies the public tables by name, never all but some; refuses to overwrite its source, however it is written.
-
-    Each table is written beside its place and moved there whole.
-    """
+    """SNK-6: copies the public tables of the current generation by name, never all but some, as a generation of ``target``; refuses its source, however it is written."""
     (a, fs), (b, _) = _folder(spark, source), _folder(spark, target)
     if fs.makeQualified(a).equals(fs.makeQualified(b)):
         raise ValueError("the target is the source")
-    new = f"{target}/_next-{uuid.uuid4().hex}"
-    for name in PUBLIC:
-        spark.read.parquet(f"{source}/{name}").write.parquet(f"{new}/{name}")
-    for name in PUBLIC:
-        replaced(spark, f"{new}/{name}", f"{target}/{name}")
-    replaced(spark, new, None)
+    try:
+        folder = current(spark, source)
+    except Gone:
+        folder = source  # plain tables
+    with generation(spark, target) as new:
+        for name in PUBLIC:
+            spark.read.parquet(f"{folder}/{name}").write.parquet(f"{new}/{name}")
 
 
 def replace_tenant(rows: DataFrame, root: str, tenant: str) -> None:
@@ -104,16 +126,15 @@ def replace_tenant(rows: DataFrame, root: str, tenant: str) -> None:
         own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(root)
     else:
         name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tenant)
-        replaced(spark, f"{root}/tenant_id={name}", None)
+        removed(spark, f"{root}/tenant_id={name}")
 
 
 def snapshot_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """SCL-15: snapshot_id and ``found``, the SHA-256 over the sorted SHA-256 sums of a snapshot's files, for each snapshot below ``root``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
+    """SCL-15: snapshot_id and ``found``, the SHA-256 over the sorted digests of a snapshot's files, for each snapshot below ``root``."""
     part = lambda k: F.url_decode(F.regexp_extract("path", r"/panel=([^/]+)/release_date=([^/]+)/[^/]+$", k))
-    each = files.select(part(1).alias("panel"), part(2).alias("day"), F.sha2("content", 256).alias("sum")).where("panel <> ''")
+    each = file_digests(spark, root).select(part(1).alias("panel"), part(2).alias("day"), "digest").where("panel <> ''")
     name = F.concat_ws("-", F.lit("snapshot"), "panel", F.replace(F.col("day"), F.lit("-")))
-    return each.groupBy(name.alias("snapshot_id")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("sum")), "\n").cast("binary"), 256).alias("found"))
+    return each.groupBy(name.alias("snapshot_id")).agg(combined("digest").alias("found"))
 
 
 def provenance(spark: SparkSession, manifests: DataFrame, root: str) -> DataFrame:

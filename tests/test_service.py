@@ -8,7 +8,7 @@ import pytest
 
 from chronospan import cli, locks
 from chronospan.service import BadRequest, Timeline, day
-from chronospan.sources import fetch, store
+from chronospan.sources import fetch, generations, store
 from tests.test_timeline import THREE, snapshots
 
 
@@ -30,7 +30,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(run("timeline", "--panel", "p")) == 5
     assert [(r["state"], r["n"]) for r in run("provenance")] == [("intact", 2)]
     run("export-public", "--target", str(tmp_path / "public"))
-    assert sorted(p.name for p in (tmp_path / "public").iterdir()) == ["allele_dim", "assertion_span", "snapshot_manifest"]
+    assert generations.listed(spark, generations.current(spark, str(tmp_path / "public"))) == ["allele_dim", "assertion_span", "snapshot_manifest"]
     token = run("tenant-create", "--tenant", "lab-a", "--label", "first")["token"]
     assert run("tenant-list")[0]["active"] == 1
     run("tenant-revoke", "--tenant", "lab-a", "--token", token.split(".")[1])
