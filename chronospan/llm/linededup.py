@@ -208,7 +208,19 @@ def blocks(matches: list[tuple[int, int, int]], words: int) -> list[tuple[int, i
             runs[-1][1], runs[-1][3] = i, j
         else:
             runs.append([i, i, j, j])
-    return [(i, i2 + words, j, j2 + words) for i, i2, j, j2 in runs]
+    return [(i, i2 + words, j, j2 + words) for i, i2, j, j2 in outermost(runs, words)]
+
+
+def outermost(runs: list[list[int]], margin: int) -> list[list[int]]:
+    """The runs that no other one holds with ``margin`` words to spare at either end: another goes whole with the one that holds it, however it grows."""
+    order = sorted(runs)
+    out, k, reach = [], 0, -1
+    for run in order:
+        while order[k][0] <= run[0] - margin:
+            reach, k = max(reach, order[k][1]), k + 1
+        if reach < run[1] + margin:
+            out.append(run)
+    return out
 
 
 def digest(words: list[bytes]) -> bytes:
@@ -250,11 +262,11 @@ def meeting(places: DataFrame, rare: int) -> DataFrame:
     """row, start, earlier_row, earlier_start, line, doc_id of the links among ``places`` of one line and salt; the first place of each salted group comes too, without an earlier one."""
     schema = T.StructType.fromDDL("row long, start int, earlier_row long, earlier_start int, line long, doc_id long")
     arrow = to_arrow_schema(schema)
-    order = ["line", "salt", "doc_id", "row", "start"]
-
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(held: list[list[np.ndarray]]) -> pa.RecordBatch:
             own = [np.concatenate(c) for c in zip(*held, strict=True)]
+            order = np.lexsort(own[4::-1])
+            own = [c[order] for c in own]
             line, salt, doc, row, start = own[:5]
             i, j, first = linked(*own, rare)
             first = first[salt[first] > 0]
@@ -270,8 +282,8 @@ def meeting(places: DataFrame, rare: int) -> DataFrame:
             if not len(own[0]):
                 continue
             if held and n + len(own[0]) > RUN:
-                # what is held goes with the rest of its last group, if that ends here
-                other = (own[0] != held[-1][0][-1]) | (own[1] != held[-1][1][-1])
+                # what is held goes with the rest of its last line, if that ends here
+                other = own[0] != held[-1][0][-1]
                 if other.any():
                     cut = int(np.argmax(other))
                     held.append([c[:cut] for c in own])
@@ -282,8 +294,9 @@ def meeting(places: DataFrame, rare: int) -> DataFrame:
         if held:
             yield made(held)
 
-    rows = places.select(*order, "before", "after")
-    return rows.repartition("line", "salt").sortWithinPartitions(*order).mapInArrow(batches, schema)
+    rows = places.select("line", "salt", "doc_id", "row", "start", "before", "after")
+    # one long key is sorted by radix
+    return rows.repartition("line", "salt").sortWithinPartitions("line").mapInArrow(batches, schema)
 
 
 def links(lines: DataFrame, scratch: Scratch, rare: int) -> DataFrame:

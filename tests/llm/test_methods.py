@@ -466,6 +466,15 @@ def test_line_dedup_salted(spark, monkeypatch):
     assert all(got[i] == ([w for w in left[i] if w[0] != "p"] if 0 < i < 1000 else [] if i > 1000 else left[i]) for i in got)
 
 
+def test_outermost_runs():
+    """Against the definition; the widest run always stays."""
+    rng = random.Random(18)
+    for _ in range(300):
+        runs = [[i := rng.randrange(60), i + rng.choice((0, 3, 20, 50)), 0, 0] for _ in range(rng.randint(1, 12))]
+        want = [r for r in runs if not any(x[0] <= r[0] - 5 and x[1] >= r[1] + 5 for x in runs)]
+        assert linededup.outermost(runs, 5) == sorted(want) and want
+
+
 def test_linked_places(spark):
     """Each place of a group meets its first one, and in few places all earlier ones; never a document itself."""
     rng = np.random.default_rng(17)
