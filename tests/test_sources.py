@@ -78,6 +78,25 @@ def test_bins_of_columns(spark):
     assert all(r["bins"] == indexed.bins_of(r["b"], r["e"]) for r in got)
 
 
+def test_bins_of_wide_regions_are_small_on_disk(spark, tmp_path):
+    """A thousand bins a region: neighbours lie side by side, so a bin takes under two bytes (four when dealt by hash); equal rows count once."""
+    from chronospan.queries import QUERIES
+
+    k = F.col("id")
+    own = spark.range(6000).select((k * 7919 % 6001).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (k % 600 * 1000).alias("l_partkey"), (k % 50 * 1200).alias("l_suppkey"))
+    own.unionByName(own.where("l_suppkey = 1200")).repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    QUERIES["region_bins"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    want = sum(len(indexed.bins_of(r[0], r[1])) for r in own.where("l_suppkey > 0").select(F.col("l_partkey") * 100000, F.col("l_partkey") * 100000 + F.col("l_suppkey") * 500).collect())
+    assert out.count() == want == out.distinct().count()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2.5 * want
+
+
+def test_bins_count(spark):
+    own = spark.createDataFrame([(0, 0), (0, 1), (0, 1 << 14), (0, (1 << 14) + 1), (99_999, 70_000_000)], "b long, e long")
+    assert all(n == len(indexed.bins_of(b, e)) for b, e, n in own.select("b", "e", indexed.bins_count(F.col("b"), F.col("e"))).collect())
+
+
 def test_indexed_source(spark, tmp_path):
     line = lambda pos: f"17\t{pos}\t{pos}\tA\tG\t.\t.\tCLNSIG=Benign\n".encode()
     blocks = [b"#head\n" + b"".join(line(p) for p in range(1000, 1050)), b"".join(line(p) for p in range(20_000, 20_050)), b"".join(line(p) for p in range(40_000, 40_050))]
