@@ -14,11 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronospan.functions.alleles import ABSENT, OPEN_END
+from chronospan.session import tasks
 
 KEY = ("panel", "allele_id")
 DIMENSION = ("variation_id", "gene", "contig", "pos", "ref", "alt", "condition")
 #: Rows up to which a counted table is broadcast.
 SMALL_ROWS = 100_000
+#: Rows that a task of the span builder gets, about; its sorts hold some 2 kB for each.
+TASK_ROWS = 100_000
 SPAN = (*KEY, *DIMENSION, "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "valid_from", "valid_to", "last_seen", "first_snapshot_id", "is_current")
 
 
@@ -32,6 +35,16 @@ def releases(raw: DataFrame) -> DataFrame:
     return raw.select("panel", "release_date").distinct()
 
 
+def counted(raw: DataFrame) -> DataFrame:
+    """The grid, with the number n of each release's rows."""
+    return raw.groupBy("panel", "release_date").agg(F.count("*").alias("n"))
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, n of them, by allele in tasks of about TASK_ROWS; coalescing by shuffled bytes would give one task many times that."""
+    return rows.repartition(tasks(rows.sparkSession, n, TASK_ROWS), *KEY)
+
+
 def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``rows`` as the broadcast side of a join if a count proves that they are at most ``most``; else as they are."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
@@ -71,7 +84,9 @@ def dense_spans(raw: DataFrame) -> DataFrame:
     """Spans over the full grid."""
     grid = dense_grid(raw).withColumn("at", F.col("release_date")).withColumn("until", F.col("release_date"))
     seen = raw.select(*KEY, "release_date", F.struct(*DIMENSION).alias("d"))
-    return _spans(grid.join(seen, [*KEY, "release_date"], "left"))
+    cells = F.approx_count_distinct("allele_id") * F.approx_count_distinct("release_date")
+    n = raw.groupBy("panel").agg(cells.alias("n")).agg(F.sum("n")).first()[0] or 0
+    return _spans(dealt(grid.join(seen, [*KEY, "release_date"], "left"), n))
 
 
 def ordinals(dates: DataFrame) -> DataFrame:
@@ -85,8 +100,15 @@ def ordinals(dates: DataFrame) -> DataFrame:
 
 
 def sparse_points(raw: DataFrame, dates: DataFrame | None = None) -> DataFrame:
-    """Observations, and one absent point for the lead and for each gap: at and until are its first and last release, d an observation's dimension."""
-    own = raw.select(*KEY, "release_date", "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id", F.struct(*DIMENSION).alias("d")).join(small(ordinals(releases(raw) if dates is None else dates)), ["panel", "release_date"])
+    """Observations, and one absent point for the lead and for each gap: at and until are its first and last release, d an observation's dimension.
+
+    ``dates`` as of ``counted`` spare a count of the rows.
+    """
+    dates = counted(raw) if dates is None else dates
+    listed, n = dates.agg(F.count("*"), F.sum("n")).first() if "n" in dates.columns else (dates.limit(SMALL_ROWS + 1).count(), raw.count())
+    grid = F.broadcast(ordinals(dates)) if listed <= SMALL_ROWS else ordinals(dates)
+    own = raw.select(*KEY, "release_date", "bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id", F.struct(*DIMENSION).alias("d")).join(grid, ["panel", "release_date"])
+    own = dealt(own, n or 0)
     w = W.partitionBy(*KEY).orderBy("release_date")
     own = own.withColumn("next", F.lead(F.struct("i", "before")).over(w)).withColumn("lead", F.lag("i").over(w).isNull() & (F.col("i") > 1))
     kept = ("bucket", "stars", "clnsig_raw", "clnrevstat_raw", "snapshot_id", "d")

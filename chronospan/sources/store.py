@@ -30,7 +30,7 @@ def build(raw: DataFrame, root: str, **more: DataFrame) -> Built:
     """Builds all tables from raw rows as one generation of ``root``, and tables ``more`` with them."""
     spark = raw.sparkSession
     with generation(spark, root) as new:
-        timeline.releases(raw).write.parquet(f"{new}/release")
+        timeline.counted(raw).write.parquet(f"{new}/release")
         releases = spark.read.parquet(f"{new}/release")
         spans = timeline.sparse_spans(raw, releases)
         # rows are dealt by allele already: sorting each task's rows takes no further exchange
@@ -55,7 +55,7 @@ def spans_at(spark: SparkSession, folder: str) -> DataFrame:
 def stored_at(spark: SparkSession, folder: str) -> Built:
     """The tables of a generation's folder."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    return Built(read("release"), spans_at(spark, folder), read("allele_dim"), read("policy_step"))
+    return Built(read("release").select("panel", "release_date"), spans_at(spark, folder), read("allele_dim"), read("policy_step"))
 
 
 def stored_in(spark: SparkSession, root: str) -> Built:

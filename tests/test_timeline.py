@@ -162,3 +162,12 @@ def test_filters_reach_both_sides(spark, tmp_path):
 def test_sparse_builder_needs_few_exchanges(spark):
     plan = timeline.sparse_points(snapshots(spark, THREE))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """A task of either builder gets about TASK_ROWS rows, whatever adaptive execution would gather by bytes."""
+    monkeypatch.setattr(timeline, "TASK_ROWS", 100, raising=False)
+    raw = snapshots(spark, {f"20{y}-01-02": {f"A{i}": f"U{1 + y % 2}" for i in range(400)} for y in range(10, 15)})
+    for rows in (timeline.sparse_spans(raw), timeline.dense_spans(raw)):
+        each = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in each) == 2000 and max(r["count"] for r in each) <= 300
