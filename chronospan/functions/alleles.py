@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -67,14 +68,24 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(pos: Column, ref: Column, alt: Column) -> Column:
-    """SCL-6: struct (pos, ref, alt) in upper case without shared suffix, then prefix; each keeps a base."""
-    a, b = F.upper(ref), F.upper(alt)
-    # equal suffixes of lengths 1..k are nested, so their number is the length of the longest
-    tail = F.size(F.filter(_upto(F.least(F.length(a), F.length(b)) - 1), lambda i: F.right(a, i) == F.right(b, i)))
-    c, d = F.left(a, F.length(a) - tail), F.left(b, F.length(b) - tail)
-    head = F.size(F.filter(_upto(F.least(F.length(c), F.length(d)) - 1), lambda i: F.left(c, i) == F.left(d, i)))
-    return F.struct((pos + head).alias("pos"), F.substring(c, head + 1, F.length(c)).alias("ref"), F.substring(d, head + 1, F.length(d)).alias("alt"))
+    """SCL-6: struct (pos, ref, alt) in upper case without shared suffix, then prefix; each keeps a base.
+
+    Each step is bound by ``_with``: as plain columns the shared ends would be searched anew at every use, inside each other's loops.
+    """
+    # equal ends of lengths 1..k are nested, so their number is the length of the longest
+    shared = lambda x, part: F.size(F.filter(_upto(F.least(F.length(x["a"]), F.length(x["b"])) - 1), lambda i: part(x["a"], i) == part(x["b"], i)))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    without_tail = lambda x: _with(shared(x, F.right), lambda n: pair(F.left(x["a"], F.length(x["a"]) - n), F.left(x["b"], F.length(x["b"]) - n)))
+    without_head = lambda x: _with(
+        shared(x, F.left), lambda n: F.struct((pos + n).alias("pos"), F.substring(x["a"], n + 1, F.length(x["a"])).alias("ref"), F.substring(x["b"], n + 1, F.length(x["b"])).alias("alt"))
+    )
+    return _with(_with(pair(F.upper(ref), F.upper(alt)), without_tail), without_head)
 
 
 def sha512t24u(data: Column) -> Column:
@@ -84,8 +95,8 @@ def sha512t24u(data: Column) -> Column:
 
 def allele_id(assembly: str, contig_: Column, pos: Column, ref: Column, alt: Column) -> Column:
     """SCL-8: the identity of an allele; null where a base is missing or is none of ACGTN."""
-    t = trimmed(pos, ref, alt)
-    digest = sha512t24u(F.concat_ws("\t", F.lit(assembly), contig(contig_), t["pos"].cast("string"), t["ref"], t["alt"]).cast("binary"))
+    text = _with(trimmed(pos, ref, alt), lambda t: F.concat_ws("\t", F.lit(assembly), contig(contig_), t["pos"].cast("string"), t["ref"], t["alt"]))
+    digest = sha512t24u(text.cast("binary"))
     valid = ref.rlike("^[ACGTNacgtn]+$") & alt.rlike("^[ACGTNacgtn]+$") & pos.isNotNull() & contig_.isNotNull()
     return F.when(valid, F.concat(F.lit("chronospan:VA."), digest))
 

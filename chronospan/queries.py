@@ -12,7 +12,7 @@ from chronospan.functions import alleles as A
 from chronospan.functions.leftalign import STRETCH, left_aligned
 from chronospan.operators import asof, cases, explore, ledger, movement, timeline
 from chronospan.plans import analogue
-from chronospan.session import shared_dir
+from chronospan.session import shared_dir, tasks
 from chronospan.sources import digests, indexed, releases, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -551,12 +551,18 @@ def _bases(x, n) -> F.Column:
     return F.translate(F.substring(F.md5(x.cast("string").cast("binary")), F.lit(1), n.cast("int")), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
+#: Alleles that a task gets, about.
+TASK_ALLELES = 100_000
+
+
 def _alleles(spark, d) -> DataFrame:
     """Pairs with shared ends: a common head and tail around different middles."""
     k = F.col("p_partkey")
     head, tail = _bases(k, k % 4), _bases(k + 1, k % 3)
     ref, alt = F.concat(head, _bases(k + 2, k % 5), tail), F.concat(head, _bases(k + 3, k % 4 + 1), tail)
-    own = analogue.table(spark, d, "part").select("p_partkey", ref.alias("ref"), alt.alias("alt"))
+    keys = analogue.table(spark, d, "part").select("p_partkey")
+    # a file that Spark reads in one task has rows for many
+    own = keys.repartition(tasks(spark, keys.count(), TASK_ALLELES), "p_partkey").select("p_partkey", ref.alias("ref"), alt.alias("alt"))
     return own.where("length(ref) > 0")
 
 
