@@ -41,8 +41,12 @@ def counted(raw: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, n: int) -> DataFrame:
-    """``rows``, n of them, by allele in tasks of about TASK_ROWS; coalescing by shuffled bytes would give one task many times that."""
-    return rows.repartition(tasks(rows.sparkSession, n, TASK_ROWS), *KEY)
+    """``rows``, n of them, by allele in tasks of about TASK_ROWS; coalescing by shuffled bytes would give one task many times that.
+
+    Rows for one task stay as they are: the windows' own exchange by allele will do for those.
+    """
+    parts = tasks(rows.sparkSession, n, TASK_ROWS)
+    return rows.repartition(parts, *KEY) if parts > 1 else rows
 
 
 def small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
